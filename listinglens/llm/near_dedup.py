@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -251,6 +250,5 @@ def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     kept = near_duplicates(docs, key=key).where(F.col(key) == F.col("component_id")).select(key).distinct()
     rest = docs.join(kept, key, "left_semi")
-    twice = rest.groupBy(key).count().where("count > 1").select(key)
-    single = rest.join(twice, key, "left_anti")
-    return single.unionByName(rest.join(twice, key, "left_semi").dropDuplicates([key]))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])))
+    return rest.withColumn("_rank_of_key", rank).where("_rank_of_key = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,23 +5,75 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from listinglens.llm import near_dedup, packing
+from listinglens.llm import chat, decontam, grading, language_id, licenses, near_dedup, packing, pii, quality_rules, toxicity
 from listinglens.llm.common import read_table
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents", "doc_id", "text")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(_texts(spark, sf_dir)))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_texts(spark, sf_dir)).withColumn("dice", F.round("dice", 6))
+
+
+def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.paired_turns(read_table(spark, sf_dir, "conversations")))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.piece_digests(packing.pack(read_table(spark, sf_dir, "documents", "doc_id", "text")))
+    return packing.piece_digests(packing.pack(_texts(spark, sf_dir)))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rate(_texts(spark, sf_dir))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.fit(read_table(spark, sf_dir, "documents", "doc_id", "lang", "text"))
+    return language_id.identify(_texts(spark, sf_dir), model)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = near_dedup.near_duplicates(_texts(spark, sf_dir))
     return found.select("doc_id", near_dedup.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op8_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    return grading.grade(docs, grading.fit(docs, grading.graded(read_table(spark, sf_dir, "labels"))))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_texts(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op7_simhash_near_dedup)}
+    every = (
+        op1_pii,
+        op2_license_scan,
+        op3_chat_preferences,
+        op4_packing,
+        op5_quality_rules,
+        op6_language_id,
+        op7_simhash_near_dedup,
+        op8_quality_grades,
+        op9_decontamination,
+        op10_toxicity,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": licenses.oracle(), "op3_chat_preferences": chat.ORACLE_SQL}
