@@ -149,8 +149,10 @@ def _search(passages: Passages, texts: list[str]) -> list[tuple[int, int, int, i
         text = np.searchsorted(starts, position, "right") - 1
         diagonal = position - place
         band = diagonal // (passages.edits[item] + 1)
-        order = np.lexsort((band, item, text))
-        text, item, band = text[order], item[order], band[order]
+        low = int(band.min(initial=0))
+        tall = int(band.max(initial=0)) - low + 1
+        order = np.argsort((text * len(passages.items) + item) * tall + (band - low), kind="stable")
+        text, item, band, place = text[order], item[order], band[order], place[order]
         fresh = np.ones(len(text), bool)
         fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
         head = np.flatnonzero(fresh)
@@ -161,7 +163,10 @@ def _search(passages: Passages, texts: list[str]) -> list[tuple[int, int, int, i
         both[:-1] += np.where(next_to, count[1:], 0)
         enough = both >= passages.needs[k]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for i, j, x in zip(t[enough].tolist(), k[enough].tolist(), b[enough].tolist(), strict=True):
+        for g in np.flatnonzero(enough).tolist():
+            i, j, x = int(t[g]), int(k[g]), int(b[g])
+            if len(np.unique(place[head[g] : head[g] + both[g]])) < passages.needs[j]:
+                continue  # the lemma counts q-grams of the passage, each once
             chars_of, edits = passages.items[j][1], int(passages.edits[j])
             old = best.get((i, j))
             if old and not old[0]:
