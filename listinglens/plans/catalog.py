@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-FAMILIES: list = []
+from listinglens.plans import parsing, relational
+
+FAMILIES = [parsing, relational]
 
 
 def queries() -> dict:
