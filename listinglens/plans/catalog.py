@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from listinglens.plans import parsing, relational
+from listinglens.plans import parsing, relational, retrieval
 
-FAMILIES = [parsing, relational]
+FAMILIES = [parsing, relational, retrieval]
 
 
 def queries() -> dict:
