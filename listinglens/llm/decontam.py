@@ -239,13 +239,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark passage; a map over the rows, without a shuffle."""
     small_batches(docs.sparkSession)
-    kept = docs
     for passages in blocks(benchmark):
+        docs = docs.where(_clean(passages)(F.col("text")))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, passages=passages) -> pd.Series:
-            hit = {row[0] for row in search(passages, [t or "" for t in texts])}
-            return pd.Series([i not in hit for i in range(len(texts))])
 
-        kept = kept.where(clean(F.col("text")))
-    return kept
+def _clean(passages: Passages):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        hit = {row[0] for row in search(passages, [t or "" for t in texts])}
+        return pd.Series([i not in hit for i in range(len(texts))])
+
+    return clean
