@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from listinglens.plans import parsing, relational, retrieval
+from listinglens.plans import parsing, pipelines, relational, retrieval
 
-FAMILIES = [parsing, relational, retrieval]
+FAMILIES = [parsing, relational, retrieval, pipelines]
 
 
 def queries() -> dict:
