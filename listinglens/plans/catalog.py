@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from listinglens.plans import parsing, pipelines, relational, retrieval
+from listinglens.plans import modelling, parsing, pipelines, relational, retrieval
 
-FAMILIES = [parsing, relational, retrieval, pipelines]
+FAMILIES = [parsing, relational, retrieval, modelling, pipelines]
 
 
 def queries() -> dict:
