@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from listinglens.llm.common import small_batches
 
 #: Bytes from which a band holds, and the least and greatest ratio of compressed to raw bytes. A frame's
-#: header outweighs what it saves in a short text, so short texts have wider bands and the shortest none.
-BANDS = ((0, 0.0, 99.0), (256, 0.30, 1.05), (1024, 0.25, 0.90), (4096, 0.20, 0.85), (65536, 0.15, 0.80))
+#: header outweighs what it saves in a short text, so short texts have wider bands and the shortest none. Encoded data,
+#: such as base64 with its six bits a byte, stays above the upper limits, and written text of any script below.
+BANDS = ((0, 0.0, 99.0), (256, 0.30, 0.95), (1024, 0.25, 0.75), (4096, 0.20, 0.70), (65536, 0.15, 0.68))
 #: Bytes of a chunk, the band of its ratio, and the share of chunks outside it that rejects a text.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (0.20, 0.85), 0.25
+CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (0.20, 0.72), 0.25
 LEVEL = 3
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 #: The base rule: fewest words, and the most per cent of words in repeated windows of WINDOW words.
