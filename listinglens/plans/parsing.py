@@ -29,7 +29,7 @@ over("pages", "p01_normalize_url", lambda: ("page_id", P.normalize_url(F.col("ur
 over("pages", "p02_absolutize", lambda: ("page_id", P.absolutize(F.concat(F.lit("/"), F.col("page_id").cast("string")), "https://a.example").alias("a"), P.absolutize(F.col("url"), "x").alias("b"), P.absolutize(F.lit("mailto:x"), "x").alias("c")),
      "SELECT page_id, 'https://a.example/' || page_id AS a, url AS b, NULL::VARCHAR AS c FROM pages")
 over("pages", "p03_listing_id", lambda: ("page_id", P.listing_id(F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string")), F.col("url")).alias("id"), P.run_id(F.col("url")).alias("run")),
-     "SELECT page_id, 'hepsiemlak:' || CASE WHEN page_id % 2 = 0 THEN page_id::VARCHAR ELSE sha1(rtrim(regexp_replace(url, '[?#].*$', ''), '/')) END AS id, left(sha1(url), 12) AS run FROM pages")
+     "SELECT page_id, 'source:' || CASE WHEN page_id % 2 = 0 THEN page_id::VARCHAR ELSE sha1(rtrim(regexp_replace(url, '[?#].*$', ''), '/')) END AS id, left(sha1(url), 12) AS run FROM pages")
 over("lineitem", "p04_image_id", lambda: (P.image_id(F.col("l_orderkey"), F.col("l_linenumber")).alias("image_id"), "l_partkey"),
      "SELECT l_orderkey || ':' || l_linenumber AS image_id, l_partkey FROM lineitem")
 over("orders", "p05_parse_money", lambda: ("o_orderkey", P.parse_money(F.concat(F.translate(F.format_number(F.floor("o_totalprice"), 0), ",", "."), F.lit(",50 TL"))).alias("amount"), P.parse_money(F.col("o_orderstatus")).alias("none")),
