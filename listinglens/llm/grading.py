@@ -15,7 +15,7 @@ from listinglens.llm.hashed import SIZE, minimise, word_slots
 from listinglens.llm.language_id import bounded_sample
 
 #: Fold that is never learned from, of FOLDS; rated rows that the model is fitted on, in expectation.
-FOLDS, HELD_OUT, FIT_ROWS = 5, 0, 12_000
+FOLDS, HELD_OUT, FIT_ROWS = 5, 0, 6_000
 #: Weight of the squared norm of the weights; the grade a kept text reaches more likely than not.
 RIDGE, KEEP_GRADE = 2.0, 1
 
@@ -44,9 +44,9 @@ def fit_rows(texts: list[str], grades: np.ndarray) -> Grader:
     """Maximum likelihood of the cumulative-link model with ridge; thresholds are a first one and positive gaps."""
     top = int(grades.max(initial=0))
     parts = [features(t) for t in texts]
-    row = np.repeat(np.arange(len(parts)), [len(s) for s, _ in parts])
-    slot = np.concatenate([s for s, _ in parts]) if parts else np.zeros(0, int)
-    value = np.concatenate([v for _, v in parts]) if parts else np.zeros(0)
+    row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(s) for s, _ in parts])
+    slot = np.concatenate([s for s, _ in parts]).astype(np.int32) if parts else np.zeros(0, int)
+    value = np.concatenate([v for _, v in parts]).astype(np.float32) if parts else np.zeros(0)
     if top == 0 or not len(parts):
         return Grader(np.zeros(SIZE), np.zeros(max(1, top)))
     used, col = np.unique(slot, return_inverse=True)
@@ -89,9 +89,9 @@ def graded(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, ratings: DataFrame) -> Grader:
     """Fit on about FIT_ROWS rated rows outside the held-out fold; ratings has doc_id and grade 0, 1, ..."""
     rated = ratings.where("doc_id is not null and grade is not null").where(crc_bucket(F.col("doc_id"), FOLDS) != HELD_OUT)
-    rows = docs.select("doc_id", "text").join(F.broadcast(bounded_sample(rated, FIT_ROWS)), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], na_position="first")
-    return fit_rows(rows["text"].tolist(), rows["grade"].to_numpy(int))
+    rows = docs.select("doc_id", "text").join(F.broadcast(bounded_sample(rated, FIT_ROWS)), "doc_id").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return fit_rows(rows["text"].to_pylist(), rows["grade"].to_numpy().astype(int))
 
 
 def grade(docs: DataFrame, grader: Grader) -> DataFrame:
