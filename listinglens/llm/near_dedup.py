@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -13,8 +14,11 @@ from pyspark.sql import types as T
 
 from listinglens.llm.common import small_batches, stage_table
 
-#: Widths of the five blocks of a fingerprint. Two fingerprints with at most four differing bits agree in one block.
-BLOCKS = (13, 13, 13, 13, 12)
+#: Differing bits that link at most. Of m blocks of a fingerprint, two linked ones agree in m - DISTANCE at least, so they
+#: meet in one of C(m, DISTANCE) tables keyed by so many blocks: 5 tables of 12 bits, 15 of 20, 35 of 27 or 70 of 32.
+DISTANCE, MOST_BLOCKS = 4, 8
+#: Rows up to which the table of large groups is broadcast.
+BROADCAST_ROWS = 100_000
 #: Distinct fingerprints that one index task should hold on average, and the most it takes before its group is split.
 GROUP_TARGET, GROUP_MOST = 2048, 6000
 #: Leaves under the lowest inner node, node pairs expanded at a time, and Gray neighbours linked before the search.
@@ -80,7 +84,7 @@ def _merge(roots: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             roots = up
 
 
-def index_links(codes: np.ndarray, distance: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def index_links(codes: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """(codes, roots): component roots of distinct codes under links of at most `distance` bits.
 
     The codes are sorted by Gray rank and form the leaves of a binary tree. A
@@ -160,34 +164,48 @@ def _group_links(distance: int):
     return links
 
 
-def similar_links(distinct: DataFrame, n_distinct: int, distance: int = 4) -> DataFrame:
+def block_tables(bits: int, distance: int = DISTANCE) -> list[list[tuple[int, int]]]:
+    """Tables of (first bit from the left, width) parts whose values key the groups: the fewest blocks whose keys can hold `bits`."""
+    m = distance + 1
+    while m < MOST_BLOCKS and (64 // m) * (m - distance) < bits:
+        m += 1
+    width = 64 // m
+    used = min(width, -(-bits // (m - distance)))
+    return [[(block * width, used) for block in picked] for picked in itertools.combinations(range(m), m - distance)]
+
+
+def similar_links(distinct: DataFrame, n_distinct: int, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) that connect exactly the distinct fingerprints within `distance` bits, spanning edges only.
 
-    Each fingerprint goes to one group for each block, keyed by the leading
-    bits of that block: as many bits as keep groups near GROUP_TARGET. A group
-    over GROUP_MOST is dealt into segments, and each two segments meet in one
-    task of their own, so that no task holds an unbounded group.
+    Each fingerprint goes to one group of every block table; keys have as many
+    bits as keep groups near GROUP_TARGET, so tables grow with the input and
+    groups do not. A group over GROUP_MOST is dealt into segments, and each
+    two segments meet in one task of their own, so that no task holds an
+    unbounded group.
     """
-    if distance >= len(BLOCKS):
-        raise ValueError("the blocks bound the distance at four bits")
-    bits = min(min(BLOCKS), max(1, math.ceil(math.log2(max(2, n_distinct / GROUP_TARGET)))))
-    keys, at = [], 0
-    for block, width in enumerate(BLOCKS):
-        cut = F.shiftrightunsigned(F.col("fp"), 64 - at - bits).bitwiseAND(F.lit((1 << bits) - 1))
-        keys.append(F.lit(block * (1 << bits)) + cut.cast("int"))
-        at += width
+    bits = max(1, math.ceil(math.log2(max(2, n_distinct / GROUP_TARGET))))
+    keys = []
+    for number, parts in enumerate(block_tables(bits, distance)):
+        key = F.lit(number).cast("long")
+        for at, width in parts:
+            value = F.shiftrightunsigned(F.col("fp"), 64 - at - width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+            key = F.shiftleft(key, width).bitwiseOR(value)
+        keys.append(key)
     keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("bucket"))
     large = keyed.groupBy("bucket").count().where(F.col("count") > GROUP_MOST)
-    large = large.select("bucket", F.ceil(F.col("count") * 2 / GROUP_MOST).cast("int").alias("parts"))  # 5 * 2^12 rows at most
-    dealt = keyed.join(F.broadcast(large), "bucket", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    large = stage_table(large.select("bucket", F.ceil(F.col("count") * 2 / GROUP_MOST).cast("int").alias("parts")), "large-groups")
+    n_large = large.count()
+    few = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
+    dealt = keyed.join(few, "bucket", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     meets = F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = dealt.select("fp", "bucket", "own", F.explode(meets).alias("other")).where("other = -1 or own <> other")
+    alone = F.col("other") == -1
     tasks = dealt.select(
         "fp",
         "bucket",
-        F.coalesce(F.least("own", "other"), F.lit(-1)).alias("low"),
-        F.when(F.col("other") == -1, -1).otherwise(F.greatest("own", "other")).alias("high"),
-    ).withColumn("low", F.when(F.col("high") == -1, -1).otherwise(F.col("low")))
+        F.when(alone, -1).otherwise(F.least("own", "other")).alias("low"),
+        F.when(alone, -1).otherwise(F.greatest("own", "other")).alias("high"),
+    )
     return tasks.groupBy("bucket", "low", "high").applyInPandas(_group_links(distance), "a long, b long")
 
 
@@ -215,7 +233,7 @@ def connected(edges: DataFrame, name: str = "stars", rounds: int = 60) -> DataFr
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, fp, component_id), one per input row.
 
     Texts whose fingerprints differ in at most `distance` bits are linked;

@@ -111,6 +111,23 @@ def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_distance_is_bounded(spark):
-    with pytest.raises(ValueError, match="blocks"):
-        N.similar_links(spark.createDataFrame([], "fp long"), 1, 5)
+@pytest.mark.parametrize("bits", [1, 12, 13, 20, 24, 32])
+def test_tables_let_no_link_escape(bits):
+    tables = N.block_tables(bits)
+    rng = np.random.default_rng(bits)
+    assert all(sum(w for _, w in parts) >= min(bits, 32) for parts in tables)
+    for _ in range(300):
+        a = int(rng.integers(0, 2**63))
+        b = a ^ sum(1 << int(i) for i in rng.choice(64, 4, replace=False))
+        same = [all((a ^ b) >> (64 - at - w) & ((1 << w) - 1) == 0 for at, w in parts) for parts in tables]
+        assert any(same)
+
+
+def test_many_tables_give_the_same_links(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 6))) for _ in range(200)], dtype=np.uint64)
+    codes = np.unique(centres[rng.integers(0, 6, 200)] ^ flips).view(np.int64)
+    df = spark.createDataFrame([(int(x),) for x in codes], "fp long")
+    one, many = ({r.node: r.root for r in N.connected(N.similar_links(df, n)).collect()} for n in (len(codes), 2**31))
+    assert one == many
