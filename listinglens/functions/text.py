@@ -63,8 +63,8 @@ def tokens(c: Column, stop: Sequence[str] = ()) -> Column:
 def clean_text(c: Column, rules: str = "v1", least: int = 2, dotless: str = "compat") -> Column:
     """Lower case letters and digits without boilerplate; '' under so many words. v2 also drops words of one or two letters."""
     text = F.regexp_replace(F.lower(strip_marks(collapse_ws(c), dotless)), "[^a-z0-9]+", " ")
-    for phrase in BOILERPLATE_V1 if rules == "v1" else BOILERPLATE_V2:
-        text = F.regexp_replace(text, rf"\b{phrase}\b", " ")
+    phrases = "|".join(BOILERPLATE_V1 if rules == "v1" else BOILERPLATE_V2)
+    text = F.regexp_replace(text, rf"\b(?:{phrases})\b", " ")
     if rules != "v1":
         text = F.regexp_replace(text, r"\b[a-z]{1,2}\b", " ")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))

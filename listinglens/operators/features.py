@@ -97,8 +97,8 @@ def tfidf(docs: DataFrame, key: str, words: str, most: int = 2000, least_df: int
     total = docs.agg(F.count("*").alias("total"))
     idf = vocabulary.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
     raw = counts.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))  # `most` rows at most
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf_vectors(train: DataFrame, df: DataFrame, words: str, most: int = 5000, least_df: int = 3, out: str = "text_vector") -> tuple[DataFrame, list[str]]:
