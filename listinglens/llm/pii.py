@@ -21,8 +21,8 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: An identifier-shaped token: letters, digits and joiners, with a digit. It needs FEWEST_DIGITS digits.
 TOKEN = r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z._@+-]*+[0-9])[A-Za-z0-9._@+-]{6,}+"
 FEWEST_DIGITS = 4
-#: Characters of context read on each side.
-CONTEXT = 48
+#: Characters of context read on each side, and matches located at a time.
+CONTEXT, STRIDE = 48, 128
 #: Bootstrapping: rounds, distinct known entities a pattern needs, its least share of known entities, the score that makes an instance known.
 ROUNDS, SUPPORT, CONFIDENCE, KNOWN = 3, 5, 0.7, 0.9
 
@@ -72,23 +72,39 @@ def _located(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _occurrences(gaps: Column, found: Column) -> Column:
-    """Array of (start, end, value, pats): code-point offsets are sums over gaps and matches before."""
+def _rows(gaps: Column, found: Column) -> Column:
+    """Array of (a, b, value): each match with the stretches before and after it."""
     rows = F.zip_with(
         F.zip_with(gaps, F.slice(gaps, 2, 2**31 - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
         found,
-        lambda g, m: F.struct(F.length(g["a"]).alias("gap"), m.alias("value"), F.when(m.isNotNull(), _contexts(g["a"], g["b"])).alias("pats")),
+        lambda g, m: F.struct(g["a"].alias("a"), g["b"].alias("b"), m.alias("value")),
     )
+    return F.filter(rows, lambda r: r["value"].isNotNull())
+
+
+def _occurrences(rows: Column, wanted) -> Column:
+    """Array of (start, end, value, pats) of the wanted matches: code-point offsets are sums over gaps and matches before.
+
+    rows is a stored column. It is folded STRIDE matches at a time, each part
+    from the summed length of those before it, because a fold copies what it
+    has gathered at every step.
+    """
     nothing = F.expr("cast(array() as array<struct<start:int,end:int,value:string,pats:array<string>>>)")
-    start = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
+        begin = acc["at"] + F.length(x["a"])
         end = begin + F.length(x["value"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), x["pats"].alias("pats"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        one = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), _contexts(x["a"], x["b"]).alias("pats"))
+        out = F.when(wanted(x["value"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
 
-    return F.aggregate(F.filter(rows, lambda r: r["value"].isNotNull()), start, step, lambda acc: acc["out"])
+    def part(first: Column) -> Column:
+        before = F.aggregate(F.slice(rows, F.lit(1), first), F.lit(0), lambda n, x: n + F.length(x["a"]) + F.length(x["value"]))
+        start = F.struct(before.alias("at"), nothing.alias("out"))
+        return F.aggregate(F.slice(rows, first + 1, F.lit(STRIDE)), start, step, lambda acc: acc["out"])
+
+    firsts = F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0)), F.lit(STRIDE))
+    return F.when(F.size(rows) > 0, F.flatten(F.transform(firsts, part))).otherwise(nothing)
 
 
 def scan(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
@@ -109,14 +125,11 @@ def scan(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
         arrays.append(F.when(there, found).otherwise(F.expr("cast(array() as array<string>)")).alias(f"{kind}_found"))
     names = [n for n in ("doc_id", "doc") if n in cut.columns]
     cut = cut.select(*names, *arrays)
-    cut = cut.select(*names, *[_occurrences(F.col(f"{k}_gaps"), F.col(f"{k}_found")).alias(k) for k in (*KINDS, "token")])
-    kept = [_kept(k).alias(k) for k in KINDS]
-    cut = cut.select(*names, F.concat(*kept).alias("base"), "token")
-    tokens = F.filter(
-        "token",
-        lambda x: (F.length(_digits(x["value"])) >= FEWEST_DIGITS)
-        & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
+    cut = cut.select(*names, *[_rows(F.col(f"{k}_gaps"), F.col(f"{k}_found")).alias(f"{k}_rows") for k in (*KINDS, "token")])
+    cut = cut.select(*names, *[_matches(k).alias(k) for k in (*KINDS, "token")])
+    tagged = [F.transform(k, _tagger(k)) for k in KINDS]
+    cut = cut.select(*names, F.concat(*tagged).alias("base"), "token")
+    tokens = F.filter("token", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     occurrences = F.concat("base", F.transform(tokens, lambda x: _tagged(F.lit(None).cast("string"), x)))
     out = cut.select(
         F.monotonically_increasing_id().alias("row_id"),
@@ -127,9 +140,14 @@ def scan(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
     return stage_table(out, "pii")
 
 
-def _kept(kind: str) -> Column:
-    """The matches of a kind that pass its test, tagged with the kind."""
-    return F.transform(F.filter(kind, lambda x: _valid(kind, x["value"])), lambda x: _tagged(F.lit(kind), x))
+def _matches(kind: str) -> Column:
+    """The valid matches of a kind, or the identifier-shaped tokens with digits enough."""
+    valid = (lambda v: F.length(_digits(v)) >= FEWEST_DIGITS) if kind == "token" else (lambda v: _valid(kind, v))
+    return _occurrences(F.col(f"{kind}_rows"), valid)
+
+
+def _tagger(kind: str):
+    return lambda x: _tagged(F.lit(kind), x)
 
 
 def _tagged(kind: Column, x: Column) -> Column:
