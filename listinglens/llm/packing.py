@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +13,16 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from listinglens.llm.common import small_batches
 
 #: The token that closes each document, and the longest sequence.
 END_TOKEN, MAX_TOKENS = 1, 2048
+#: White space in a row from which a text goes to the exact tokenizer: tiktoken's regex keeps a state for each blank of a
+#: run and fails near a million.
+LONG_BLANK = 100_000
+_LONG_BLANK = re.compile(r"\s{%d}" % LONG_BLANK)
 
 
 @functools.cache
@@ -27,19 +33,33 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def exact_tokenizer(path: str) -> Tokenizer:
+    """The same vocabulary in tokenizers: slower, and without a bound on runs of white space. One per worker."""
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def encode(text: str, ranks: str, exact: str) -> list[int]:
+    """Token ids of a text by the vocabularies at two paths, which give the same ids."""
+    if len(text) >= LONG_BLANK and _LONG_BLANK.search(text):
+        return exact_tokenizer(exact).encode(text, add_special_tokens=False).ids
+    return encoder(ranks)._core_bpe.encode_ordinary(text)
+
+
 def piece_lengths(n: int, most: int = MAX_TOKENS) -> list[int]:
     """Powers of two that sum to n, longest first, none over most (itself a power of two)."""
     rest = n % most
     return [most] * (n // most) + [1 << bit for bit in range(most.bit_length() - 2, -1, -1) if rest >> bit & 1]
 
 
-def _pieces(path: str, most: int):
+def _pieces(ranks: str, exact: str, most: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)._core_bpe.encode_ordinary
         for batch in batches:
             ids, cuts, owner, totals = [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                tokens = encode(text) if text else []
+                tokens = encode(text, ranks, exact) if text else []
                 tokens.append(END_TOKEN)
                 lengths = piece_lengths(len(tokens), most)
                 ids.append(np.array(tokens, dtype="<u4"))
@@ -70,12 +90,14 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", most: int =
     `length` is the bucket that batches are drawn from. ids are little-endian
     unsigned 32-bit integers. Null and empty texts are the end token alone;
     repeated rows are packed each; other columns are ignored. The vocabulary
-    is the one of byte_bpe_50k.json, as ranks: both give the same ids.
+    is the one of byte_bpe_50k.json, as ranks where those can encode the text
+    and as it is for very long runs of white space: both give the same ids.
     """
     small_batches(docs.sparkSession)
-    path = public_tokenizers.path(vocabulary)
+    ranks = public_tokenizers.path(vocabulary)
+    exact = public_tokenizers.path(vocabulary.removesuffix(".tiktoken") + ".json")
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    out = columns.mapInArrow(_pieces(path, most), "doc_id long, start long, length long, ids binary, doc_tokens long")
+    out = columns.mapInArrow(_pieces(ranks, exact, most), "doc_id long, start long, length long, ids binary, doc_tokens long")
     return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 

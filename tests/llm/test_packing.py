@@ -72,3 +72,16 @@ def test_odd_rows(spark):
     assert sum(r.length for r in out if r.doc_id == 4) == [r.doc_tokens for r in out if r.doc_id == 4][0]
     assert len({r.sequence_id for r in out}) == len(out)
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_001, "a <|endoftext|>" + "\n" * 1_000_001 + "b", "x " * 60_000 + "\u3000" * 1_100_000 + " y"])
+def test_very_long_blanks(tokenizer, text):
+    paths = [public_tokenizers.path("byte_bpe_50k" + kind) for kind in (".tiktoken", ".json")]
+    assert P.encode(text, *paths) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_blanks_are_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_001), (2, "a b")], "doc_id long, text string")
+    out = P.pack(docs).select("doc_id", "length", "doc_tokens").collect()
+    assert {r.doc_id: r.doc_tokens for r in out} == {1: 1_000_002, 2: 3}
+    assert sum(r.length for r in out) == 1_000_005
