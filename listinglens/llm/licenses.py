@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pandas as pd
@@ -31,54 +34,150 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
-WORD, PARAGRAPH = re.compile(r"[a-z0-9]+"), re.compile(r"\n[\x20\x09\x0B-\x0D]*\n")
-
-
-def bigrams(text: str) -> set[tuple[str, str]]:
-    """Distinct pairs of neighbouring words: runs of a-z and 0-9 of the lower-cased text."""
+#: Licences whose whole text is a file of license_texts.
+BODIES = ("Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "BSD-3-Clause", "MPL-2.0", "CC0-1.0")
+#: Parts of those texts that stand alone in practice: file, first and last words, and the licence where it is another one.
+PARTS = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the", "limitations under the License.", None),
+    ("MIT", "Permission is hereby granted", "following conditions:", None),
+    ("MIT", "Permission is hereby granted", "portions of the Software.", None),
+    ("GPL-3.0", "This program is free software: you", "If not, see", None),
+    ("GPL-2.0", "This program is free software; you", "along with this program", None),
+    ("LGPL-2.1", "This library is free software; you", "along with this library", None),
+    ("BSD-3-Clause", "Redistribution and use", "SUCH DAMAGE.", None),
+    ("BSD-3-Clause", "Redistribution and use", "without specific prior written permission.", None),
+    ("MPL-2.0", "This Source Code Form is subject", "MPL/2.0/.", None),
+    ("GPL-3.0", "This program is free software: you", "If not, see", "LGPL-3.0"),
+    ("GPL-3.0", "This program is free software: you", "If not, see", "AGPL-3.0"),
+)
+#: Words put before "General Public License" where a part is the header of another licence.
+NAMED = {"LGPL-3.0": "Lesser", "AGPL-3.0": "Affero"}
+WORD = re.compile(r"[a-z0-9]+")
+#: What parts the segments of a text: line ends, and white space after the end of a sentence or clause.
+BREAK = re.compile(r"\n|(?<=[.!?;:])\s+")
+
+
+@functools.cache
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """(licence, text) of the bodies and their parts."""
+    folder = resources.files("listinglens.llm") / "license_texts"
+    texts = {name: (folder / f"{name}.txt").read_text("utf-8") for name in BODIES}
+    found = list(texts.items())
+    for name, first, last, other in PARTS:
+        text = " ".join(texts[name].split())
+        at = text.rindex(first)
+        part = text[at : text.index(last, at) + len(last)]
+        if other:
+            part = part.replace("General Public License", f"{NAMED[other]} General Public License")
+        found.append((other or name, part))
+    return tuple(found)
+
+
+@functools.cache
+def bigrams(text: str) -> frozenset[tuple[str, str]]:
+    """Distinct pairs of neighbouring words of a template: runs of a-z and 0-9 of the lower-cased text."""
     words = WORD.findall(text.lower())
-    return set(zip(words, words[1:]))
-
-
-def units(text: str) -> set[str]:
-    """The texts compared: the whole, its paragraphs (blank lines part them) and its lines."""
-    return {text, *PARAGRAPH.split(text), *text.split("\n")}
+    return frozenset(zip(words, words[1:]))
+
+
+class Words:
+    """The pairs of neighbouring words of a text by position, and its segments."""
+
+    def __init__(self, lowered: str):
+        found = [(m.group(), m.start()) for m in WORD.finditer(lowered)]
+        words, at = [w for w, _ in found], np.array([x for _, x in found])
+        breaks = np.array([m.end() for m in BREAK.finditer(lowered)], np.int64)
+        segment = np.searchsorted(breaks, at, side="right")
+        first = np.flatnonzero(np.diff(segment, prepend=-1))
+        self.starts = first  # first word of each segment
+        self.ends = np.append(first[1:], len(words)) - 1  # pairs before this position lie before the segment's end
+        self.segment = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
+        self.ids: dict[tuple[str, str], int] = {}
+        self.code = np.array([self.ids.setdefault(p, len(self.ids)) for p in zip(words, words[1:])], np.int64)
+        n = len(self.code)
+        order = np.argsort(self.code, kind="stable")
+        same = self.code[order[1:]] == self.code[order[:-1]]
+        self.prev, self.next = np.full(n, -1), np.full(n, n)
+        self.prev[order[1:][same]] = order[:-1][same]
+        self.next[order[:-1][same]] = order[1:][same]
+
+    def best(self, template: frozenset[tuple[str, str]], least: float) -> float:
+        """The best Dice coefficient of a run of segments, if it reaches the bound, else 0.
+
+        A run whose first segment shares no pair that the rest of the run lacks
+        is no better than the rest, and one with over (2 - least) / least pairs
+        for each of the template's is below the bound; neither is looked at.
+        """
+        m = len(template)
+        known = np.zeros(len(self.ids), bool)
+        known[[self.ids[p] for p in template if p in self.ids]] = True
+        hit = known[self.code]
+        at = np.flatnonzero(hit)
+        segments, first = np.unique(self.segment[at], return_index=True)
+        limits = np.maximum.reduceat(self.next[at], first)
+        best, most = 0.0, m * (2 - least) / least
+        for start, limit in zip(self.starts[segments].tolist(), limits.tolist(), strict=True):
+            size = 2 * m + 64
+            while True:
+                stop = min(start + size, limit)
+                fresh = self.prev[start:stop] < start
+                n = np.cumsum(fresh)
+                if stop == limit or n[-1] > most:
+                    break
+                size *= 2
+            low, high = np.searchsorted(self.ends, (start, stop), side="right")
+            ends = self.ends[low:high] - start - 1
+            if len(ends):
+                shared = np.cumsum(fresh & hit[start:stop])
+                best = max(best, float((2 * shared[ends] / (n[ends] + m)).max()))
+        return best if best >= least else 0.0
 
 
 class Matcher:
-    """Templates by number of bigrams; a unit is compared only with those that its own number lets reach the bound."""
+    """Templates by the pairs that they hold; a text's segments are compared only with those of which it holds enough pairs."""
 
-    def __init__(self, templates=TEMPLATES, least: float = LEAST):
+    def __init__(self, templates=None, least: float = LEAST):
+        every = (*TEMPLATES, *whole_texts()) if templates is None else templates
         self.least = least
-        self.templates = [(name, b) for name, text in templates if (b := bigrams(text))]
+        self.templates = [(name, b) for name, text in every if (b := bigrams(text))]
         sizes = [len(b) for _, b in self.templates]
-        self.low, self.high = (least / (2 - least) * min(sizes), (2 - least) / least * max(sizes)) if sizes else (1, 0)
+        # a run of n pairs shares at most n of m, so it needs least / (2 - least) of a template's pairs
+        self.needs = [least / (2 - least) * m for m in sizes]
+        self.low = min(self.needs, default=1)
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        for i, (_, pairs) in enumerate(self.templates):
+            for pair in pairs:
+                self.holders.setdefault(pair, []).append(i)
 
     def match(self, text: str | None) -> dict[str, float]:
         """Best Dice coefficient of each licence that reaches the bound."""
         best: dict[str, float] = {}
-        for unit in units(text) if text else ():
-            # a bigram takes at least four characters, and a unit in range has at least that many words
-            if len(unit) < 3 * self.low:
-                continue
-            pairs = bigrams(unit)
-            n = len(pairs)
-            if not self.low <= n <= self.high:
-                continue
-            for name, other in self.templates:
-                m = len(other)
-                if 2 * min(n, m) >= self.least * (n + m):
-                    dice = 2 * len(pairs & other) / (n + m)
-                    if dice >= self.least and dice > best.get(name, 0.0):
-                        best[name] = dice
+        # a pair takes at least two more characters, and a run in range has at least that many
+        if not text or len(text) < 2 * self.low:
+            return best
+        lowered = text.lower()
+        words = WORD.findall(lowered)
+        held = self.holders.keys() & set(zip(words, words[1:]))
+        if len(held) < self.low:
+            return best
+        counts = Counter(i for pair in held for i in self.holders[pair])
+        at = None
+        for i, shared in counts.items():
+            if shared >= self.needs[i] - 1e-9:
+                at = at or Words(lowered)
+                name, pairs = self.templates[i]
+                dice = at.best(pairs, self.least)
+                if dice > best.get(name, 0.0):
+                    best[name] = dice
         return best
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
-    """Rows (doc_id, license, dice): licences whose template a unit of the text reaches, best first by unit.
+def scan(docs: DataFrame, templates=None, least: float = LEAST) -> DataFrame:
+    """Rows (doc_id, license, dice): licences whose template a run of the text's segments reaches, with the best coefficient.
 
-    Units are the whole text, its paragraphs and its lines. Null and empty
-    texts match nothing; repeated rows are each scanned; ties of two templates
+    Segments are parted by line ends and ends of sentences, so the whole text,
+    its paragraphs and its lines are runs of them. Templates are the notices,
+    and the whole texts and their parts. Null and empty texts match nothing; repeated rows are each scanned; ties of two templates
     of one licence are one row; other columns are ignored.
     """
     small_batches(docs.sparkSession)
@@ -94,7 +193,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFram
 
 
 def oracle(templates=TEMPLATES, least: float = LEAST) -> str:
-    """DuckDB SQL for scan() over documents, with dice rounded to six digits."""
+    """DuckDB SQL over documents, with dice rounded to six digits: the notices in the whole text, its paragraphs and its lines.
+
+    scan() looks at every run of segments and at the whole texts too, so it may find more.
+    """
     values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in templates)
     return f"""
 WITH cut AS (

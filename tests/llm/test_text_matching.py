@@ -46,6 +46,34 @@ def test_size_bounds_lose_nothing():
             assert licenses.Matcher().match(unit) == wide.match(unit), name
 
 
+def test_whole_licences_are_found():
+    matcher = licenses.Matcher()
+    prose = "a house by the river. the people of the town met there. "
+    for name, text in licenses.whole_texts():
+        for body in (text, " ".join(text.split()), "\n".join("# " + x for x in text.split("\n"))):
+            assert matcher.match(prose * 30 + "\n" + body + "\n" + prose * 30)[name] > 0.9, name
+    first = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+    full = first + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    assert matcher.match(full)["MIT"] == 1.0
+    header = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+    assert "Apache-2.0" in matcher.match(prose + header + ". " + prose)
+    assert matcher.match(prose * 500) == {}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", "d", "e", "f", "g.", "h\n", "b.", "c\n"]), max_size=40), st.lists(st.sampled_from("abcdefgh"), min_size=2, max_size=9))
+def test_best_run_against_every_run(words, template):
+    text, given_pairs = " ".join(words), licenses.bigrams(" ".join(template))
+    parts = licenses.BREAK.split(text)
+    best = 0.0
+    for i in range(len(parts)):
+        for j in range(i + 1, len(parts) + 1):
+            pairs = licenses.bigrams(" ".join(parts[i:j]))
+            best = max(best, 2 * len(pairs & given_pairs) / (len(pairs) + len(given_pairs)))
+    found = licenses.Matcher([("x", " ".join(template))], 0.5).match(text)
+    assert found == ({"x": pytest.approx(best)} if best >= 0.5 else {})
+
+
 def test_preferences(spark):
     rows = [
         (0, "chosen", 0, "user", "hi"), (0, "chosen", 1, "assistant", "yes"), (0, "chosen", 2, "user", "ok"),
