@@ -14,10 +14,13 @@ from listinglens.llm.common import small_batches
 
 #: Bytes from which a band holds, and the least and greatest ratio of compressed to raw bytes. A frame's
 #: header outweighs what it saves in a short text, so short texts have wider bands and the shortest none. Encoded data,
-#: such as base64 with its six bits a byte, stays above the upper limits, and written text of any script below.
-BANDS = ((0, 0.0, 99.0), (256, 0.30, 0.95), (1024, 0.25, 0.75), (4096, 0.20, 0.70), (65536, 0.15, 0.68))
-#: Bytes of a chunk, the band of its ratio, and the share of chunks outside it that rejects a text.
+#: such as base64 with its six bits a byte, stays above the upper limits, and written text of any script below; under
+#: 128 bytes the two overlap.
+BANDS = ((0, 0.0, 99.0), (128, 0.35, 0.96), (256, 0.30, 0.95), (1024, 0.25, 0.75), (4096, 0.20, 0.70), (65536, 0.15, 0.68))
+#: Bytes of a chunk, the band of its ratio, and the share of a text in chunks outside it that rejects the text.
 CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (0.20, 0.72), 0.25
+#: Fewest bytes of a last chunk of its own; fewer join the chunk before.
+FEWEST_BYTES = 128
 LEVEL = 3
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 #: The base rule: fewest words, and the most per cent of words in repeated windows of WINDOW words.
@@ -67,14 +70,28 @@ def band(size: int, bands=BANDS) -> tuple[float, float]:
     return next((low, high) for start, low, high in reversed(bands) if size >= start)
 
 
+def chunk_starts(size: int) -> list[int]:
+    """Where the chunks of that many bytes begin; the last one ends with the text and may be partial, or hold a short rest."""
+    starts = list(range(0, size, CHUNK))
+    return starts[:-1] if len(starts) > 1 and size - starts[-1] < FEWEST_BYTES else starts
+
+
 def compression(raw: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """Ratio of the whole text, share of whole chunks outside their band, and whether the bands accept it."""
+    """Ratio of the whole text, share of its bytes in chunks outside their band, and whether the bands accept it.
+
+    Chunks cover every byte. One of CHUNK bytes or more has CHUNK_BAND, a shorter one the band of its length.
+    """
     if not raw:
         return 1.0, 0.0, True
     ratio = len(squeeze.compress(raw)) / len(raw)
-    chunks = [len(squeeze.compress(raw[at : at + CHUNK])) / CHUNK for at in range(0, len(raw) - CHUNK + 1, CHUNK)]
-    share = sum(not CHUNK_BAND[0] <= c <= CHUNK_BAND[1] for c in chunks) / len(chunks) if chunks else 0.0
     low, high = band(len(raw))
+    starts, bad = chunk_starts(len(raw)), 0
+    for start, end in zip(starts, [*starts[1:], len(raw)], strict=True):
+        size = end - start
+        least, most = CHUNK_BAND if size >= CHUNK else band(size)
+        part = ratio if size == len(raw) else len(squeeze.compress(raw[start:end])) / size
+        bad += 0 if least <= part <= most else size
+    share = bad / len(raw)
     return ratio, share, low <= ratio <= high and share <= CHUNK_SHARE
 
 
@@ -96,7 +113,8 @@ def rate(docs: DataFrame) -> DataFrame:
 
     Words are runs without ASCII white space. base_failed: under ten words, or
     over 20 per cent of words in repeated 5-word windows. kept: the base rule
-    and the compression bands both accept the text. Null is a text without
+    and the compression bands both accept the text; bad_chunks is the share of
+    bytes in chunks outside their band. Null is a text without
     words, which fails; repeated rows are each rated; other columns are ignored.
     """
     small_batches(docs.sparkSession)
