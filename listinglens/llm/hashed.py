@@ -11,7 +11,8 @@ import numpy as np
 BITS = 17
 SIZE = 1 << BITS
 _UPPER, _LOWER, _DIGIT = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
-_CACHE = 200_000
+#: Words remembered, and bytes of the longest remembered.
+_CACHE, _CACHE_BYTES = 200_000, 64
 _shapes: dict[bytes, int] = {}
 
 
@@ -23,10 +24,12 @@ def shape_slot(word: bytes) -> int:
     """Slot of a word's shape: runs of capitals, letters and digits are one A, a or 9; the rest stands as it is."""
     slot = _shapes.get(word)
     if slot is None:
-        shape = _DIGIT.sub(b"9", _LOWER.sub(b"a", _UPPER.sub(b"A", word[:64])))
-        if len(_shapes) >= _CACHE:
-            _shapes.clear()
-        slot = _shapes[word] = _slot(b"\0" + shape)
+        shape = _DIGIT.sub(b"9", _LOWER.sub(b"a", _UPPER.sub(b"A", word)))
+        slot = _slot(b"\0" + shape)
+        if len(word) <= _CACHE_BYTES:
+            if len(_shapes) >= _CACHE:
+                _shapes.clear()
+            _shapes[word] = slot
     return slot
 
 

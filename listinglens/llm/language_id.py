@@ -19,7 +19,8 @@ FOLDS, HELD_OUT = 5, 0
 FIT_DOCS, WORDS, GRAMS, LONGEST = 20_000, 10_000, 20_000, 4
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE = 100_000
+#: Unseen words remembered, letters of the longest remembered, and n-grams that one piece of a word begins.
+CACHE, CACHE_LETTERS, PIECE = 100_000, 64, 1024
 
 
 @dataclass
@@ -37,14 +38,15 @@ class Model:
         """Rows of the longest n-grams of an unseen word of which any is known; () if none."""
         found = self.seen.get(word)
         if found is None:
-            marked = f"^{word[:64]}$"
+            marked = f"^{word}$"
             for n in range(min(LONGEST, len(marked)), 0, -1):
                 found = tuple([r for i in range(len(marked) - n + 1) if (r := self.grams.get(marked[i : i + n])) is not None])
                 if found:
                     break
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            self.seen[word] = found
+            if len(word) <= CACHE_LETTERS:
+                if len(self.seen) >= CACHE:
+                    self.seen.clear()
+                self.seen[word] = found
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -86,14 +88,20 @@ def fit(docs: DataFrame) -> Model:
     sample = bounded_sample(known.select("doc_id", "lang", "text"), FIT_DOCS)
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term")).where("term <> ''")
     words = stage_table(words.groupBy("lang", "term").agg(F.count("*").alias("n")), "lang-words")
-    marked = F.concat(F.lit("^"), F.substring("term", 1, 64), F.lit("$"))
+    # long words go in pieces, each with the letters that its last n-grams need: a position in a string is found from its start
+    marked = F.concat(F.lit("^"), "term", F.lit("$"))
+    pieces = words.select("lang", "n", marked.alias("marked")).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("marked"), F.lit(PIECE))))
+    left = F.length("marked") - F.col("at") + 1
+    pieces = pieces.select("lang", "n", "at", left.alias("left"), F.substr("marked", F.col("at"), F.lit(PIECE + LONGEST - 1)).alias("piece"))
 
     def cut(n: int):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substr(marked, i, F.lit(n)))
+        count = F.least(F.col("left") - n + 1, F.lit(PIECE))
+        count = F.when(F.col("at") == 1, F.greatest(count, F.lit(1))).otherwise(count)
+        starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(starts, lambda i: F.substr("piece", i, F.lit(n)))
 
     cuts = [cut(n) for n in range(1, LONGEST + 1)]
-    grams = words.select("lang", "n", F.explode(F.concat(*cuts)).alias("term")).groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    grams = pieces.select("lang", "n", F.explode(F.concat(*cuts)).alias("term")).groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
     def most(rows: DataFrame, k: int, kind: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term"))

@@ -56,6 +56,27 @@ def test_bands_reject_noise_and_repeats(spark):
     assert Q.rate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_the_rest_of_a_text_is_a_chunk(spark):
+    rng = np.random.default_rng(4)
+    prose = " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(1200)).encode()
+    noise = " ".join(base64.b64encode(rng.bytes(30)).decode() for _ in range(120)).encode()
+    rows = [(1, prose[:4096] + noise[:3072]), (2, prose[:4096] + prose[:50]), (3, prose[:4096] + noise[:200]), (4, prose[:5000])]
+    rows += [(5, base64.b64encode(rng.bytes(170)).replace(b"/", b" ")[:200]), (6, prose[:200])]
+    out = {r.doc_id: r for r in Q.rate(spark.createDataFrame([(i, x.decode()) for i, x in rows], "doc_id long, text string")).collect()}
+    assert out[1].bad_chunks == 3072 / 7168 and not out[1].kept and not out[1].base_failed
+    assert [out[i].bad_chunks for i in (2, 4, 6)] == [0, 0, 0]
+    assert out[3].bad_chunks == 200 / 4296  # a small bad rest weighs by its bytes
+    assert out[5].bad_chunks == 1 and out[6].kept
+
+
+@pytest.mark.parametrize("size", [1, 127, 4096, 4097, 4223, 4224, 8191, 20_000])
+def test_chunks_cover_the_text(size):
+    starts = Q.chunk_starts(size)
+    ends = [*starts[1:], size]
+    assert starts[0] == 0 and all(a < b for a, b in zip(starts, ends))
+    assert all(b - a == Q.CHUNK for a, b in zip(starts[:-1], ends)) and ends[-1] - starts[-1] < Q.CHUNK + Q.FEWEST_BYTES
+
+
 def test_language_of_held_out_documents(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -75,6 +96,26 @@ def test_language_backs_off(spark):
     assert sorted((r.doc_id, r.lang_pred) for r in out.collect()) == [(1, "und"), (2, "de"), (2, "de")]
 
 
+def test_language_reads_long_runs_to_their_end(spark):
+    head, a, b = "xyzw" * 25, "水木火土" * 700, "ありがと" * 700
+    rows = [(i, head + a, "zh") for i in range(20)] + [(100 + i, head + b, "ja") for i in range(20)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {"木火土水", "がとあり", "火土$", "w水木火"} <= set(model.grams)  # beyond 64 letters, the end, and across the change
+    assert model.predict(head + a[:40])[0] == "zh" and model.predict(head + b[:40])[0] == "ja"
+
+
+def test_counts_of_ngrams_do_not_depend_on_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "abcdefghij klmnopqrst ab c" + "uvwx" * i, "en") for i in range(12)], "doc_id long, text string, lang string")
+    whole = L.fit(docs)
+    monkeypatch.setattr(L, "PIECE", 3)
+    cut = L.fit(docs)
+    assert cut.grams == whole.grams and np.array_equal(cut.rates, whole.rates)
+
+
+def test_shapes_of_whole_words():
+    assert H.shape_slot(b"-" * 64 + b"a") != H.shape_slot(b"-" * 64 + b"9")
+
+
 def test_language_without_training_rows(spark):
     model = L.fit(spark.createDataFrame([(1, "x", None)], "doc_id long, text string, lang string"))
     assert model.predict("word") == (L.UNKNOWN, 0.0)
