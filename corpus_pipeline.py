@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of each group of near copies the document with the smallest id stays."""
+    """Operator 7: of each group of near copies the row with the smallest id stays, null ids last."""
     return near_dedup.one_of_each(docs)
 
 

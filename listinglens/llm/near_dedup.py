@@ -8,7 +8,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -261,12 +261,17 @@ def hex_fingerprint(column):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay: of each near-duplicate component the one with the smallest key, all columns kept.
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay: one of each near-duplicate component, all columns kept.
 
-    Rows that repeat a key are one document; the first by content stays.
+    The row with the smallest key stays, null keys last; among equal keys the
+    first by content. Rows are told apart by their place in a staged copy, not
+    by the key, so a key may be null or repeated.
     """
-    kept = near_duplicates(docs, key=key).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    rest = docs.join(kept, key, "left_semi")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])))
-    return rest.withColumn("_rank_of_key", rank).where("_rank_of_key = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    content = F.xxhash64(*[c.cast("string") for c in columns])
+    order = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), content.alias("content"), F.col("_row").alias("row"))
+    ranked = near_duplicates(rows.select(order.alias("_order"), F.col(text).alias("text")), key="_order")
+    kept = ranked.where("_order.row = component_id.row").select(F.col("_order.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*columns)

@@ -131,3 +131,14 @@ def test_many_tables_give_the_same_links(spark):
     df = spark.createDataFrame([(int(x),) for x in codes], "fp long")
     one, many = ({r.node: r.root for r in N.connected(N.similar_links(df, n)).collect()} for n in (len(codes), 2**31))
     assert one == many
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    long = "one two three four five six seven eight nine ten"
+    other = "red orange yellow green blue indigo violet black white grey"
+    third = "north south east west up down left right in out"
+    rows = [(None, long, 1), (None, other, 2), (None, other, 3), (5, other, 4), (7, third, 5), (7, "p q r s t u v w x y", 6), (8, third, 7), (None, None, 8), (None, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = sorted((r.doc_id or 0, r.text or "") for r in N.one_of_each(docs).collect())
+    # a null id stays where its component has no other; of the repeated id 7 both texts stay
+    assert kept == [(0, ""), (0, long), (5, other), (7, third), (7, "p q r s t u v w x y")]
