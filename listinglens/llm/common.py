@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: texts are long, and a worker holds one batch at a time.
-ARROW_ROWS = 500
+#: Rows and bytes of one Arrow batch: texts are long, and a worker holds one batch at a time.
+ARROW_ROWS, ARROW_BYTES = 500, 32 << 20
+#: A key is hot if it has over 1 / HOT of all rows: fewer than HOT keys are, so what joins them can be broadcast.
+HOT = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -20,28 +22,75 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches at ARROW_ROWS rows, so that a batch of long texts fits a Python worker."""
+    """Hold the session's Arrow batches at ARROW_ROWS and ARROW_BYTES, so that a batch of long texts fits a Python worker.
+
+    Spark reads both settings when a plan runs, so they stay set afterwards.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset on one machine (tests)."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-", dir=os.environ.get("TMPDIR"))
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
         context.setCheckpointDir(found)
     return found
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends at files that every executor can reach."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """left joined with right on key, where a key may have a large share of left's `total` rows.
+
+    right has at most a few rows for each key, and in `count` how many rows of
+    left have that key; the column is dropped. Rows of right for hot keys,
+    fewer than HOT keys, are broadcast; the other keys meet in a shuffle.
+    """
+    if total <= HOT:
+        return left.join(right.drop(count), key)
+    hot = stage_table(right.where(F.col(count) * HOT > F.lit(max(total, HOT * HOT))).drop(count), "hot-keys")
+    rest = right.drop(count)
+    if hot.isEmpty():
+        return left.join(rest, key)
+    keys = F.broadcast(hot.select(key).distinct())
+    return left.join(F.broadcast(hot), key).unionByName(left.join(keys, key, "left_anti").join(rest, key))
+
+
 def crc_bucket(doc_id, modulus: int):
     """crc32 of the id as decimal text, modulo modulus: the fixed fold of a document."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
+
+
+def held_out(doc_id, modulus: int, fold: int):
+    """Whether a document is of the fold that is never learned from; a null id is of none."""
+    return F.coalesce(crc_bucket(doc_id, modulus) == fold, F.lit(False))
+
+
+def sampled(rows: DataFrame, bound: int, most_bytes: int, text: str = "text") -> DataFrame:
+    """About `bound` rows that hold about `most_bytes` of text, or all if there are fewer; chosen by a hash of doc_id and text."""
+    size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0))
+    n, held = rows.agg(F.count("*"), size).first()
+    share = min(1.0, bound / max(1, n), most_bytes / max(1, held))
+    return rows.where(F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 40)) < int(share * (1 << 40)))
