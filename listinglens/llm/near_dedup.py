@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listinglens.llm.common import small_batches, stage_table
+from listinglens.llm.common import fresh_path, join_hot, remove, small_batches, stage_table
 
 #: Differing bits that link at most. Of m blocks of a fingerprint, two linked ones agree in m - DISTANCE at least, so they
 #: meet in one of C(m, DISTANCE) tables keyed by so many blocks: 5 tables of 12 bits, 15 of 20, 35 of 27 or 70 of 32.
@@ -213,23 +213,29 @@ def connected(edges: DataFrame, name: str = "stars", rounds: int = 60) -> DataFr
     """Rows (node, root): the smallest node of each component, for nodes with an edge in `edges` (a, b).
 
     Alternating large-star and small-star steps; each round is written to the
-    shared folder, and the rounds end when the edges no longer change.
+    shared folder, where the round before it goes, and the rounds end when the
+    edges no longer change. The hub of a large star meets its edges in a
+    broadcast, so that no task holds them all.
     """
+    spark = edges.sparkSession
     lower = F.least("a", "b").alias("b")
-    stars = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), lower).distinct(), name)
-    mark = None
+    path = fresh_path(spark, name)
+    stars = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), lower).distinct(), name, path)
+    n, mark = stars.count(), None
     for _ in range(rounds):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        nearest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(nearest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        nearest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        large = join_hot(both.where("b > a"), nearest, "a", "n", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.unionByName(stars.where("a > b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = stage_table(moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), name)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        moved = join_hot(large, least, "a", "n", 2 * n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old, path = path, fresh_path(spark, name)
+        stars = stage_table(moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), name, path)
+        remove(spark, old)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = now
+        n, mark = now[0], now
     raise RuntimeError("components did not settle")
 
 
@@ -237,23 +243,23 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_i
     """Rows (key, fp, component_id), one per input row.
 
     Texts whose fingerprints differ in at most `distance` bits are linked;
-    component_id is the smallest key that can be reached. Null and empty texts
-    have fingerprint zero and link like any other; an empty table gives none.
-    Other columns of docs are not read, so clashing names do no harm.
+    component_id is the smallest key that can be reached, null if no row of the
+    component has one. Null and empty texts have fingerprint zero and link like
+    any other; repeated rows and rows that share a key are each reported; an
+    empty table gives none. Other columns of docs are not read, so clashing
+    names do no harm.
     """
-    fps = stage_table(fingerprints(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))), "fps")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    fps = stage_table(fingerprints(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))), "fps")
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     distinct = stage_table(distinct, "distinct-fps")
-    links = similar_links(distinct.select("fp"), distinct.count(), distance)
+    n_distinct = distinct.count()
+    links = similar_links(distinct.select("fp"), n_distinct, distance)
     roots = connected(links)
-    labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = labelled.where(F.col("root") != F.col("fp")).groupBy("root").agg(F.min("least_id").alias("other_id"))
-    smallest = (
-        labelled.join(least, "root", "left").select("fp", F.least("least_id", "other_id").alias("own_id"), "root", "least_id")
-    )
-    head = smallest.where(F.col("root") == F.col("fp")).select("root", F.col("own_id").alias("component_id"))
-    named = labelled.join(head, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col("doc_id").alias(key), "fp", "component_id")
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", "copies", F.coalesce("root", "fp").alias("root"))
+    rooted = stage_table(rooted, "rooted-fps")
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members"))
+    named = join_hot(rooted, least, "root", "members", n_distinct).select("fp", "copies", "component_id")
+    return join_hot(fps, named, "fp", "copies", fps.count()).select(F.col("doc_id").alias(key), "fp", "component_id")
 
 
 def hex_fingerprint(column):
@@ -266,12 +272,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     The row with the smallest key stays, null keys last; among equal keys the
     first by content. Rows are told apart by their place in a staged copy, not
-    by the key, so a key may be null or repeated.
+    by the key, so a key may be null or repeated, and no column of docs can
+    clash with a helper's.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    content = F.xxhash64(*[c.cast("string") for c in columns])
-    order = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), content.alias("content"), F.col("_row").alias("row"))
-    ranked = near_duplicates(rows.select(order.alias("_order"), F.col(text).alias("text")), key="_order")
-    kept = ranked.where("_order.row = component_id.row").select(F.col("_order.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stage_table(docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("doc")), "rows")
+    own = F.col("doc").getField(key)
+    content = F.xxhash64(*[F.col("doc").getField(c).cast("string") for c in docs.columns])
+    order = F.struct(own.isNull().alias("no_key"), own.alias("key"), content.alias("content"), F.col("row").alias("row"))
+    found = near_duplicates(rows.select(order.alias("order"), F.col("doc").getField(text).alias("text")), key="order")
+    kept = found.where("order.row = component_id.row").select(F.col("order.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from listinglens.llm import near_dedup as N
 from listinglens.llm import queries as K
@@ -51,7 +52,7 @@ def test_simhash_of_nothing():
 def test_index_finds_the_components(seed, n, spread):
     rng = np.random.default_rng(seed)
     centres = rng.integers(0, 2**63, 4, dtype=np.uint64)
-    flips = np.array([sum(1 << int(b) for b in rng.integers(0, spread, rng.integers(0, 7))) for _ in range(n)], dtype=np.uint64)
+    flips = np.array([sum(1 << b for b in set(rng.integers(0, spread, rng.integers(0, 7)).tolist())) for _ in range(n)], dtype=np.uint64)
     codes = np.unique(centres[rng.integers(0, 4, n)] ^ flips)
     leaves, roots = N.index_links(codes)
     ids = list(range(len(leaves)))
@@ -142,3 +143,29 @@ def test_one_of_each_with_null_and_repeated_ids(spark):
     kept = sorted((r.doc_id or 0, r.text or "") for r in N.one_of_each(docs).collect())
     # a null id stays where its component has no other; of the repeated id 7 both texts stay
     assert kept == [(0, ""), (0, long), (5, other), (7, third), (7, "p q r s t u v w x y")]
+
+
+def test_hot_keys_meet_in_a_broadcast(spark, monkeypatch):
+    from listinglens.llm import common as M
+
+    monkeypatch.setattr(M, "HOT", 3)
+    left = spark.createDataFrame([(i % 40 if i % 2 else 7, i) for i in range(400)] + [(None, -1)], "k long, i long")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 10)
+    found = M.join_hot(left, right, "k", "n", 401)
+    assert "Broadcast" in found._jdf.queryExecution().executedPlan().toString() and found.columns == ["k", "i", "v"]
+    assert sorted(tuple(r) for r in found.collect()) == sorted((k, i, k * 10) for k, i in left.collect() if k is not None)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(i, i + 100) for i in range(1, 60)], "a long, b long")
+    assert {r.root for r in N.connected(edges).collect()} == {0}
+
+
+def test_helper_names_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5), (2, "a b c d e f", 6)], "doc_id long, text string, row int")
+    for name in ("doc", "order", "fp", "component_id", "_row", "copies"):
+        docs = docs.withColumn(name, F.lit(9))
+    kept = N.one_of_each(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", 5, *[9] * 6)]
+
+
+def test_one_of_each_of_nothing(spark):
+    assert N.one_of_each(spark.createDataFrame([], "doc_id long, text string, x int")).columns == ["doc_id", "text", "x"]
+    assert N.one_of_each(spark.createDataFrame([], "doc_id long, text string, x int")).count() == 0
