@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from importlib import resources
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +25,8 @@ TEMPLATES = (
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -44,17 +42,18 @@ PARTS = (
     ("GPL-3.0", "This program is free software: you", "If not, see", None),
     ("GPL-2.0", "This program is free software; you", "along with this program", None),
     ("LGPL-2.1", "This library is free software; you", "along with this library", None),
+    ("BSD-2-Clause", "Redistribution and use", "SUCH DAMAGE.", None),
     ("BSD-3-Clause", "Redistribution and use", "SUCH DAMAGE.", None),
     ("BSD-3-Clause", "Redistribution and use", "without specific prior written permission.", None),
     ("MPL-2.0", "This Source Code Form is subject", "MPL/2.0/.", None),
     ("GPL-3.0", "This program is free software: you", "If not, see", "LGPL-3.0"),
     ("GPL-3.0", "This program is free software: you", "If not, see", "AGPL-3.0"),
 )
+#: The licence that another one is without a part: name, the other's file, first and last words of the part.
+WITHOUT = ("BSD-2-Clause", "BSD-3-Clause", "3. Neither the name", "written permission.")
 #: Words put before "General Public License" where a part is the header of another licence.
 NAMED = {"LGPL-3.0": "Lesser", "AGPL-3.0": "Affero"}
 WORD = re.compile(r"[a-z0-9]+")
-#: What parts the segments of a text: line ends, and white space after the end of a sentence or clause.
-BREAK = re.compile(r"\n|(?<=[.!?;:])\s+")
 
 
 @functools.cache
@@ -62,6 +61,9 @@ def whole_texts() -> tuple[tuple[str, str], ...]:
     """(licence, text) of the bodies and their parts."""
     folder = resources.files("listinglens.llm") / "license_texts"
     texts = {name: (folder / f"{name}.txt").read_text("utf-8") for name in BODIES}
+    new, old, first, last = WITHOUT
+    at = texts[old].index(first)
+    texts[new] = texts[old][:at] + texts[old][texts[old].index(last, at) + len(last) :]
     found = list(texts.items())
     for name, first, last, other in PARTS:
         text = " ".join(texts[name].split())
@@ -81,17 +83,9 @@ def bigrams(text: str) -> frozenset[tuple[str, str]]:
 
 
 class Words:
-    """The pairs of neighbouring words of a text by position, and its segments."""
-
-    def __init__(self, lowered: str):
-        found = [(m.group(), m.start()) for m in WORD.finditer(lowered)]
-        words, at = [w for w, _ in found], np.array([x for _, x in found])
-        breaks = np.array([m.end() for m in BREAK.finditer(lowered)], np.int64)
-        segment = np.searchsorted(breaks, at, side="right")
-        first = np.flatnonzero(np.diff(segment, prepend=-1))
-        self.starts = first  # first word of each segment
-        self.ends = np.append(first[1:], len(words)) - 1  # pairs before this position lie before the segment's end
-        self.segment = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
+    """The pairs of neighbouring words of a text by position, and where each pair stands before and after."""
+
+    def __init__(self, words: list[str]):
         self.ids: dict[tuple[str, str], int] = {}
         self.code = np.array([self.ids.setdefault(p, len(self.ids)) for p in zip(words, words[1:])], np.int64)
         n = len(self.code)
@@ -101,23 +95,23 @@ class Words:
         self.prev[order[1:][same]] = order[:-1][same]
         self.next[order[:-1][same]] = order[1:][same]
 
-    def best(self, template: frozenset[tuple[str, str]], least: float) -> float:
-        """The best Dice coefficient of a run of segments, if it reaches the bound, else 0.
+    def runs(self, template: frozenset[tuple[str, str]], least: float) -> list[tuple[float, int, int]]:
+        """(Dice coefficient, first pair, last pair) of runs of words that reach the bound: the best, then those apart from it.
 
-        A run whose first segment shares no pair that the rest of the run lacks
-        is no better than the rest, and one with over (2 - least) / least pairs
-        for each of the template's is below the bound; neither is looked at.
+        A run whose first pair is not the template's, or comes again inside it,
+        is no better without that pair; one with over (2 - least) / least pairs
+        for each of the template's is below the bound. No such run is looked at.
         """
         m = len(template)
         known = np.zeros(len(self.ids), bool)
         known[[self.ids[p] for p in template if p in self.ids]] = True
         hit = known[self.code]
-        at = np.flatnonzero(hit)
-        segments, first = np.unique(self.segment[at], return_index=True)
-        limits = np.maximum.reduceat(self.next[at], first)
-        best, most = 0.0, m * (2 - least) / least
-        for start, limit in zip(self.starts[segments].tolist(), limits.tolist(), strict=True):
-            size = 2 * m + 64
+        found, most, need = [], m * (2 - least) / least, m * least / (2 - least) - 1e-9
+        done = -1
+        for start in np.flatnonzero(hit).tolist():
+            if start <= done:  # inside a run that is the template
+                continue
+            size, limit = 2 * m + 64, int(self.next[start])
             while True:
                 stop = min(start + size, limit)
                 fresh = self.prev[start:stop] < start
@@ -125,12 +119,24 @@ class Words:
                 if stop == limit or n[-1] > most:
                     break
                 size *= 2
-            low, high = np.searchsorted(self.ends, (start, stop), side="right")
-            ends = self.ends[low:high] - start - 1
-            if len(ends):
-                shared = np.cumsum(fresh & hit[start:stop])
-                best = max(best, float((2 * shared[ends] / (n[ends] + m)).max()))
-        return best if best >= least else 0.0
+            shared = np.cumsum(fresh & hit[start:stop])
+            if shared[-1] < need:
+                continue
+            dice = 2 * shared / (n + m)
+            last = int(dice.argmax())
+            if dice[last] >= least:
+                found.append((float(dice[last]), start, start + last))
+                done = start + last if dice[last] == 1 else done
+        return apart(sorted(found, key=lambda r: (-r[0], r[1])))
+
+
+def apart(runs: list[tuple]) -> list[tuple]:
+    """The runs, the best first, that share no pair of words with one before them; a run ends with its first and last pair."""
+    kept: list[tuple] = []
+    for run in runs:
+        if all(run[-1] < other[-2] or other[-1] < run[-2] for other in kept):
+            kept.append(run)
+    return kept
 
 
 class Matcher:
@@ -151,51 +157,54 @@ class Matcher:
 
     def match(self, text: str | None) -> dict[str, float]:
         """Best Dice coefficient of each licence that reaches the bound."""
-        best: dict[str, float] = {}
         # a pair takes at least two more characters, and a run in range has at least that many
         if not text or len(text) < 2 * self.low:
-            return best
-        lowered = text.lower()
-        words = WORD.findall(lowered)
+            return {}
+        words = WORD.findall(text.lower())
         held = self.holders.keys() & set(zip(words, words[1:]))
         if len(held) < self.low:
-            return best
+            return {}
         counts = Counter(i for pair in held for i in self.holders[pair])
-        at = None
+        placed, runs = None, []
         for i, shared in counts.items():
             if shared >= self.needs[i] - 1e-9:
-                at = at or Words(lowered)
+                placed = placed or Words(words)
                 name, pairs = self.templates[i]
-                dice = at.best(pairs, self.least)
-                if dice > best.get(name, 0.0):
-                    best[name] = dice
+                runs += [(dice, name, first, last) for dice, first, last in placed.runs(pairs, self.least)]
+        best: dict[str, float] = {}
+        for dice, name, _, _ in apart(sorted(runs, key=lambda r: (-r[0], r[2] - r[3], r[1], r[2]))):
+            best[name] = max(best.get(name, 0.0), dice)
         return best
 
 
 def scan(docs: DataFrame, templates=None, least: float = LEAST) -> DataFrame:
-    """Rows (doc_id, license, dice): licences whose template a run of the text's segments reaches, with the best coefficient.
-
-    Segments are parted by line ends and ends of sentences, so the whole text,
-    its paragraphs and its lines are runs of them. Templates are the notices,
-    and the whole texts and their parts. Null and empty texts match nothing; repeated rows are each scanned; ties of two templates
-    of one licence are one row; other columns are ignored.
+    """Rows (doc_id, license, dice): licences whose template a run of the text's words reaches, with the best coefficient.
+
+    Every run of words within a template's size bounds counts, so a notice may
+    stand inside a sentence or be wrapped over lines. Of runs that overlap the
+    best stays, then the longest, then the first name: the header of one
+    version is not also that of another. Templates are the notices, and the
+    whole texts and their parts. Null and empty texts match nothing; a null id
+    stays null; repeated rows are each scanned; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     matcher = Matcher(templates, least)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, name, dice) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for name, dice in matcher.match(t).items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "license", "dice"]).astype({"doc_id": np.int64, "dice": float})
+            rows = [(i, name, dice) for i, t in enumerate(batch.column(1).to_pylist()) for name, dice in matcher.match(t).items()]
+            own = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            cells = [pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())]
+            yield pa.RecordBatch.from_arrays([own, *cells], ["doc_id", "license", "dice"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return narrow.mapInPandas(run, "doc_id long, license string, dice double")
+    return narrow.mapInArrow(run, "doc_id long, license string, dice double")
 
 
 def oracle(templates=TEMPLATES, least: float = LEAST) -> str:
     """DuckDB SQL over documents, with dice rounded to six digits: the notices in the whole text, its paragraphs and its lines.
 
-    scan() looks at every run of segments and at the whole texts too, so it may find more.
+    scan() looks at every run of words and at the whole texts too, so it may find more.
     """
     values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in templates)
     return f"""
