@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,31 +193,30 @@ def _search(passages: Passages, texts: list[str]) -> list[tuple[int, int, int, i
     return found
 
 
-def _searcher(passages: Passages):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _searcher(shared: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            ids = batch["doc_id"].to_numpy()
-            rows = list(search(passages, [t or "" for t in batch["text"]]))
-            out = pd.DataFrame(rows, columns=["row", "item", "start", "end", "edits"])
-            out.insert(0, "doc_id", ids[out.pop("row").to_numpy(int)])
-            out["item_id"] = [passages.items[j][0] for j in out.pop("item")]
-            yield out[["doc_id", "item_id", "start", "end", "edits"]].astype("int64")
+            rows = list(search(shared.value, [t or "" for t in batch.column(1).to_pylist()]))
+            own = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            items = pa.array([shared.value.items[r[1]][0] for r in rows], pa.int64())
+            spans = [pa.array([r[i] for r in rows], pa.int64()) for i in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([own, items, *spans], ["doc_id", "item_id", "start", "end", "edits"])
 
     return run
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[Passages]:
-    """The passages in blocks of at most `most` code points or one passage; only one block is held at a time."""
+def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[Broadcast]:
+    """The passages in blocks of at most `most` code points or one passage, each broadcast: Spark keeps it in files, the driver holds one at a time."""
+    context = benchmark.sparkSession.sparkContext
     ids, texts, size = [], [], 0
-    for row in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
+    narrow = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    for row in narrow.orderBy("item_id", "text").toLocalIterator():
         if ids and size + len(row["text"]) > most:
-            yield Passages(ids, texts)
+            yield context.broadcast(Passages(ids, texts))
             ids, texts, size = [], [], 0
         ids.append(row["item_id"]), texts.append(row["text"])
         size += len(row["text"])
-    yield Passages(ids, texts)
+    yield context.broadcast(Passages(ids, texts))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -223,31 +224,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Text and passages are compared with letters lower-cased and every run of
     other characters as a space; start and end count folded characters. One
-    row, the best region, for each document row and passage. Passages shorter
-    than a q-gram must stand there whole. Null and empty texts and passages
-    match nothing; repeated rows are each searched; empty tables give no rows.
+    row, the best region, for each document row and passage row. Passages
+    shorter than a q-gram must stand there whole. Null and empty texts and
+    passages match nothing; null ids of either table stay null; repeated rows
+    are each searched; empty tables give no rows. The benchmark is the stated
+    query set: each block of it is one pass over docs.
     """
     small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     found = None
-    for passages in blocks(benchmark):
-        part = narrow.mapInPandas(_searcher(passages), "doc_id long, item_id long, start long, end long, edits long")
+    for shared in blocks(benchmark):
+        part = narrow.mapInArrow(_searcher(shared), "doc_id long, item_id long, start long, end long, edits long")
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that hold no benchmark passage; a map over the rows, without a shuffle."""
+    """The rows of docs, all columns, that hold no benchmark passage; a map over the rows, without a shuffle. Null texts stay."""
     small_batches(docs.sparkSession)
-    for passages in blocks(benchmark):
-        docs = docs.where(_clean(passages)(F.col("text")))
+    for shared in blocks(benchmark):
+        docs = docs.where(_clean(shared)(F.col("text")))
     return docs
 
 
-def _clean(passages: Passages):
+def _clean(shared: Broadcast):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        hit = {row[0] for row in search(passages, [t or "" for t in texts])}
-        return pd.Series([i not in hit for i in range(len(texts))])
+        hit = {row[0] for row in search(shared.value, [t or "" for t in texts])}
+        return pd.Series([i not in hit for i in range(len(texts))], dtype=bool)
 
     return clean
