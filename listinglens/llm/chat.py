@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How a turn is written, and the role whose turns are trained on.
@@ -28,18 +28,17 @@ def _written(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: _rendered(t["role"], t["text"])), "")
 
 
-def _masked(turns: Column) -> Column:
-    """start-end of the text of each trained turn in the written turns, in code points, comma-joined."""
-    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+def _masked(turns: Column, before: Column) -> Column:
+    """start-end of the text of each trained turn in the written turns, in code points, comma-joined.
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(t["role"]) + len(OPEN + CLOSE)
-        end = start + F.length(t["text"])
-        span = F.concat_ws("-", start.cast("string"), end.cast("string"))
-        out = F.when(t["role"] == TRAINED, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct((end + len(END)).alias("at"), out.alias("out"))
+    Each turn knows where it ends in its whole conversation; before is where the written turns begin there.
+    """
+
+    def span(t: Column) -> Column:
+        end = t["at"] - before - len(END)
+        return F.concat_ws("-", (end - F.length(t["text"])).cast("string"), end.cast("string"))
 
-    return F.aggregate(turns, begin, step, lambda acc: F.array_join(acc["out"], ","))
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == TRAINED), span), ",")
 
 
 def _side(turns: Column, side: str) -> Column:
@@ -56,7 +55,8 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     the completion that are trained on, those of assistant text. Null roles
     and texts count as empty; rows that repeat a turn of one side count once,
     the least by role and text if they differ; rows without a pair, side or
-    turn are left out, and pairs that lack a side give no row.
+    turn are left out, and pairs that lack a side give no row; other columns are
+    ignored.
     """
     clean = turns.where("pair_id is not null and side in ('chosen', 'rejected') and turn is not null").select(
         "pair_id", "side", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
@@ -65,9 +65,14 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     by_turn = clean.groupBy("pair_id", "turn").agg(
         F.min(F.when(F.col("side") == "chosen", said)).alias("c"), F.min(F.when(F.col("side") == "rejected", said)).alias("r")
     )
-    packed = by_turn.groupBy("pair_id").agg(
+    # where each turn ends in its side's conversation: running sums of one sort, not a fold that copies what it has gathered
+    so_far = Window.partitionBy("pair_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = {f"{s}_at": F.sum(F.coalesce(F.length(_rendered(F.col(f"{s}.role"), F.col(f"{s}.text"))), F.lit(0))).over(so_far) for s in "cr"}
+    placed = by_turn.withColumns(ends)
+    sides = [F.when(F.col(s).isNotNull(), F.struct(f"{s}.role", f"{s}.text", F.col(f"{s}_at").alias("at"))).alias(s) for s in "cr"]
+    packed = placed.groupBy("pair_id").agg(
         F.min(F.when(~F.col("c").eqNullSafe(F.col("r")), F.col("turn"))).alias("split"),
-        F.array_sort(F.collect_list(F.struct("turn", "c", "r"))).alias("turns"),
+        F.array_sort(F.collect_list(F.struct("turn", *sides))).alias("turns"),
         F.count("c").alias("n_c"),
         F.count("r").alias("n_r"),
     )
@@ -79,14 +84,15 @@ def format_preferences(turns: DataFrame) -> DataFrame:
         _side(later, "c").alias("c"),
         _side(later, "r").alias("r"),
     )
+    cut = cut.withColumn("before", F.coalesce(F.try_element_at("p", F.lit(-1))["at"], F.lit(0)))
     return cut.select(
         "pair_id",
         F.size("p").cast("long").alias("n_prompt_turns"),
         _written(F.col("p")).alias("prompt"),
         _written(F.col("c")).alias("chosen"),
         _written(F.col("r")).alias("rejected"),
-        _masked(F.col("c")).alias("chosen_mask"),
-        _masked(F.col("r")).alias("rejected_mask"),
+        _masked(F.col("c"), F.col("before")).alias("chosen_mask"),
+        _masked(F.col("r"), F.col("before")).alias("rejected_mask"),
     )
 
 
