@@ -1,6 +1,7 @@
 """Personal data: base spans against Python's regular expressions, discovered spans, redaction."""
 
 import hashlib
+import random
 import re
 
 from listinglens.llm import pii as P
@@ -92,3 +93,89 @@ def test_main_path_is_native(spark):
     docs = spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string")
     plan = P.redact(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_many_matches_in_one_text(spark):
+    """Over two levels of strides, with tokens between and inside base spans."""
+    text = "".join(f"id{i}x77 u{i}@m{i % 7}.example, 10.0.{i % 300}.{i % 255} é " for i in range(6000))
+    docs = spark.createDataFrame([(1, text), (2, "😀 " * 5000 + "a@b.c")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in P.digests(P.find(docs)).collect()}
+    for i, t in ((1, text), (2, "😀 " * 5000 + "a@b.c")):
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(plain_spans(t)).encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in P.redact(docs).collect()}
+    for i, t in ((1, text), (2, "😀 " * 5000 + "a@b.c")):
+        out, at = [], 0
+        spans = [s.split(":") for s in (rows[i].spans or "").split(",")]
+        for kind, a, b in sorted(spans, key=lambda s: (int(s[1]), int(s[2]))):
+            if int(a) >= at:
+                out += [t[at : int(a)], f"[{kind.upper()}]"]
+            at = max(at, int(b))
+        assert clean[i] == "".join(out) + t[at:]
+
+
+def plain_bootstrap(texts):
+    """Spans that the bootstrap adds to the base ones, by loops over dictionaries."""
+    occ = []
+    for d, text in enumerate(texts):
+        base = [(k, m.start(), m.end()) for k, p in BASE.items() for m in re.finditer(p, text) if f"{k}:{m.start()}:{m.end()}" in plain_spans(text)]
+        tokens = [m for m in re.finditer(P.TOKEN.replace("*+", "*").replace("}+", "}"), text) if len(re.sub("[^0-9]", "", m.group())) >= P.FEWEST_DIGITS]
+        every = {k: list(re.finditer(p, text)) for k, p in BASE.items()}
+        for kind, found in [*every.items(), (None, list(re.finditer(P.TOKEN.replace("*+", "*").replace("}+", "}"), text)))]:
+            for n, m in enumerate(found):
+                if kind and (kind, m.start(), m.end()) not in base:
+                    continue
+                if not kind and (m.group() not in [t.group() for t in tokens] or any(a < m.end() and m.start() < b for _, a, b in base)):
+                    continue
+                before = text[found[n - 1].end() if n else 0 : m.start()][-P.CONTEXT :]
+                after = text[m.end() : found[n + 1].start() if n + 1 < len(found) else len(text)][: P.CONTEXT]
+                left, right = ([w for w in re.split(r"[\W_]+", x.lower()) if w] for x in (before, after))
+                pats = [f"L|{left[-2]} {left[-1]}"] if len(left) > 1 else []
+                pats += [f"B|{left[-1]}|{right[0]}"] if left and right else []
+                occ.append((d, kind, m.start(), m.end(), m.group(), pats))
+    edges = {(p, o[4], o[1]) for o in occ for p in o[5]}
+    known, found = {(p, v, k): 1.0 for p, v, k in edges if k}, {}
+    for _ in range(P.ROUNDS):
+        now = dict(known) | {(p, v, found[v][0]): found[v][1] for p, v, k in edges if k is None and v in found}
+        conf = {}
+        for p, k in {(p, k) for p, _, k in now}:
+            scores = [s for (q, _, j), s in now.items() if (q, j) == (p, k)]
+            share = min(sum(scores) / len({v for q, v, _ in edges if q == p}), 0.95)
+            if len(scores) >= P.SUPPORT and share >= P.CONFIDENCE:
+                conf[p, k] = share
+        doubts = {}
+        for p, v, k in edges:
+            if k is None:
+                for (q, j), c in conf.items():
+                    if q == p:
+                        doubts[v, j] = doubts.get((v, j), 1.0) * (1 - c)
+        best = {}
+        for (v, k), doubt in doubts.items():
+            best[v] = max(best.get(v, (0, "")), (1 - doubt, k))
+        new = {v: (k, s) for v, (s, k) in best.items() if s >= P.KNOWN}
+        if len(new) == len(found):
+            found = new
+            break
+        found = new
+    return {(d, found[v][0], a, b) for d, kind, a, b, v, _ in occ if kind is None and v in found}
+
+
+def test_bootstrap_against_loops(spark):
+    rng = random.Random(4)
+    names = [f"{rng.choice(['ref', 'acct', 'usr'])}-{rng.randrange(1000, 9999)}" for _ in range(25)]
+    texts = []
+    for i in range(90):
+        lead = rng.choice(["please write to", "contact me at", "the order was"])
+        value = rng.choice([f"user{i}@mail.example", f"user{i % 9}@mail.example", rng.choice(names)])
+        if lead == "the order was":
+            value = rng.choice(names[:8])
+        texts.append(f"Some words. {lead} {value} {rng.choice(['today', 'again', 'soon'])} and see 10.0.0.{i} there")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mine = {(r.doc_id, s.kind, s.start, s.end) for r in P.find(docs).collect() for s in r.spans if s not in r.base}
+    assert mine == plain_bootstrap(texts) and mine
+
+
+def test_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, "a@b.c", 1), (None, None, 2), (2**53 + 1, "x", 3)], "doc_id long, text string, occ int")
+    assert sorted((r.doc_id or 0, r.n_email) for r in P.digests(P.find(docs)).collect()) == [(0, 0), (0, 1), (2**53 + 1, 0)]
+    assert sorted((r.doc_id or 0, r.text or "", r.occ) for r in P.redact(docs).collect()) == [(0, "", 2), (0, "[EMAIL]", 1), (2**53 + 1, "x", 3)]
+    assert P.redact(docs.limit(0)).count() == 0
