@@ -7,22 +7,34 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listinglens.llm.common import crc_bucket, small_batches, stage_table
+from listinglens.llm.common import held_out, sampled, small_batches, stage_table
 
 #: Fold that is never learned from, of FOLDS.
 FOLDS, HELD_OUT = 5, 0
-#: Documents that the model is fitted on, in expectation; entries kept for a language; longest n-gram.
-FIT_DOCS, WORDS, GRAMS, LONGEST = 20_000, 10_000, 20_000, 4
+#: Documents, and bytes of them, that the model is fitted on, in expectation; longest n-gram.
+FIT_DOCS, FIT_BYTES, LONGEST = 20_000, 200_000_000, 4
+#: Least share of a language's words, or of its n-grams of one length, that a known one has: so a language knows at most
+#: 1 / LEAST_SHARE words and as many n-grams of each length, however much text it is fitted on.
+LEAST_SHARE = 1e-5
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters, and of numbers that are no decimal digits.
+RUNS = re.compile(r"[^\W\d_]+")
 #: Unseen words remembered, letters of the longest remembered, and n-grams that one piece of a word begins.
 CACHE, CACHE_LETTERS, PIECE = 100_000, 64, 1024
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters, the category L as in the JVM's \\p{L}."""
+    runs = RUNS.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [word for run in runs for word in "".join([c if c.isalpha() else " " for c in run]).split(" ") if word]
+
+
 @dataclass
 class Model:
     """Log frequencies by language: a row of `rates` for each known word or n-gram (marked ends: ^word$)."""
@@ -51,7 +63,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, posterior); (UNKNOWN, 0) without letters."""
-        words = LETTERS.findall(text.lower()) if text else []
+        words = letter_runs(text.lower()) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
         rows, weights = [], []
@@ -71,21 +83,17 @@ class Model:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def bounded_sample(rows: DataFrame, bound: int) -> DataFrame:
-    """About `bound` rows, or all if there are fewer, chosen by a hash of doc_id."""
-    share = min(1.0, bound / max(1, rows.count()))
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
-
-
 def fit(docs: DataFrame) -> Model:
     """Count words and n-grams of the learning folds by language.
 
-    A sample of about FIT_DOCS rows is counted; each language keeps its WORDS
-    most frequent words and GRAMS most frequent n-grams, which bounds the
-    model and what the driver gathers.
+    A sample of about FIT_DOCS rows is counted in Spark. A term is known if it
+    has LEAST_SHARE of its language's words, or n-grams of its length: no
+    ranking, so no task holds a language, and the floor bounds what the driver
+    gathers. There is a column for each language of the sample. Rows without
+    id, text or language are left out.
     """
-    known = docs.where("lang is not null and text is not null and doc_id is not null").where(crc_bucket(F.col("doc_id"), FOLDS) != HELD_OUT)
-    sample = bounded_sample(known.select("doc_id", "lang", "text"), FIT_DOCS)
+    learn = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id"), FOLDS, HELD_OUT))
+    sample = sampled(learn.select("doc_id", "lang", "text"), FIT_DOCS, FIT_BYTES)
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term")).where("term <> ''")
     words = stage_table(words.groupBy("lang", "term").agg(F.count("*").alias("n")), "lang-words")
     # long words go in pieces, each with the letters that its last n-grams need: a position in a string is found from its start
@@ -96,31 +104,25 @@ def fit(docs: DataFrame) -> Model:
 
     def cut(n: int):
         count = F.least(F.col("left") - n + 1, F.lit(PIECE))
-        count = F.when(F.col("at") == 1, F.greatest(count, F.lit(1))).otherwise(count)
         starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.expr("cast(array() as array<int>)"))
         return F.transform(starts, lambda i: F.substr("piece", i, F.lit(n)))
 
     cuts = [cut(n) for n in range(1, LONGEST + 1)]
     grams = pieces.select("lang", "n", F.explode(F.concat(*cuts)).alias("term")).groupBy("lang", "term").agg(F.sum("n").alias("n"))
-
-    def most(rows: DataFrame, k: int, kind: str) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term"))
-        return rows.withColumn("rank", rank).where(F.col("rank") <= k).select(F.lit(kind).alias("kind"), "lang", "term", "n")
-
-    table = most(words, WORDS, "word").unionByName(most(grams, GRAMS, "gram")).toPandas()
+    grams = stage_table(grams, "lang-grams")
+    table = known(words, "word").unionByName(known(grams, "gram")).toArrow().to_pandas()
     langs = sorted(table["lang"].unique())
     of = {lang: i for i, lang in enumerate(langs)}
     maps: dict[str, dict[str, int]] = {"word": {}, "gram": {}}
     parts, base, prior = [np.zeros((0, len(langs)))], 0, np.zeros(len(langs))
     for kind, rows in maps.items():
-        part = table[table["kind"] == kind]
+        part = table[table["kind"] == kind].sort_values(["term", "lang"])
         for term in part["term"]:
             rows.setdefault(term, base + len(rows))
         counts = np.zeros((len(rows), len(langs)))
         np.add.at(counts, (part["term"].map(rows).to_numpy(int) - base, part["lang"].map(of).to_numpy(int)), part["n"].to_numpy(float))
-        group = part["term"].str.len().to_numpy() if kind == "gram" else np.zeros(len(part))
         size = np.zeros(len(rows))
-        size[part["term"].map(rows).to_numpy(int) - base] = group
+        size[part["term"].map(rows).to_numpy(int) - base] = part["size"]
         for n in np.unique(size):  # n-grams of one length share a distribution
             at = size == n
             total = counts[at].sum(axis=0)
@@ -132,23 +134,32 @@ def fit(docs: DataFrame) -> Model:
     return Model(langs, prior, maps["word"], maps["gram"], np.concatenate(parts).astype(np.float32))
 
 
+def known(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows (kind, lang, size, term, n) of the terms with LEAST_SHARE of all n of their language and size, 0 for words."""
+    size = F.length("term") if kind == "gram" else F.lit(0)
+    rows = rows.select(F.lit(kind).alias("kind"), "lang", size.alias("size"), "term", "n")
+    totals = rows.groupBy("lang", "size").agg(F.sum("n").alias("total"))  # LONGEST rows a language of the sample at most
+    return rows.join(F.broadcast(totals), ["lang", "size"]).where(F.col("n") >= LEAST_SHARE * F.col("total")).select(*rows.columns)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score), one per input row.
 
     A known word adds its log frequency in each language; an unseen one the
     mean of its longest known n-grams, from LONGEST characters down. score is
     the posterior of lang_pred. Null texts and texts without letters are
-    UNKNOWN with score 0; repeated rows are each predicted; only the text is read.
+    UNKNOWN with score 0; a null id stays null and is not held out; repeated
+    rows are each predicted; only the text is read.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = pd.DataFrame([shared.value.predict(t) for t in batch["text"]], columns=["lang_pred", "score"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            found = [shared.value.predict(t) for t in batch.column(1).to_pylist()]
+            langs, scores = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), langs, scores], ["doc_id", "lang_pred", "score"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    found = narrow.mapInPandas(run, "doc_id long, lang_pred string, score double")
-    return found.select("doc_id", (crc_bucket(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+    found = narrow.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return found.select("doc_id", held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "lang_pred", "score")
