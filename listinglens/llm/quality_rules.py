@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,17 +95,20 @@ def compression(raw: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float, f
     return ratio, share, low <= ratio <= high and share <= CHUNK_SHARE
 
 
-def _rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "bad_chunks", "in_band"]
+
+
+def _rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=LEVEL)
+    kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()]
     for batch in batches:
         rows = []
-        for text in batch["text"]:
+        for text in batch.column(1).to_pylist():
             text = text or ""
             raw = text.encode("utf-8", "surrogatepass")
             rows.append((*base_counts(raw, len(text)), *compression(raw, squeeze)))
-        out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "bad_chunks", "in_band"])
-        out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-        yield out
+        cells = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cells], ["doc_id", *NAMES])
 
 
 def rate(docs: DataFrame) -> DataFrame:
@@ -114,12 +117,13 @@ def rate(docs: DataFrame) -> DataFrame:
     Words are runs without ASCII white space. base_failed: under ten words, or
     over 20 per cent of words in repeated 5-word windows. kept: the base rule
     and the compression bands both accept the text; bad_chunks is the share of
-    bytes in chunks outside their band. Null is a text without
-    words, which fails; repeated rows are each rated; other columns are ignored.
+    bytes in chunks outside their band. Null is a text without words, which
+    fails; a null id stays null; repeated rows are each rated; other columns
+    are ignored.
     """
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, bad_chunks double, in_band boolean"
-    rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInPandas(_rates, schema)
+    rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_rates, schema)
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rated = rated.withColumn("base_failed", failed)
