@@ -1,13 +1,17 @@
 """Quality rules, language identification, grades and toxicity."""
 
 import base64
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from listinglens.llm import grading as G
 from listinglens.llm import hashed as H
@@ -91,7 +95,7 @@ def test_language_backs_off(spark):
     model = L.fit(docs)
     assert model.predict("the there")[0] == "en"
     assert model.predict("wassern")[0] == "de"  # unseen, by its n-grams
-    assert model.predict("12 !?") == model.predict(None) == (L.UNKNOWN, 0.0)
+    assert model.predict("12 !?") == model.predict(None) == model.predict("² ½ ① Ⅷ 5_") == (L.UNKNOWN, 0.0)
     out = L.identify(spark.createDataFrame([(1, None), (2, "dort"), (2, "dort")], "doc_id long, text string"), model)
     assert sorted((r.doc_id, r.lang_pred) for r in out.collect()) == [(1, "und"), (2, "de"), (2, "de")]
 
@@ -116,6 +120,85 @@ def test_shapes_of_whole_words():
     assert H.shape_slot(b"-" * 64 + b"a") != H.shape_slot(b"-" * 64 + b"9")
 
 
+def test_language_against_loops(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        lang, alphabet = [("x", "abcd"), ("y", "cdef")][i % 2]
+        rows.append((i, " ".join("".join(rng.choice(list(alphabet), rng.integers(1, 5))) for _ in range(30)) + "² é", lang))
+    monkeypatch.setattr(L, "LEAST_SHARE", 0.004)
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learn = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    words = {g: Counter(w for _, t, lang in learn if lang == g for w in re.findall(r"[a-zé]+", t)) for g in "xy"}
+    grams = {(g, n): Counter() for g in "xy" for n in range(1, 5)}
+    for g in "xy":
+        for w, k in words[g].items():
+            for n in range(1, 5):
+                marked = f"^{w}$"
+                for i in range(len(marked) - n + 1):
+                    grams[g, n][marked[i : i + n]] += k
+    def rates(counts):  # the floor, then smoothed logarithms over the terms that any language knows
+        kept = {g: {w: k for w, k in c.items() if k >= 0.004 * c.total()} for g, c in counts.items()}
+        every = {w for c in kept.values() for w in c}
+        return {w: [math.log((kept[g].get(w, 0) + 0.5) / (sum(kept[g].values()) + 0.5 * len(every))) for g in "xy"] for w in every}, [sum(kept[g].values()) + 1 for g in "xy"]
+    known, prior = rates(words)
+    parts = {n: rates({g: grams[g, n] for g in "xy"})[0] for n in range(1, 5)}
+    assert set(model.words) == set(known) and set(model.grams) == {t for p in parts.values() for t in p}
+    for text in ["ab cd", "aaaa ffff", "dddd cdcd eabf", "é", "cccdcd", "a"]:
+        total = np.log(np.array(prior) / sum(prior))
+        for w in re.findall(r"[a-zé]+", text):
+            if w in known:
+                total = total + known[w]
+                continue
+            for n in range(min(4, len(w) + 2), 0, -1):
+                hits = [parts[n][g] for i in range(len(w) + 3 - n) if (g := f"^{w}$"[i : i + n]) in parts[n]]
+                if hits:
+                    total = total + np.mean(hits, axis=0)
+                    break
+        odds = np.exp(total - total.max())
+        lang, score = model.predict(text)
+        assert lang == "xy"[int(odds.argmax())] and score == pytest.approx(odds.max() / odds.sum(), rel=1e-4)
+
+
+def test_rows_without_ids(spark):
+    """Null ids stay null and large ones whole, in one batch; columns of the results' names do no harm."""
+    docs = spark.createDataFrame([(None, "the water is here", 1), (2**53 + 1, None, 2), (2**53 + 1, "the water is here", 3)], "doc_id long, text string, score int").coalesce(1)
+    docs = docs.withColumn("kept", F.lit("x")).withColumn("held_out", F.lit("x"))
+    want = [(None, False), (2**53 + 1, zlib.crc32(str(2**53 + 1).encode()) % 5 == 0)]
+    model = L.fit(spark.createDataFrame([(1, "the water", "en")], "doc_id long, text string, lang string"))
+    grader = G.fit_rows(["a b", "c d"] * 5, np.array([0, 1] * 5))
+    for out in (L.identify(docs, model), G.grade(docs, grader)):
+        assert [(r.doc_id, r.held_out) for r in out.collect()] == [want[0], want[1], want[1]]
+    detector = X.fit_rows(["a b"] * 5, np.zeros(5, int))
+    assert [r.doc_id for r in X.score(docs, detector).collect()] == [r.doc_id for r in Q.rate(docs).collect()] == [None, 2**53 + 1, 2**53 + 1]
+    assert X.without_toxic(docs, detector).count() == 3
+    empty = docs.limit(0)
+    assert [x.count() for x in (L.identify(empty, model), G.grade(empty, grader), X.score(empty, detector), Q.rate(empty))] == [0] * 4
+    G.fit(empty, G.graded(spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+    X.fit(empty, spark.createDataFrame([(None, 1)], "doc_id long, toxic int"))
+
+
+def test_ratios_by_zstandard(spark):
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdefgh \n"), n)) for n in (1, 100, 300, 2000, 4100, 9000, 30_000)]
+    out = {r.doc_id: r for r in Q.rate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    squeeze = zstandard.ZstdCompressor(level=3)
+    limits = lambda n: [(a, b) for start, a, b in Q.BANDS if n >= start][-1]
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        ratio = len(squeeze.compress(raw)) / len(raw)
+        cuts = [raw[a : a + 4096] for a in range(0, len(raw), 4096)]
+        if len(cuts) > 1 and len(cuts[-1]) < 128:
+            cuts[-2:] = [cuts[-2] + cuts[-1]]
+        bad = 0
+        for c in cuts:
+            low, high = Q.CHUNK_BAND if len(c) >= 4096 else limits(len(c))
+            bad += len(c) * (not low <= len(squeeze.compress(c)) / len(c) <= high)
+        low, high = limits(len(raw))
+        assert out[i].ratio == ratio and out[i].bad_chunks == bad / len(raw)
+        assert out[i].kept == (not out[i].base_failed and low <= ratio <= high and bad / len(raw) <= 0.25)
+
+
 def test_language_without_training_rows(spark):
     model = L.fit(spark.createDataFrame([(1, "x", None)], "doc_id long, text string, lang string"))
     assert model.predict("word") == (L.UNKNOWN, 0.0)
@@ -159,6 +242,15 @@ def test_terms_of_texts():
     assert terms.n_words.tolist() == [2, 0, 1]
     assert terms.hashes[0] == terms.hashes[2] != terms.hashes[1]  # the words ab, abc, ab
     assert len(terms.hashes) == 3 + 3 + 1  # words, beginnings of two letters, of three
+    assert X.read_terms(["\U0001f600 a \U00010400\U00010400"]).n_words.tolist() == [2]  # an emoji is no letter
+
+
+def ballot_of(votes, gold):
+    return np.column_stack((votes, np.where(gold < 0, 0, 2 * gold - 1))).astype(np.int8)
+
+
+def summed(votes):
+    return lambda f: f(votes, np.ones(len(votes)))
 
 
 def test_label_model_trusts_accurate_voters():
@@ -168,10 +260,104 @@ def test_label_model_trusts_accurate_voters():
     twin = good.copy()
     noise = (rng.random(3000) < 0.2).astype(int)
     clean = -((good == 0).astype(int))
-    gold = np.where(rng.random(3000) < 0.5, np.where(rng.random(3000) < 0.05, 1 - y, y), -1)
-    post, share = X.label_model(np.column_stack((good, twin, noise, clean)), gold)
-    assert ((post > 0.5) == (y == 1)).mean() > 0.9
-    assert share[0] < share[2]  # the twins share their weight
+    gold = np.where(rng.random(3000) < 0.5, y, -1)
+    votes = ballot_of(np.column_stack((good, twin, noise, clean)), gold)
+    model = X.fit_label_model(5, summed(votes))
+    assert ((model.posterior(votes) > 0.5) == (y == 1)).mean() > 0.9
+    assert model.share[0] < model.share[2]  # the twins share their weight
+
+
+def plain_em(rows, n_voters, rounds, smooth, wrong):
+    """The label model without correlations, by loops."""
+    prior = rates = None
+    known = [r[-1] for r in rows if r[-1]]
+    for step in range(rounds):
+        post = []
+        for r in rows:
+            if r[-1]:
+                post.append(1 - wrong if r[-1] > 0 else wrong)
+            elif rates is None:
+                post.append(0.8 if any(v == 1 for v in r[:-2]) else 0.05)
+            else:
+                odds = math.log(prior / (1 - prior)) + sum(math.log(rates[1][j][v]) - math.log(rates[0][j][v]) for j, v in enumerate(r[:-1]))
+                post.append(1 / (1 + math.exp(-odds)))
+        prior = (sum(v > 0 for v in known) + 1) / (len(known) + 2) if step == 0 else sum(post) / len(post)
+        rates = []
+        for c in (0, 1):
+            w = [p if c else 1 - p for p in post]
+            counts = [{v: smooth + sum(x for x, r in zip(w, rows) if r[j] == v) for v in (-1, 0, 1)} for j in range(n_voters)]
+            rates.append([{v: n / sum(k.values()) for v, n in k.items()} for k in counts])
+    return rates, prior
+
+
+def test_label_model_against_loops(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    y = rng.random(300) < 0.3
+    votes = np.column_stack([np.where(rng.random(300) < 0.8, y, ~y) & (rng.random(300) < 0.7) for _ in range(3)]).astype(int)
+    votes = ballot_of(np.column_stack((votes, -1 * ~votes.any(axis=1))), np.where(rng.random(300) < 0.3, y, -1).astype(int))
+    monkeypatch.setattr(X, "ROUNDS", 8)
+    monkeypatch.setattr(X, "CORRELATED", 9.0)
+    monkeypatch.setattr(X, "SETTLED", 0.0)
+    model = X.fit_label_model(5, summed(votes))
+    rates, prior = plain_em(votes.tolist(), 5, 8, X.SMOOTH, X.WRONG)
+    assert model.prior == pytest.approx(prior)
+    for c in (0, 1):
+        for j in range(4):
+            assert model.rates[c, j].tolist() == pytest.approx([rates[c][j][v] for v in (-1, 0, 1)])
+    rest = np.zeros((5, 5))  # the moments, by loops
+    for v, p in zip(votes, model.posterior(votes)):
+        d = [(v[j] != 0) - (1 - p) * (1 - model.rates[0, j, 1]) - p * (1 - model.rates[1, j, 1]) for j in range(5)]
+        rest += np.outer(d, d)
+    assert np.allclose(X.vote_moments(model, model.rates, votes, np.ones(300)), rest)
+
+
+def test_label_model_in_tasks_is_that_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    reader = X.Detector(X.word_hashes(X.LEXICON), np.zeros(len(X.LEXICON)), np.zeros(X.SIZE), np.zeros(len(X.LEXICON) + 3), 0.0)
+    texts = [" ".join(rng.choice(["a", "b", "idiot", "dumm", "you", "moron", "sc**m"], 6)) for _ in range(400)]
+    labels = rng.integers(-1, 2, 400)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    given_ = spark.createDataFrame([(i, int(v)) for i, v in enumerate(labels) if v >= 0], "doc_id long, label int")
+    votes = ballot_of(reader.read(texts)[1], labels)
+    one, many = X.fit_label_model(votes.shape[1], summed(votes)), X.label_all(docs, given_, reader)
+    assert np.allclose(one.rates, many.rates) and np.allclose(one.share, many.share) and one.prior == pytest.approx(many.prior)
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(1)
+    row, slot, value = rng.integers(0, 12, 60), rng.integers(0, 7, 60), rng.random(60)
+    grades = rng.permutation(np.repeat([0, 1, 2, 3], 3))
+    losses = [
+        (G.ordinal_loss(G.Sparse(12, row, slot, value), grades, 7), rng.normal(size=10)),
+        (X.logistic_loss(row, slot, value, 7, rng.random((12, 2)), rng.random(12)), rng.normal(size=10)),
+    ]
+    for loss, x in losses:
+        grad = loss(x)[1]
+        steps = np.eye(10) * 1e-6
+        assert grad == pytest.approx([(loss(x + h)[0] - loss(x - h)[0]) / 2e-6 for h in steps], rel=1e-4, abs=1e-5)
+    loss, x = losses[0]
+    cuts = [x[7], x[7] + math.exp(x[8]), x[7] + math.exp(x[8]) + math.exp(x[9])]
+    total = G.RIDGE / 2 * sum(w * w for w in x[:7])
+    for i, g in enumerate(grades):  # the likelihood of each row
+        score = sum(x[s] * v for r, s, v in zip(row, slot, value) if r == i)
+        below = [0.0, *[1 / (1 + math.exp(score - c)) for c in cuts], 1.0]
+        total -= math.log(below[g + 1] - below[g])
+    assert loss(x)[0] == pytest.approx(total)
+
+
+def test_fits_do_not_grow_with_repeated_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i} of words") for i in range(300)] + [(1, "same words here")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(G, "fit_sparse", lambda data, grades: seen.append(data.n))
+    monkeypatch.setattr(G, "FIT_ROWS", 100)
+    G.fit(docs, G.graded(labels))
+    assert 20 < seen[0] < 180
+    monkeypatch.setattr(X, "classifier", lambda sample, reader, model: seen.append(len(sample.labels)))
+    monkeypatch.setattr(X, "FIT_LABELLED", 100)
+    monkeypatch.setattr(X, "FIT_PLAIN", 50)
+    X.fit(docs, labels)
+    assert 20 < seen[1] < 250
 
 
 def test_toxicity_query(spark, sf):
