@@ -353,7 +353,7 @@ def test_fits_do_not_grow_with_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(G, "FIT_ROWS", 100)
     G.fit(docs, G.graded(labels))
     assert 20 < seen[0] < 180
-    monkeypatch.setattr(X, "classifier", lambda sample, reader, model: seen.append(len(sample.labels)))
+    monkeypatch.setattr(X, "classifier", lambda sample, votes, reader, model: seen.append(len(sample.labels)))
     monkeypatch.setattr(X, "FIT_LABELLED", 100)
     monkeypatch.setattr(X, "FIT_PLAIN", 50)
     X.fit(docs, labels)
