@@ -63,14 +63,25 @@ def upsert_parquet(df: DataFrame, path: str, key: str, order: Sequence[str], par
     """Upsert df into the table at path. With a partition column only the partitions that df touches are rewritten.
 
     The key must fix the partition. The new rows are written beside the table
-    first and take its place once they are whole.
+    first and take its place once they are whole. A run that ends in between
+    leaves the old table at <path>.old, and the next call begins by putting it
+    back: so no state of the folders loses rows, and a batch may be repeated.
     """
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target = hadoop(path)
+    target, aside, staged = hadoop(path), hadoop(f"{path}.old"), hadoop(f"{path}.staged")
     system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def move(a, b) -> None:
+        if not system.rename(a, b):
+            raise OSError(f"could not rename {a} to {b}")
+
+    if system.exists(aside):
+        if system.exists(target):  # the new table was in place already
+            system.delete(aside, True)
+        else:
+            move(aside, target)
     old = spark.read.parquet(path) if system.exists(target) else None
-    staged = hadoop(f"{path}.staged")
     if partition and old is not None:
         touched = df.select(partition).distinct()
         rows = upserted(old.join(touched, partition, "left_semi"), df, key, order)
@@ -83,9 +94,9 @@ def upsert_parquet(df: DataFrame, path: str, key: str, order: Sequence[str], par
     writer = rows.write.mode("overwrite")
     (writer.partitionBy(partition) if partition else writer).parquet(str(staged))
     if old is not None:
-        system.rename(target, hadoop(f"{path}.old"))
-    system.rename(staged, target)
-    system.delete(hadoop(f"{path}.old"), True)
+        move(target, aside)
+    move(staged, target)
+    system.delete(aside, True)
 
 
 def append_events(df: DataFrame, path: str) -> None:

@@ -21,9 +21,9 @@ def ingest_stream(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_stream(stream: DataFrame, path: str, key: str, order: Sequence[str], checkpoint: str) -> None:
-    """Keep the last row of each key over all batches. A batch that is replayed changes nothing."""
-    ingest_stream(stream, lambda batch, _: upsert_parquet(batch, path, key, order), checkpoint)
+def upsert_stream(stream: DataFrame, path: str, key: str, order: Sequence[str], checkpoint: str, partition: str | None = None) -> None:
+    """Keep the last row of each key over all batches. A batch that is replayed changes nothing; with a partition column a batch rewrites only what it touches."""
+    ingest_stream(stream, lambda batch, _: upsert_parquet(batch, path, key, order, partition), checkpoint)
 
 
 def drop_seen(stream: DataFrame, key: str, ts: str | None = None, within: str | None = None) -> DataFrame:
