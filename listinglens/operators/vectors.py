@@ -59,8 +59,10 @@ def meanmax(pooled: DataFrame) -> DataFrame:
 def rank_for_caps(df: DataFrame, key: str, order: str, caps: Sequence[int]) -> DataFrame:
     """A row for each item and cap that admits it: the item is ranked once within its key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    fits = F.filter(F.array(*[F.lit(c) for c in sorted(set(caps))]), lambda c: c >= F.col("_rank"))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= max(caps)).withColumn("cap", F.explode(fits)).drop("_rank")
+    admits = F.array(*[F.lit(c) for c in sorted(set(caps))])
+    ranked = df.select(F.struct("*").alias("row"), rank.alias("rank")).where(F.col("rank") <= max(caps))
+    ranked = ranked.select("row", F.explode(F.filter(admits, lambda c: c >= F.col("rank"))).alias("cap"))
+    return ranked.select("row.*", "cap")
 
 
 def cap_stats(ranked: DataFrame, key: str) -> DataFrame:
@@ -81,60 +83,56 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries that a task compares with its part of the corpus at a time, and rows of the corpus at a time.
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str, vector: str, block: Sequence[str] = ()) -> DataFrame:
     """Rows (query, key, distance, rank): the k nearest corpus rows of each query, itself left out, exact.
 
     With block columns only rows that agree in them are compared, in one
-    equi-join. Without, the stated query set is cut into blocks that every
-    part of the corpus sees in turn: each query's best are kept per part
-    first, so that k rows per query and part are shuffled.
+    equi-join. Without, queries and corpus are dealt into parts, and each two
+    parts meet in one task: k rows for each query and part of the corpus are
+    shuffled, nothing passes the driver, and a task holds one part of either.
     """
-    import numpy as np
-    import pandas as pd
-
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"), *block).where(F.col(vector).isNotNull())
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
     if block:
-        q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"), *block)
         pairs = q.join(corpus.select(key, vector, *block), list(block)).where(F.col("query") != F.col(key))
         scored = pairs.select("query", key, F.sqrt(squared_distance(F.col("_q"), F.col(vector))).alias("distance"))
-        rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
         return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-    found = None
-    for ids, points in query_blocks(queries, key, vector):
-
-        def nearest(batches, ids=ids, points=points):
-            best_i = [np.zeros(0, np.int64)] * len(ids)
-            best_d = [np.zeros(0)] * len(ids)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                own, x = batch[key].to_numpy(), np.stack(batch[vector].to_numpy()).astype(float)
-                for at in range(len(ids)):
-                    d = np.sqrt(((x - points[at]) ** 2).sum(axis=1))
-                    keep = own != ids[at]
-                    i, d = np.concatenate((best_i[at], own[keep])), np.concatenate((best_d[at], d[keep]))
-                    top = np.lexsort((i, d))[:k]
-                    best_i[at], best_d[at] = i[top], d[top]
-            for at in range(len(ids)):
-                if len(best_i[at]):
-                    yield pd.DataFrame({"query": ids[at], key: best_i[at], "distance": best_d[at]})
-
-        part = corpus.select(key, vector).mapInPandas(nearest, f"query long, {key} long, distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return corpus.sparkSession.createDataFrame([], f"query long, {key} long, distance double, rank int")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    n_queries, n_rows = q.count(), corpus.count()
+    of_q, of_c = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // (16 * CORPUS_BLOCK)))
+    left = q.select("query", "_q", F.pmod(F.xxhash64("query"), F.lit(of_q)).alias("qp"), F.explode(F.sequence(F.lit(0), F.lit(of_c - 1))).alias("cp"))
+    right = corpus.where(F.col(vector).isNotNull()).select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(of_q - 1))).alias("qp"), F.pmod(F.xxhash64(key), F.lit(of_c)).alias("cp"))
+    left = left.select(F.col("qp").cast("long"), F.col("cp").cast("long"), "query", "_q")
+    right = right.select(F.col("qp").cast("long"), F.col("cp").cast("long"), key, vector)
+    near = left.groupBy("qp", "cp").cogroup(right.groupBy("qp", "cp")).applyInPandas(_nearest(k, key, vector), f"query long, {key} long, distance double")
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def query_blocks(queries: DataFrame, key: str, vector: str, most: int = 4096):
-    """The query rows in blocks of `most`, as (ids, matrix); only one block is held at a time."""
+def _nearest(k: int, key: str, vector: str):
     import numpy as np
+    import pandas as pd
 
-    ids, points = [], []
-    for row in queries.select(key, vector).where(F.col(vector).isNotNull()).toLocalIterator():
-        ids.append(row[key]), points.append(row[vector])
-        if len(ids) == most:
-            yield np.array(ids), np.array(points, float)
-            ids, points = [], []
-    if ids:
-        yield np.array(ids), np.array(points, float)
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query": np.zeros(0, np.int64), key: np.zeros(0, np.int64), "distance": np.zeros(0)})
+        if not len(left) or not len(right):
+            return none
+        points, x = np.stack(left["_q"].to_numpy()).astype(float), np.stack(right[vector].to_numpy()).astype(float)
+        asked, own = left["query"].to_numpy(), right[key].to_numpy()
+        square, found = (x * x).sum(axis=1), []
+        for at in range(0, len(points), 64):
+            part = points[at : at + 64]
+            rough = square[None, :] - 2 * part @ x.T + (part * part).sum(axis=1)[:, None]  # one product, then exact distances of the nearest
+            slack = 1e-9 * (square.max() + (part * part).sum(axis=1))
+            for i, row in enumerate(rough):
+                row[own == asked[at + i]] = np.inf
+                limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+                some = np.flatnonzero((row <= limit + slack[i]) & np.isfinite(row))
+                d = np.sqrt(((x[some] - part[i]) ** 2).sum(axis=1))
+                top = np.lexsort((own[some], d))[:k]
+                found.append(pd.DataFrame({"query": asked[at + i], key: own[some][top], "distance": d[top]}))
+        return pd.concat(found, ignore_index=True) if found else none
+
+    return nearest
