@@ -8,9 +8,10 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from listinglens.functions.parse import normalize_string, room_count
 from listinglens.functions.text import ascii_fold, collapse_ws
-from listinglens.session import require_columns, rounded
+from listinglens.session import require_columns, rounded, stage_table
 
 # -- tables ----------------------------------------------------------------------------------------------------------
 
@@ -54,19 +55,11 @@ def mode_fill(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFr
     return df.fillna({c: v for c, v in modes.items() if v is not None})
 
 
-def levels(train: DataFrame, column: str) -> DataFrame:
-    """value and place of every level, in order."""
-    order = F.row_number().over(Window.orderBy("value"))  # one row for each level
-    return train.select(F.col(column).alias("value")).where("value is not null").distinct().withColumn("place", order - 1)
-
-
 def one_hot(train: DataFrame, df: DataFrame, column: str) -> DataFrame:
-    """df with `<column>_hot`: one cell for each training level, all zero for unseen ones."""
-    table = levels(train, column)
-    every = table.agg(F.count("*").alias("_n"))
-    joined = df.join(table.withColumnRenamed("value", column), column, "left").crossJoin(F.broadcast(every))  # one row
-    cell = F.transform(F.sequence(F.lit(0), F.col("_n").cast("int") - 1), lambda i: (i == F.coalesce("place", F.lit(-1))).cast("int"))
-    return joined.withColumn(f"{column}_hot", cell).drop("place", "_n")
+    """df with `<column>_hot`: one cell for each training level in order, all zero for unseen ones and nulls."""
+    found = StringIndexer(inputCol=column, outputCol="place", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train.select(column).where(F.col(column).isNotNull()))
+    labels = F.array(*[F.lit(x) for x in found.labels]) if found.labels else F.expr("cast(array() as array<string>)")
+    return df.withColumn(f"{column}_hot", F.transform(labels, lambda x: F.coalesce((x == F.col(column)).cast("int"), F.lit(0))))
 
 
 def standard_scale(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -92,6 +85,7 @@ def ngrams(words: Column) -> Column:
 def tfidf(docs: DataFrame, key: str, words: str, most: int = 2000, least_df: int = 3) -> DataFrame:
     """Rows (key, term, weight): smooth idf over terms in least_df documents or more, the `most` commonest of them, rows of unit length."""
     counts = docs.select(key, F.explode(ngrams(F.col(words))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = stage_table(counts, "term-counts")  # read for the vocabulary and for the weights
     vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).where(F.col("df") >= least_df)
     vocabulary = vocabulary.orderBy(F.desc("n"), "term").limit(most)
     total = docs.agg(F.count("*").alias("total"))
@@ -105,10 +99,8 @@ def tfidf_vectors(train: DataFrame, df: DataFrame, words: str, most: int = 5000,
     """df with normalised TF-IDF vectors of the training vocabulary, and the vocabulary."""
     counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=most, minDF=least_df).fit(train.withColumn("_terms", ngrams(F.col(words))))
     counted = counter.transform(train.withColumn("_terms", ngrams(F.col(words))))
-    rows = counted.select(F.posexplode(vector_to_array("_tf")).alias("pos", "tf")).where("tf > 0").groupBy("pos").count().collect()  # a row for each vocabulary term
-    n, idf = train.count(), [0.0] * len(counter.vocabulary)
-    for r in rows:
-        idf[r["pos"]] = r["count"]
+    n, there = counted.agg(F.count("*"), Summarizer.numNonZeros(F.col("_tf"))).first()  # sparse rows in, one vector of the vocabulary out
+    idf = [float(x) for x in there] if there is not None else [0.0] * len(counter.vocabulary)
     scale = ElementwiseProduct(scalingVec=Vectors.dense([math.log((1 + n) / (1 + d)) + 1 for d in idf]), inputCol="_tf", outputCol="_w")
     model = PipelineModel([counter, scale, Normalizer(inputCol="_w", outputCol=out)])
     return model.transform(df.withColumn("_terms", ngrams(F.col(words)))).drop("_terms", "_tf", "_w"), counter.vocabulary
