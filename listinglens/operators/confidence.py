@@ -145,7 +145,8 @@ def score_confidence(df: DataFrame, history: DataFrame) -> DataFrame:
     }
     rows = df.crossJoin(F.broadcast(profile))  # one row
     for level, table in counts.items():
-        rows = rows.join(table, level, "left").fillna(0, [f"n_{level}"])
+        table = table.withColumnRenamed(level, f"{level}_key")
+        rows = rows.join(table, F.trim(F.col(level)) == F.col(f"{level}_key"), "left").drop(f"{level}_key").fillna(0, [f"n_{level}"])
     scores = {
         "completeness": completeness(),
         "visual": visual_score(F.col("images")),

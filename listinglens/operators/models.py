@@ -17,6 +17,8 @@ from listinglens.session import require_columns, rounded
 
 #: Contributions smaller than this are not told.
 LEAST_SCORE = 1e-6
+#: Rows of a group inside which a feature's values are dealt anew, about.
+GROUP_ROWS = 10_000
 
 
 def candidates(y: str, features: str = "features", seed: int = 42, stop: str | None = None) -> dict[str, Estimator]:
@@ -104,11 +106,13 @@ def native_importance(spark: SparkSession, model: Model, names: Sequence[str]) -
 
 def permutation_importance(model: Model, df: DataFrame, y: str, key: str, names: Sequence[str], seed: int = 42) -> DataFrame:
     """Rise of MAE when one feature's values are dealt anew: each row takes the value of the row next in hash order of its block."""
-    base = S.metrics(model.transform(df), y, "prediction").select(F.col("mae").alias("base"))
+    base = S.metrics(model.transform(df), y, "prediction").select(F.col("n"), F.col("mae").alias("base"))
+    n_groups = max(1, base.first()["n"] // GROUP_ROWS)
+    base = base.select("base")
     rows = None
     cells = df.select(key, y, vector_to_array("features").alias("x"))
     for i, name in enumerate(names):
-        other = Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(64))).orderBy(F.xxhash64(F.lit(seed + i + 1), key))
+        other = Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n_groups))).orderBy(F.xxhash64(F.lit(seed + i + 1), key))
         dealt = cells.withColumn("o", F.coalesce(F.lag("x").over(other), F.col("x")))
         pairs = F.zip_with("x", "o", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         vector = F.transform(pairs, _chooser(i))

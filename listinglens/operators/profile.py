@@ -13,16 +13,15 @@ from listinglens.operators import stats as S
 TARGETS = ("price_try", "price", "rent", "o_totalprice", "p_retailprice", "l_extendedprice", "c_acctbal", "value")
 TEXT_HINTS = ("title", "description", "text", "html", "comment")
 PATH_HINTS, ID_HINTS = ("path", "image", "file"), ("_id", "key", "id")
-#: Mean length of sampled values from which a column is text, and how many values are sampled.
-TEXT_LENGTH, SAMPLE = 80, 25
+#: Mean length of the values from which a column is text.
+TEXT_LENGTH = 80
 
 
 def detect_roles(df: DataFrame) -> DataFrame:
-    """Rows (field, kind, role): id, target, text, path, link or other, from names and a small sample."""
-    sample = df.limit(SAMPLE)
+    """Rows (field, kind, role): id, target, text, path, link or other, from names and all values that are not null, in one scan."""
     texts = [c for c, kind in df.dtypes if kind == "string"]
     target = next((t for t in TARGETS if t in df.columns), None)
-    facts = sample.agg(
+    facts = df.agg(
         *[F.avg(F.length(F.col(c))).alias(f"len_{c}") for c in texts],
         *[F.avg(F.col(c).rlike("^https?://").cast("double")).alias(f"url_{c}") for c in texts],
     ).first() if texts else None

@@ -20,7 +20,7 @@ def dedup_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 def _one(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return df.select(F.struct("*").alias("row"), rank.alias("rank")).where("rank = 1").select("row.*")
 
 
 def cap_per_group(df: DataFrame, key: str, order: str, k: int, readable: Column | None = None) -> DataFrame:

@@ -245,7 +245,7 @@ def worst_cases(df: DataFrame, error: str, ids: Sequence[str], n: int = 20) -> D
 
 def best_per_group(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return df.select(F.struct("*").alias("row"), rank.alias("rank")).where("rank = 1").select("row.*")
 
 
 def compare_models(metric_rows: DataFrame, ref: str) -> DataFrame:
