@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from listinglens.functions import parse as P
 from listinglens.functions import text as X
 from listinglens.functions.register import register
 from listinglens.operators import comparables as C
@@ -17,7 +18,7 @@ from listinglens.operators import relate as R
 from listinglens.operators import stats as S
 from listinglens.plans.relational import WORDS_SQL
 from listinglens.plans.retrieval import part_pairs, requests
-from listinglens.session import fresh_path, rounded
+from listinglens.session import fresh_path, rounded, stage_table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -220,12 +221,13 @@ NAMES = ["quantity", "tax", "discount", "line", "returned", "part"]
 
 
 def parts(t):
-    rows = priced(t)
+    """The training, validation and test rows, assembled once for all fits and metrics of a query."""
+    rows = stage_table(priced(t), "priced")
     return [rows.where(F.col("part") == p) for p in ("train", "validation", "test")]
 
 
-def ridge(t):
-    train, validation, _ = parts(t)
+def ridge(split):
+    train, validation, _ = split
     return M.candidates("y")["ridge"].fit(train.unionByName(validation))
 
 
@@ -257,6 +259,27 @@ def _(t, spark):
     return M.leaderboard(M.grid_search(spark, train, validation, "y", grid)[0])
 
 
+@query("m11_multimodal_search")
+def _(t, spark):
+    """Text, vectors and a table fused for documents: each block is fitted once and staged, then every trial of the grid reads it."""
+    d = t("documents").select("doc_id", F.col("n_chars").cast("double").alias("y"), F.length("source").cast("double").alias("s"), X.tokens(F.col("text")).alias("words"))
+    e = t("embeddings").select(F.col("vec_id").alias("doc_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    rows = stage_table(d.where("y is not null").join(e, "doc_id").withColumn("part", R.split_label(F.col("doc_id"))), "multimodal")
+    train = rows.where("part = 'train'")
+    text, _ = E.tfidf_vectors(train, rows, "words", 500)
+    text = stage_table(text.drop("words"), "text-block")
+    text = E.project(text, "text_vector", E.truncated_svd(text.where("part = 'train'"), "text_vector", 32), "text_svd")
+    whole = E.vector_reducer("v", 16, "v_reduced").fit(train).transform(text)
+    cells = stage_table(E.fuse(whole, ["s", "text_svd", "v_reduced"]).select("doc_id", "y", "part", "features"), "fused")
+    train, validation, test = (cells.where(F.col("part") == p) for p in ("train", "validation", "test"))
+    grid = {f"ridge_{r}": LinearRegression(labelCol="y", regParam=r) for r in (0.1, 1.0, 10.0)}
+    trials, _ = M.grid_search(spark, train, validation, "y", grid)
+    trials = stage_table(trials, "trials")
+    best = M.best_trial(trials)
+    tested = M.refit_and_test(grid[best], train, validation, test, "y")[1].withColumns({"model": F.lit(best), "stage": F.lit("test")})
+    return trials.drop("error").withColumn("stage", F.lit("validation")).unionByName(tested)
+
+
 @query("m12_refit_and_test")
 def _(t, spark):
     train, validation, test = parts(t)
@@ -276,19 +299,22 @@ def _(t, spark):
 
 @query("m15_ablation")
 def _(t, spark):
-    return M.ablate(ridge(t), parts(t)[2], "y", BLOCKS)
+    split = parts(t)
+    return M.ablate(ridge(split), split[2], "y", BLOCKS)
 
 
 @query("m16_ablation_predictions")
 def _(t, spark):
-    return M.ablation_predictions(ridge(t), parts(t)[2], "id", BLOCKS)
+    split = parts(t)
+    return M.ablation_predictions(ridge(split), split[2], "id", BLOCKS)
 
 
 @query("m17_importance")
 def _(t, spark):
-    model = ridge(t)
+    split = parts(t)
+    model = ridge(split)
     native = M.native_importance(spark, model, NAMES).withColumn("kind", F.lit("native"))
-    return native.unionByName(M.permutation_importance(model, parts(t)[2], "y", "id", NAMES).withColumn("kind", F.lit("permutation")))
+    return native.unionByName(M.permutation_importance(model, split[2], "y", "id", NAMES).withColumn("kind", F.lit("permutation")))
 
 
 @query("m18_attribution", """WITH a AS (SELECT avg(l_quantity) AS mq, avg(l_tax) AS mt, avg(l_discount) AS md FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, round(1900 * (l_quantity - mq), 5) AS size, round(-300 * (l_tax - mt) + 800 * (l_discount - md), 5) AS terms FROM lineitem, a""")
@@ -327,15 +353,16 @@ def _(t, spark):
 
 @query("m23_bundle")
 def _(t, spark):
-    path = fresh_path(spark, "bundle")
-    M.save_bundle(ridge(t), {"model": "ridge", "features": ",".join(NAMES), "target": "y", "mae": 0.0}, path, spark)
+    path, split = fresh_path(spark, "bundle"), parts(t)
+    M.save_bundle(ridge(split), {"model": "ridge", "features": ",".join(NAMES), "target": "y", "mae": 0.0}, path, spark)
     model, info = M.load_bundle(spark, path)
-    return S.metrics(model.transform(parts(t)[2]), "y", "prediction").crossJoin(F.broadcast(info.select("model", "features", "target")))  # one row
+    return S.metrics(model.transform(split[2]), "y", "prediction").crossJoin(F.broadcast(info.select("model", "features", "target")))  # one row
 
 
 @query("m24_batch_score")
 def _(t, spark):
-    return M.score(parts(t)[2], ridge(t), "id")
+    split = parts(t)
+    return M.score(split[2], ridge(split), "id")
 
 
 # -- comparables and the full report ---------------------------------------------------------------------------------
@@ -373,6 +400,14 @@ def _(t, spark):
     return rows.select("query_id", "confidence", "label", "why", F.to_json("similar").alias("similar"))
 
 
+@query("u04_explode_paths", "SELECT event_id, unnest(CASE event_id % 4 WHEN 1 THEN [event_type, 'b'] WHEN 3 THEN ['[' || event_type] ELSE [event_type] END) AS path FROM events")
+def _(t, spark):
+    kind, written = F.col("event_id") % 4, F.col("event_type")
+    listed = F.when(kind == 0, F.concat(F.lit('["'), written, F.lit('", "none"]'))).when(kind == 1, F.concat(F.lit("['"), written, F.lit("', 'b']")))
+    paths = P.parse_path_list(listed.when(kind == 2, written).otherwise(F.concat(F.lit("["), written)))
+    return t("events").select("event_id", F.explode(paths).alias("path"))
+
+
 @query("u06_sql_functions", "SELECT page_id, rtrim(regexp_replace(url, '[?#].*$', ''), '/') AS link FROM pages")
 def _(t, spark):
     register(spark)

@@ -1,10 +1,12 @@
 """Operators on small tables: rules, metamorphic properties, sinks and streams."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from listinglens.operators import comparables as C
 from listinglens.operators import confidence as Q
+from listinglens.operators import features as E
 from listinglens.operators import relate as R
 from listinglens.operators import stats as S
 from listinglens.operators import vectors as V
@@ -49,6 +51,43 @@ def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
     assert {r.v for r in spark.read.parquet(path).collect()} == {"z", "y"}
 
 
+@pytest.mark.parametrize("state", ["old moved away", "new in place"])
+def test_upsert_after_a_run_that_ended_in_between(spark, tmp_path, state):
+    path = str(tmp_path / "t")
+    rows = spark.range(100).select(F.col("id").alias("k"), F.lit("a").alias("v"), F.lit(0).alias("n"))
+    A.upsert_parquet(rows, path, "k", ["n"])
+    if state == "old moved away":
+        (tmp_path / "t").rename(tmp_path / "t.old")
+    else:
+        rows.limit(3).write.parquet(f"{path}.old")
+    A.upsert_parquet(spark.createDataFrame([(7, "b", 1)], "k long, v string, n int"), path, "k", ["n"])
+    found = {r.k: r.v for r in spark.read.parquet(path).collect()}
+    assert len(found) == 100 and found[7] == "b" and not (tmp_path / "t.old").exists()
+
+
+def test_helper_names_do_not_clash(spark):
+    df = spark.createDataFrame([("a", 1, 5, 6, 7), ("a", 2, 5, 6, 7)], "g string, v int, rank int, _rank int, row int")
+    assert [tuple(r) for r in S.best_per_group(df, "g", ["v"]).collect()] == [("a", 1, 5, 6, 7)]
+    assert [tuple(r) for r in R.dedup_last(df, "g", ["v"]).collect()] == [("a", 2, 5, 6, 7)]
+    assert sorted(tuple(r) for r in V.rank_for_caps(df, "g", "v", [1, 2]).collect()) == [("a", 1, 5, 6, 7, 1), ("a", 1, 5, 6, 7, 2), ("a", 2, 5, 6, 7, 2)]
+    hot = E.one_hot(df, df.withColumn("place", F.lit(9)).withColumn("_n", F.lit(8)), "g")
+    assert [(r.place, r._n, r.g_hot) for r in hot.collect()] == [(9, 8, [1])] * 2
+
+
+def test_knn_against_all_distances(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 4, (300, 3)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, v array<double>")
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(V, "CORPUS_BLOCK", 3)
+    found = sorted((r["query"], r["rank"], r["id"]) for r in V.knn(df.where("id % 10 = 0"), df, 4, "id", "v").collect())
+    want = []
+    for q in range(0, 300, 10):
+        d = sorted((float(np.sqrt(((x[i] - x[q]) ** 2).sum())), i) for i in range(300) if i != q)
+        want += [(q, n + 1, i) for n, (_, i) in enumerate(d[:4])]
+    assert found == sorted(want)
+
+
 def test_corrupt_payloads_are_kept(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"a": 1}\n{"a": \n')
     rows = A.read_payloads(spark, str(tmp_path), "a int", multi_line=False).cache()

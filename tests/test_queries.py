@@ -34,7 +34,7 @@ def test_agrees_with_sql(spark, sf, duck, name):
     assert cells(ours) == cells(theirs)
 
 
-@pytest.mark.parametrize("name", ["p36_spec_table", "r08_comparables", "r16_confidence_reasons", "m05_tabular_preprocessor", "m16_ablation_predictions", "a22_profile_tables", "s03_catalog", "r17_score_report"])
+@pytest.mark.parametrize("name", ["p36_spec_table", "r08_comparables", "r16_confidence_reasons", "m05_tabular_preprocessor", "m16_ablation_predictions", "a22_profile_tables", "s03_catalog", "r17_score_report", "m11_multimodal_search", "m17_importance", "a19_detect_roles", "f12_component_tokens"])
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
