@@ -204,21 +204,26 @@ def scan(docs: DataFrame, templates=None, least: float = LEAST) -> DataFrame:
 def oracle(templates=TEMPLATES, least: float = LEAST) -> str:
     """DuckDB SQL over documents, with dice rounded to six digits: the notices in the whole text, its paragraphs and its lines.
 
-    scan() looks at every run of words and at the whole texts too, so it may find more.
+    Of units that overlap the best match stays, as in scan(), which looks at every run of words and at the whole texts
+    too, so it may find more.
     """
     values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in templates)
     return f"""
 WITH cut AS (
   SELECT doc_id, unnest(list_distinct(list_concat([text], regexp_split_to_array(text, '\\n[\\x20\\x09\\x0B-\\x0D]*\\n'), string_split(text, chr(10))))) AS unit
   FROM documents WHERE text IS NOT NULL),
-words AS (SELECT doc_id, regexp_extract_all(lower(unit), '[a-z0-9]+') AS w FROM cut),
+words AS (SELECT doc_id, unit, regexp_extract_all(lower(unit), '[a-z0-9]+') AS w FROM cut),
 pairs AS (
-  SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) > 1),
+  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) > 1),
 given(license, body) AS (VALUES {values}),
 split AS (SELECT license, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM given),
 templates AS (SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS t FROM split),
 scored AS (
-  SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(b, t)) / (len(b) + len(t)) AS dice
-  FROM pairs JOIN templates ON 2 * least(len(b), len(t)) >= {least} * (len(b) + len(t)))
-SELECT doc_id, license, round(max(dice), 6) AS dice FROM scored WHERE dice >= {least} GROUP BY doc_id, license
+  SELECT doc_id, unit, license, max(2.0::DOUBLE * len(list_intersect(b, t)) / (len(b) + len(t))) AS dice
+  FROM pairs JOIN templates ON 2 * least(len(b), len(t)) >= {least} * (len(b) + len(t)) GROUP BY doc_id, unit, license HAVING dice >= {least})
+SELECT doc_id, license, round(max(dice), 6) AS dice FROM scored s
+WHERE NOT EXISTS (
+  SELECT 1 FROM scored o WHERE o.doc_id IS NOT DISTINCT FROM s.doc_id AND o.license <> s.license
+  AND (o.dice > s.dice OR o.dice = s.dice AND o.license < s.license) AND (contains(o.unit, s.unit) OR contains(s.unit, o.unit)))
+GROUP BY doc_id, license
 """
