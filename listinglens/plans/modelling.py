@@ -17,7 +17,7 @@ from listinglens.operators import profile as O
 from listinglens.operators import relate as R
 from listinglens.operators import stats as S
 from listinglens.plans.relational import WORDS_SQL
-from listinglens.plans.retrieval import part_pairs, requests
+from listinglens.plans.retrieval import COMPARABLE, MATCHED, PART, part_pairs, requests, with_knn_score
 from listinglens.session import fresh_path, rounded, stage_table
 
 QUERIES: dict = {}
@@ -85,12 +85,15 @@ def _(t, spark):
     return E.standard_scale(p, p, ["price"]).select("p_partkey", rounded(F.col("price"), 6).alias("price"))
 
 
-@query("m05_tabular_preprocessor")
+@query("m05_tabular_preprocessor", f"""WITH {HOLES}, f AS (SELECT p_partkey, coalesce(size, (SELECT median(size) FROM h)) AS size, coalesce(brand, (SELECT brand FROM h WHERE brand IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, brand LIMIT 1)) AS brand FROM h), l AS (SELECT brand AS b, row_number() OVER (ORDER BY brand) AS pos FROM (SELECT DISTINCT brand FROM f))
+ SELECT p_partkey, 0 AS pos, round((size - (SELECT avg(size) FROM f)) / (SELECT stddev_pop(size) FROM f), 6) AS value FROM f UNION ALL SELECT p_partkey, pos, (b = brand)::INT::DOUBLE FROM f, l""")
 def _(t, spark):
+    """A row for each cell of the vector."""
     h = holes(t)
     filled = E.mode_fill(h, E.median_fill(h, h, ["size"]), ["brand"])
     ready = E.one_hot(filled, E.standard_scale(filled, filled, ["size"]), "brand")
-    return ready.select("p_partkey", F.concat(F.array(rounded(F.col("size"), 6)), F.transform("brand_hot", lambda x: x.cast("double"))).alias("features"))
+    cells = F.concat(F.array(rounded(F.col("size"), 6)), F.transform("brand_hot", lambda x: x.cast("double")))
+    return ready.select("p_partkey", F.posexplode(cells).alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("r01_weight_features", "SELECT p_partkey, round(p_size * 2.6::DOUBLE, 6) AS a, round(p_retailprice * 2.8::DOUBLE, 6) AS b FROM part")
@@ -375,17 +378,15 @@ def _(t, spark):
 
 def shaped(t):
     p = part_pairs(t)
-    bounds = p.agg(F.percentile("distance", F.lit(0.1)).alias("p10"), F.percentile("distance", F.lit(0.9)).alias("p90"))
-    scored = p.crossJoin(F.broadcast(bounds)).withColumn("knn_score", C.distance_score(F.col("distance"), F.col("p10"), F.col("p90")))  # one row
-    best = C.comparables(scored)
     details = p.select(F.col("query").alias("query_id"), F.col("c.listing_id").alias("listing_id"), "q", "c")
     q, c = (lambda n: F.col(f"q.{n}")), (lambda n: F.col(f"c.{n}"))
-    return best.join(details, ["query_id", "listing_id"]).select(
-        "query_id", "place", "listing_id", "score", *[F.col(f"c.{n}").alias(n) for n in ("district", "neighborhood", "rooms", "m2_gross", "price")], F.array_join(C.match_reasons(q, c), "|").alias("reasons")
-    )
+    return C.comparables(with_knn_score(p)).join(details, ["query_id", "listing_id"]).select(
+        "query_id", F.col("place").cast("long").alias("place"), "listing_id", F.col("score").cast("long").alias("score"),
+        *[F.col(f"c.{n}").alias(n) for n in ("district", "neighborhood", "rooms", "m2_gross", "price")], F.array_join(C.match_reasons(q, c), "|").alias("reasons"),
+    )
 
 
-@query("r09_comparable_rows")
+@query("r09_comparable_rows", f"WITH {PART}, {COMPARABLE}, {MATCHED} SELECT qid AS query_id, place, cid AS listing_id, score, c.district AS district, c.nb AS neighborhood, c.rooms AS rooms, c.m2 AS m2_gross, c.price AS price, reasons FROM cm JOIN wr USING (qid, cid) WHERE place <= 5")
 def _(t, spark):
     return shaped(t)
 

@@ -174,20 +174,35 @@ def _(t):
     return p.crossJoin(F.broadcast(bounds)).select(F.col("query").alias("qid"), F.col("found").alias("cid"), score.cast("long").alias("score"))  # one row
 
 
-@query("r07_match_reasons", f"""WITH {PART}, w AS (SELECT qid, cid, list_filter([CASE WHEN sd THEN 'Aynı ilçe' END, CASE WHEN sn THEN 'Aynı mahalle' END, CASE WHEN q.rooms = c.rooms THEN 'Oda tipi aynı' WHEN abs(q.rooms - c.rooms) <= 1 THEN 'Oda tipi yakın' END,
- CASE WHEN mg <= 0.15 THEN 'm² değeri yakın' WHEN mg <= 0.30 THEN 'm² aralığı benzer' END, CASE WHEN fs >= 0.75 THEN 'Kat seviyesi benzer' END, CASE WHEN ags >= 0.8 THEN 'Bina yaşı yakın' END, CASE WHEN hs = 1 THEN 'Isıtma tipi aynı' END], lambda x: x IS NOT NULL) AS w FROM sm)
- SELECT qid, cid, CASE WHEN len(w) = 0 THEN 'Temel konut özellikleri benzer' ELSE array_to_string(w[1:4], '|') END AS reasons FROM w""")
+MATCHED = """w AS (SELECT qid, cid, list_filter([CASE WHEN sd THEN 'Aynı ilçe' END, CASE WHEN sn THEN 'Aynı mahalle' END, CASE WHEN q.rooms = c.rooms THEN 'Oda tipi aynı' WHEN abs(q.rooms - c.rooms) <= 1 THEN 'Oda tipi yakın' END,
+ CASE WHEN mg <= 0.15 THEN 'm² değeri yakın' WHEN mg <= 0.30 THEN 'm² aralığı benzer' END, CASE WHEN fs >= 0.75 THEN 'Kat seviyesi benzer' END, CASE WHEN ags >= 0.8 THEN 'Bina yaşı yakın' END, CASE WHEN hs = 1 THEN 'Isıtma tipi aynı' END], lambda x: x IS NOT NULL) AS w FROM sm),
+ wr AS (SELECT qid, cid, CASE WHEN len(w) = 0 THEN 'Temel konut özellikleri benzer' ELSE array_to_string(w[1:4], '|') END AS reasons FROM w)"""
+
+
+@query("r07_match_reasons", f"WITH {PART}, {MATCHED} SELECT qid, cid, reasons FROM wr")
 def _(t):
     q, c = (lambda n: F.col(f"q.{n}")), (lambda n: F.col(f"c.{n}"))
     return part_pairs(t).select(F.col("query").alias("qid"), F.col("found").alias("cid"), F.array_join(C.match_reasons(q, c), "|").alias("reasons"))
 
 
-@query("r08_comparables")
+COMPARABLE = """bd AS (SELECT quantile_cont(d, 0.1) AS p10, quantile_cont(d, 0.9) AS p90 FROM pr),
+ kn AS (SELECT *, greatest(5, least(99, round_even(100 - 90 * (d - p10) / greatest(p90 - p10, 1e-6), 0))) AS knn, least(99, round_even(100 * ws / tw + 6 * sd::INT + 8 * sn::INT + CASE WHEN abs(q.m2 - c.m2) <= 15 THEN 4 ELSE 0 END + CASE WHEN q.rooms = c.rooms THEN 4 ELSE 0 END, 0)) AS match FROM sc, bd),
+ fd AS (SELECT *, round_even(match * 0.8::DOUBLE + knn * 0.2::DOUBLE, 0)::BIGINT AS score, abs(q.rooms - c.rooms) <= 2 AND mg <= 0.40 AND pg <= 0.60 AS strict, (c.district, c.nb, c.rooms, c.m2, round_even(c.price, 0))::VARCHAR AS sig
+  FROM kn WHERE abs(q.rooms - c.rooms) <= 3 AND mg <= 0.55 AND pg <= 0.80),
+ td AS (SELECT *, CASE WHEN score >= 55 AND strict THEN 1 WHEN score >= 55 THEN 2 ELSE 3 END AS tier FROM fd WHERE score >= 40),
+ nt AS (SELECT qid, count(DISTINCT sig) FILTER (tier = 1) AS n_strict, count(*) FILTER (tier <= 2) AS n_good FROM td GROUP BY 1),
+ ls1 AS (SELECT td.*, row_number() OVER (PARTITION BY qid, sig ORDER BY tier > 1, sn DESC, sd DESC, score DESC, pg, cid) AS copy FROM td JOIN nt USING (qid) WHERE CASE WHEN n_strict >= 3 THEN tier = 1 WHEN n_good > 0 THEN tier <= 2 ELSE true END),
+ cm AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier > 1, sn DESC, sd DESC, score DESC, pg, cid) AS place FROM ls1 WHERE copy = 1)"""
+
+
+@query("r08_comparables", f"WITH {PART}, {COMPARABLE} SELECT qid AS query_id, cid AS listing_id, score, place FROM cm WHERE place <= 5")
 def _(t):
-    p = part_pairs(t)
+    return C.comparables(with_knn_score(part_pairs(t))).withColumns({"score": F.col("score").cast("long"), "place": F.col("place").cast("long")})
+
+
+def with_knn_score(p: DataFrame) -> DataFrame:
     bounds = p.agg(F.percentile("distance", F.lit(0.1)).alias("p10"), F.percentile("distance", F.lit(0.9)).alias("p90"))
-    scored = p.crossJoin(F.broadcast(bounds)).withColumn("knn_score", C.distance_score(F.col("distance"), F.col("p10"), F.col("p90")))  # one row
-    return C.comparables(scored)
+    return p.crossJoin(F.broadcast(bounds)).withColumn("knn_score", C.distance_score(F.col("distance"), F.col("p10"), F.col("p90")))  # one row
 
 
 # -- confidence: customers stand for scored listings -----------------------------------------------------------------
@@ -252,7 +267,18 @@ def _(t):
     return Q.score_confidence(r, r).select("c_custkey", F.col("confidence").cast("long").alias("confidence"), "label")
 
 
-@query("r16_confidence_reasons")
+def sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+TOLD = f"""lb AS (SELECT *, CASE WHEN s >= 80 THEN 'Yüksek' WHEN s >= 60 THEN 'Orta' ELSE 'Düşük' END AS label FROM (SELECT *, round_even(completeness * 0.25::DOUBLE + visual * 0.2::DOUBLE + location * 0.2::DOUBLE + price_range * 0.2::DOUBLE + stability * 0.15::DOUBLE, 0)::BIGINT AS s FROM cs)),
+ x AS (SELECT c_custkey, label, unnest([completeness, visual, location, price_range, stability]) AS s, unnest([1, 2, 3, 4, 5]) AS i, unnest({sql_list(v[0] for v in Q.REASONS.values())}) AS pos, unnest({sql_list(v[1] for v in Q.REASONS.values())}) AS neu, unnest({sql_list(v[2] for v in Q.REASONS.values())}) AS neg FROM lb),
+ y AS (SELECT *, CASE WHEN s >= 80 THEN pos WHEN s >= 68 THEN neu END AS h, CASE WHEN s <= 60 THEN neg WHEN s <= 72 THEN neu END AS l, CASE WHEN s >= 78 THEN pos WHEN s >= 68 THEN neu END AS st, CASE WHEN s <= 68 THEN neg END AS li FROM x),
+ z AS (SELECT c_custkey, label, coalesce(list(h ORDER BY s DESC, i) FILTER (h IS NOT NULL), []) AS h, coalesce(list(l ORDER BY s, i) FILTER (l IS NOT NULL), []) AS l, coalesce(list(st ORDER BY s DESC, i) FILTER (st IS NOT NULL), []) AS st, coalesce(list(li ORDER BY s, i) FILTER (li IS NOT NULL), []) AS li FROM y GROUP BY 1, 2),
+ ch AS (SELECT c_custkey, label, CASE label WHEN 'Yüksek' THEN h WHEN 'Düşük' THEN l ELSE list_concat(list_concat(st[1:1], li[1:2]), st[2:]) END AS ch FROM z)"""
+
+
+@query("r16_confidence_reasons", f"WITH {REQ}, {TOLD} SELECT c_custkey, label, CASE WHEN len(ch) = 0 THEN '{Q.DEFAULT_REASON}' ELSE array_to_string(ch[1:3], '|') END AS reasons FROM ch")
 def _(t):
     r = requests(t)
     return Q.score_confidence(r, r).select("c_custkey", "label", F.array_join("reasons", "|").alias("reasons"))
