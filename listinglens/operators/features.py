@@ -7,11 +7,14 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import PCA, CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +36,23 @@ def clean_tabular(df: DataFrame, text: Sequence[str] = (), numeric: Sequence[str
     return df.select(*[c for c in df.columns if c not in {*text, *numeric, *rooms}], *cells)
 
 
+class TabularCleaner(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """clean_tabular as a pipeline stage, so that a saved bundle takes raw rows."""
+
+    text = Param(Params._dummy(), "text", "columns to normalise", TypeConverters.toListString)
+    numeric = Param(Params._dummy(), "numeric", "columns to read as numbers", TypeConverters.toListString)
+    rooms = Param(Params._dummy(), "rooms", "room labels to count", TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(self, *, text: Sequence[str] = (), numeric: Sequence[str] = (), rooms: Sequence[str] = ()):
+        super().__init__()
+        self._setDefault(text=[], numeric=[], rooms=[])
+        self._set(**{k: list(v) for k, v in self._input_kwargs.items()})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return clean_tabular(dataset, *[self.getOrDefault(p) for p in (self.text, self.numeric, self.rooms)])
+
+
 def normalize_payload(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
     """The expected columns, null where absent, and `warnings`: missing, unexpected and blank ones."""
     lacking = [c for c in expected if c not in df.columns]

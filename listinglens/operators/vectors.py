@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +80,25 @@ def nearest_concept(df: DataFrame, bank: DataFrame, column: str) -> DataFrame:
     return df.crossJoin(F.broadcast(words)).withColumn("best", best).drop("bank")  # one row that holds the bank
 
 
+def encode(c: Column, load: Callable[[], Callable[[list], Sequence[Sequence[float]]]], rows: int = 64) -> Column:
+    """The vector that an encoder gives each value, null for null.
+
+    load makes the encoder once for each task; it takes a list of at most
+    `rows` values and gives as many vectors.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = load()
+        for batch in batches:
+            given, found = batch.dropna(), []
+            for at in range(0, len(given), rows):
+                found += [list(map(float, v)) for v in encoder(given.iloc[at : at + rows].tolist())]
+            yield pd.Series(found, index=given.index, dtype=object).reindex(batch.index).where(batch.notna(), None)
+
+    return run(c)
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
@@ -15,9 +17,11 @@ from listinglens.operators import features as E
 from listinglens.operators import models as M
 from listinglens.operators import profile as O
 from listinglens.operators import relate as R
+from listinglens.operators import report as T
 from listinglens.operators import stats as S
+from listinglens.operators import vectors as V
 from listinglens.plans.relational import WORDS_SQL
-from listinglens.plans.retrieval import COMPARABLE, MATCHED, PART, part_pairs, requests, with_knn_score
+from listinglens.plans.retrieval import COMPARABLE, MATCHED, PART, part_listing, part_pairs, with_knn_score
 from listinglens.session import fresh_path, rounded, stage_table
 
 QUERIES: dict = {}
@@ -391,14 +395,49 @@ def _(t, spark):
     return shaped(t)
 
 
+REQUEST = ("m2_gross", "building_age", "floor", "name_length", "name_words", "images")
+REQUEST_BLOCKS = {"full": [], "no_text": [range(3, 5)], "no_image": [range(5, 6)], "tabular": [range(3, 6)]}
+
+
 @query("r17_score_report")
 def _(t, spark):
-    """Confidence of each customer request, with the comparables of the part of the same number, as one row."""
-    r = requests(t)
-    told = Q.score_confidence(r, r).select(F.col("c_custkey").alias("query_id"), "confidence", "label", F.array_join("reasons", "|").alias("why"))
-    near = shaped(t).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "listing_id", "score", "reasons"))).alias("similar"))
-    rows = told.join(near, "query_id", "left")
-    return rows.select("query_id", "confidence", "label", "why", F.to_json("similar").alias("similar"))
+    """Parts as listings: a ridge model of all of them, and the report of each stated query."""
+    name = F.col("p_name")
+    extra = t("part").select("p_partkey", name.alias("title"), F.length(name).cast("double").alias("name_length"), F.size(F.split(name, " ")).cast("double").alias("name_words"), (F.col("p_partkey") % 20).cast("double").alias("images"))
+    rows = part_listing(t).select(F.col("p_partkey").alias("query_id"), "l.*").join(extra.withColumnRenamed("p_partkey", "query_id"), "query_id")
+    rows = E.fuse(rows, REQUEST).withColumn("part", R.split_label(F.col("query_id"))).withColumns({"city": F.lit("x"), "description": F.col("title"), "clean_text": F.col("title")})
+    rows = stage_table(rows, "requests")
+    train, test = rows.where("part <> 'test'"), rows.where("part = 'test'")
+    model = M.candidates("price")["ridge"].fit(train)
+    error = S.metrics(model.transform(test), "price", "prediction").first()["mae"] or 0.0
+    asked = rows.where("query_id % 100 = 0")
+    told = asked.drop("price").join(M.ablation_predictions(model, asked, "query_id", REQUEST_BLOCKS), "query_id").withColumn("price", F.col("full"))
+    means = train.agg(*[F.avg(c).alias(c) for c in REQUEST]).first().asDict()
+    coefficients = dict(zip(REQUEST, map(float, model.coefficients), strict=True))
+    factors = M.attribute_linear(asked, means, coefficients, {"table": REQUEST[:3], "text": REQUEST[3:5], "images": REQUEST[5:]})
+    return T.score_report("query_id", Q.score_confidence(told, rows), error, M.merged_factors(M.top_factors(factors, "query_id"), "query_id"), shaped(t))
+
+
+def letter_shares(texts):
+    """Stands for an encoder: how often each vowel is in a text."""
+    return [[float(x.count(v)) for v in "aeiou"] for x in texts]
+
+
+@query("u05_encode_batches", "SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS pos, unnest([length(text) - length(replace(text, v, '')) for v in ['a', 'e', 'i', 'o', 'u']])::DOUBLE AS value FROM documents WHERE text IS NOT NULL")
+def _(t, spark):
+    coded = t("documents").select("doc_id", V.encode(F.col("text"), lambda: letter_shares).alias("v"))
+    return coded.select("doc_id", F.posexplode("v").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("u02_transformer", "SELECT p_partkey, CASE WHEN p_size + p_partkey % 3 <= 12 THEN (p_size + p_partkey % 3)::DOUBLE END AS rooms, p_retailprice AS price FROM part")
+def _(t, spark):
+    """A bundle that starts with its own cleaning step, saved, loaded, and applied to raw rows."""
+    raw = t("part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit("+"), (F.col("p_partkey") % 3).cast("string")).alias("rooms"), F.col("p_retailprice").cast("string").alias("price"))
+    path = fresh_path(spark, "bundle")
+    steps = Pipeline(stages=[E.TabularCleaner(numeric=["price"], rooms=["rooms"]), Imputer(inputCol="rooms", outputCol="rooms_filled"), VectorAssembler(inputCols=["rooms_filled"], outputCol="features"), LinearRegression(labelCol="price")])
+    M.save_bundle(steps.fit(raw), {"model": "ridge", "features": "rooms", "target": "price", "mae": 0.0}, path, spark)
+    model, _ = M.load_bundle(spark, path)
+    return model.transform(raw).where("prediction is not null").select("p_partkey", "rooms", "price")
 
 
 @query("u04_explode_paths", "SELECT event_id, unnest(CASE event_id % 4 WHEN 1 THEN [event_type, 'b'] WHEN 3 THEN ['[' || event_type] ELSE [event_type] END) AS path FROM events")

@@ -177,3 +177,16 @@ def test_model_bundle_needs_its_keys(spark):
 
     with pytest.raises(ValueError, match="missing columns"):
         M.save_bundle(None, {"model": "x"}, "/nowhere", spark)
+
+
+def test_encoder_sees_small_lists_and_no_nulls(spark):
+    def load():
+        def encode(values):
+            assert len(values) <= 2 and None not in values
+            return [[len(v), 1] for v in values]
+
+        return encode
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "abc"), (4, "ab"), (5, "")], "k int, v string").coalesce(1)
+    found = {r.k: r.e for r in df.select("k", V.encode(F.col("v"), load, rows=2).alias("e")).collect()}
+    assert found == {1: [1.0, 1.0], 2: None, 3: [3.0, 1.0], 4: [2.0, 1.0], 5: [0.0, 1.0]}

@@ -1,6 +1,7 @@
 """Registered queries of the reference's operators run on the small tables, and agree with their SQL twins."""
 
 import glob
+import json
 import os
 
 import duckdb
@@ -43,3 +44,12 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["n_name", "n", "mae", "rmse"]
+
+
+def test_report_adds_up(spark, sf):
+    """The factors of a price add up to its distance from the price of mean features, and every part of the report is there."""
+    rows = [r.asDict() for r in QUERIES["r17_score_report"](spark, sf).collect()]
+    assert rows and all(r["low"] <= r["prediction"] <= r["high"] and r["label"] for r in rows)
+    base = [r["prediction"] - sum(f["score"] for f in json.loads(r["factors"])) for r in rows]
+    assert base == pytest.approx([base[0]] * len(base), abs=0.02)
+    assert all(1 <= len(json.loads(r["similar"])) <= 5 for r in rows if r["similar"])
