@@ -19,9 +19,10 @@ def gather(rows: DataFrame, key: str, order: str, columns: Sequence[str], out: s
 def score_report(key: str, scored: DataFrame, error: float, factors: DataFrame, similar: DataFrame) -> DataFrame:
     """A row for each key of `scored`: prediction, low and high, factors, similar, confidence, label and reasons.
 
-    scored has the prediction `full` and the columns of score_confidence;
-    error is the mean error on rows that the model has not seen. factors (place, group, sign, score) and similar
-    (place, listing_id, score, reasons) have a few rows for each key, or none.
+    scored has the prediction `full` and the columns of score_confidence; error
+    is the mean error on rows that the model has not seen. factors (place,
+    group, sign, score) and similar (place, listing_id, score, reasons) have a
+    few rows for each key, or none.
     """
     price = F.greatest(F.col("full"), F.lit(0.0))
     rows = scored.select(

@@ -88,7 +88,11 @@ over("events", "p34_parse_path_list", lambda: ("event_id", F.array_join(P.parse_
      "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type || '|b' WHEN 2 THEN event_type ELSE '[' || event_type END AS paths FROM events")
 over("pages", "p35_path_key", lambda: ("page_id", P.path_key(F.concat(F.lit('"./A\\\\B//'), F.col("url"), F.lit('"'))).alias("k")),
      "SELECT page_id, 'a/b/' || regexp_replace(lower(url), '/+', '/', 'g') AS k FROM pages")
-over("pages", "p36_spec_table", lambda: ("page_id", F.to_json(P.extract_spec_table(F.concat(F.lit("<table><tr><th>Oda</th><td>3 + 1</td></tr><tr><th> </th><td>x</td></tr><tr><th>Oda</th><td>"), F.col("page_id").cast("string"), F.lit("</td></tr></table>"), F.col("html")))).alias("specs")))
+SPEC = "<table><tr><th>Oda</th><td>3 + 1</td></tr><tr><th> </th><td>x</td></tr><tr><th>Oda</th><td>"
+over("pages", "p36_spec_table", lambda: ("page_id", F.explode(P.extract_spec_table(F.concat(F.lit(SPEC), F.col("page_id").cast("string"), F.lit("</td></tr></table>"), F.col("html")))).alias("label", "value")),
+     rf"""WITH l AS (SELECT page_id, regexp_extract_all('{SPEC}' || page_id || '</td></tr></table>' || html, '(?is)<tr[^>]*>(.*?)</tr>', 1) AS l FROM pages), n AS (SELECT page_id, unnest(l) AS r, generate_subscripts(l, 1) AS i FROM l),
+ c AS (SELECT page_id, i, trim(regexp_replace(regexp_replace(regexp_extract(r, '(?is)<th[^>]*>(.*?)</th>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS label, trim(regexp_replace(regexp_replace(regexp_extract(r, '(?is)<td[^>]*>(.*?)</td>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS value FROM n)
+ SELECT page_id, label, arg_max(value, i) AS value FROM c WHERE label <> '' AND value <> '' GROUP BY 1, 2""")
 over("pages", "p37_title", lambda: ("page_id", P.extract_title(F.col("html")).alias("title")),
      r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), ''),
  nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '')) AS title FROM pages""")

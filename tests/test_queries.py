@@ -35,7 +35,7 @@ def test_agrees_with_sql(spark, sf, duck, name):
     assert cells(ours) == cells(theirs)
 
 
-@pytest.mark.parametrize("name", ["p36_spec_table", "m06_vector_reducer", "m07_fuse_blocks", "m08_candidates", "m12_refit_and_test", "m13_matched_baseline", "m15_ablation", "m21_early_stopping", "m24_batch_score", "a20_classify_tables", "f11_truncated_svd", "m16_ablation_predictions", "a22_profile_tables", "s03_catalog", "r17_score_report", "m11_multimodal_search", "m17_importance", "a19_detect_roles", "f12_component_tokens"])
+@pytest.mark.parametrize("name", ["m06_vector_reducer", "m07_fuse_blocks", "m08_candidates", "m12_refit_and_test", "m13_matched_baseline", "m15_ablation", "m21_early_stopping", "m24_batch_score", "a20_classify_tables", "f11_truncated_svd", "m16_ablation_predictions", "a22_profile_tables", "s03_catalog", "r17_score_report", "m11_multimodal_search", "m17_importance", "a19_detect_roles", "f12_component_tokens"])
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
