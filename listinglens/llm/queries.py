@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listinglens.llm import chat, decontam, grading, language_id, licenses, near_dedup, packing, pii, quality_rules, toxicity
+from listinglens.llm import chat, decontam, grading, language_id, licenses, merkle, near_dedup, packing, pii, quality_rules, toxicity
 from listinglens.llm.common import read_table
 
 
@@ -59,6 +59,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", *merkle.CELLS)
+    return merkle.verified(merkle.manifest(docs, merkle.tampered_text(F.col("doc_id"), F.col("text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_pii,
@@ -71,9 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_grades,
         op9_decontamination,
         op10_toxicity,
+        op11_merkle_manifest,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle(), "op3_chat_preferences": chat.ORACLE_SQL}
+    return {"op2_license_scan": licenses.oracle(), "op3_chat_preferences": chat.ORACLE_SQL, "op11_merkle_manifest": merkle.oracle()}
