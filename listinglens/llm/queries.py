@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listinglens.llm import chat, decontam, grading, language_id, licenses, merkle, near_dedup, packing, pii, quality_rules, toxicity
+from listinglens.llm import chat, decontam, grading, hard_negatives, language_id, licenses, merkle, near_dedup, packing, pii, quality_rules, toxicity
 from listinglens.llm.common import read_table
 
 
@@ -64,6 +64,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.manifest(docs, merkle.tampered_text(F.col("doc_id"), F.col("text"))))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
+    return hard_negatives.mine(vectors, "vec_id", label, "embedding", F.col("id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_pii,
@@ -77,9 +83,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_decontamination,
         op10_toxicity,
         op11_merkle_manifest,
+        op12_hard_negatives,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle(), "op3_chat_preferences": chat.ORACLE_SQL, "op11_merkle_manifest": merkle.oracle()}
+    return {"op2_license_scan": licenses.oracle(), "op3_chat_preferences": chat.ORACLE_SQL, "op11_merkle_manifest": merkle.oracle(), "op12_hard_negatives": hard_negatives.ORACLE_SQL}
