@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listinglens.llm import chat, decontam, grading, hard_negatives, language_id, licenses, merkle, near_dedup, packing, pii, quality_rules, toxicity
+from listinglens.llm import chat, decontam, grading, hard_negatives, language_id, licenses, merkle, near_dedup, packing, pii, quality_rules, suffix_dedup, toxicity
 from listinglens.llm.common import read_table
 
 
@@ -70,6 +70,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, "vec_id", label, "embedding", F.col("id") % 100 == 0)
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(suffix_dedup.remove_repeats(_texts(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_pii,
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_toxicity,
         op11_merkle_manifest,
         op12_hard_negatives,
+        op13_suffix_dedup,
     )
     return {f.__name__: f for f in every}
 
