@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from listinglens.operators import validate as V
 from listinglens.plans.relational import LISTINGS, images, listings
 from listinglens.session import fresh_path, rounded
+from listinglens.sources import snapshots as N
 from listinglens.sources import tables as A
 from listinglens.streaming import ingest as I
 
@@ -51,10 +52,10 @@ def _(spark, d):
 def _(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), F.lit(0).alias("version"))
     path = fresh_path(spark, "upsert")
-    A.upsert_parquet(o.where("o_orderkey % 3 = 0"), path, "o_orderkey", ["version"])
+    N.upsert(o.where("o_orderkey % 3 = 0"), path, "o_orderkey", ["version"])
     change = o.where("o_orderkey % 3 <> 0").unionByName(o.where("o_orderkey % 10 = 0").withColumns({"status": F.lit("new"), "version": F.lit(1)}))
-    A.upsert_parquet(change, path, "o_orderkey", ["version"])
-    return spark.read.parquet(path).drop("version")
+    N.upsert(change, path, "o_orderkey", ["version"])
+    return N.read_snapshot(spark, path).drop("version")
 
 
 @query("s06_event_log", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value END AS value, CASE WHEN event_id % 2 = 1 THEN event_type END AS event_type FROM events")
@@ -131,8 +132,9 @@ def _(spark, d):
 def _(spark, d):
     path, schema = event_files(spark, d)
     out = fresh_path(spark, "out")
-    I.upsert_stream(I.file_stream(spark, path, schema, 2), out, "user_id", ["ts", "event_id"], fresh_path(spark, "cp"))
-    return spark.read.parquet(out).select("user_id", "event_id", "event_type")
+    stream = I.file_stream(spark, path, schema, 2).withColumn("bucket", F.pmod(F.col("user_id"), F.lit(16)))
+    I.upsert_stream(stream, out, "user_id", ["ts", "event_id"], fresh_path(spark, "cp"), "bucket")
+    return N.read_snapshot(spark, out).select("user_id", "event_id", "event_type")
 
 
 @query("i03_drop_seen", "SELECT DISTINCT user_id FROM events")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listinglens.operators.relate import dedup_last
 from listinglens.session import require_columns
 
 
@@ -41,62 +41,24 @@ def list_files(spark: SparkSession, root: str, suffix: str = ".parquet") -> list
 
 
 def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Rows (name, n_rows, n_cols, error): every table under root; one that cannot be read has an error and no counts."""
-    rows = []
+    """Rows (name, n_rows, n_cols, error): every table under root; one that cannot be read has an error and no counts.
+
+    A table's columns and its files are metadata. The rows of all tables are
+    counted together, in one job that reads nothing but the files' footers.
+    """
+    counts, facts = [], []
     for path in list_files(spark, root):
         name = path.rsplit("/", 1)[-1]
         try:
             table = spark.read.parquet(path)
-            rows.append((name, table.count(), len(table.columns), None))
         except PySparkException as e:
-            rows.append((name, None, None, str(e).splitlines()[0][:200]))
-    return spark.createDataFrame(rows, "name string, n_rows long, n_cols int, error string")
-
-
-def upserted(old: DataFrame | None, new: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Old and new rows, the last of each key in the given order; columns that one side lacks are null there."""
-    rows = new if old is None else old.unionByName(new, allowMissingColumns=True)
-    return dedup_last(rows, key, order)
-
-
-def upsert_parquet(df: DataFrame, path: str, key: str, order: Sequence[str], partition: str | None = None) -> None:
-    """Upsert df into the table at path. With a partition column only the partitions that df touches are rewritten.
-
-    The key must fix the partition. The new rows are written beside the table
-    first and take its place once they are whole. A run that ends in between
-    leaves the old table at <path>.old, and the next call begins by putting it
-    back: so no state of the folders loses rows, and a batch may be repeated.
-    """
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target, aside, staged = hadoop(path), hadoop(f"{path}.old"), hadoop(f"{path}.staged")
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def move(a, b) -> None:
-        if not system.rename(a, b):
-            raise OSError(f"could not rename {a} to {b}")
-
-    if system.exists(aside):
-        if system.exists(target):  # the new table was in place already
-            system.delete(aside, True)
-        else:
-            move(aside, target)
-    old = spark.read.parquet(path) if system.exists(target) else None
-    if partition and old is not None:
-        touched = df.select(partition).distinct()
-        rows = upserted(old.join(touched, partition, "left_semi"), df, key, order)
-        rows.write.mode("overwrite").parquet(str(staged))
-        ready = spark.read.parquet(str(staged))
-        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-        system.delete(staged, True)
-        return
-    rows = upserted(old, df, key, order)
-    writer = rows.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(str(staged))
-    if old is not None:
-        move(target, aside)
-    move(staged, target)
-    system.delete(aside, True)
+            facts.append((name, None, str(e).splitlines()[0][:200]))
+            continue
+        facts.append((name, len(table.columns), None))
+        counts.append(table.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows"))
+    known = spark.createDataFrame(facts, "name string, n_cols int, error string")
+    rows = reduce(DataFrame.unionAll, counts) if counts else spark.createDataFrame([], "name string, n_rows long")
+    return known.join(rows, "name", "left").select("name", "n_rows", "n_cols", "error")
 
 
 def append_events(df: DataFrame, path: str) -> None:

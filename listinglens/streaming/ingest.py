@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listinglens.sources.tables import upsert_parquet
+from listinglens.sources.snapshots import upsert
 
 
 def file_stream(spark: SparkSession, path: str, schema, files: int = 1, ts: str | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def ingest_stream(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
 
 def upsert_stream(stream: DataFrame, path: str, key: str, order: Sequence[str], checkpoint: str, partition: str | None = None) -> None:
     """Keep the last row of each key over all batches. A batch that is replayed changes nothing; with a partition column a batch rewrites only what it touches."""
-    ingest_stream(stream, lambda batch, _: upsert_parquet(batch, path, key, order, partition), checkpoint)
+    ingest_stream(stream, lambda batch, _: upsert(batch, path, key, order, partition), checkpoint)
 
 
 def drop_seen(stream: DataFrame, key: str, ts: str | None = None, within: str | None = None) -> DataFrame:

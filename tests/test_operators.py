@@ -31,40 +31,6 @@ def test_split_is_disjoint_and_order_free(spark):
     assert 0.65 < sum(p == "train" for p in a.values()) / 2000 < 0.75
 
 
-def test_upsert_twice_is_upsert_once(spark, tmp_path):
-    path = str(tmp_path / "t")
-    old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, n int")
-    new = spark.createDataFrame([(2, "c", 1), (3, "d", 1)], "k int, v string, n int")
-    for batch in (old, new, new):
-        A.upsert_parquet(batch, path, "k", ["n"])
-    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (3, "d")]
-
-
-def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
-    path = str(tmp_path / "p")
-    rows = spark.createDataFrame([(1, "x", 0, 1), (2, "y", 0, 2)], "k int, v string, n int, part int")
-    A.upsert_parquet(rows, path, "k", ["n"], "part")
-    before = {r.k: r.f for r in spark.read.parquet(path).select("k", F.input_file_name().alias("f")).collect()}
-    A.upsert_parquet(spark.createDataFrame([(1, "z", 1, 1)], "k int, v string, n int, part int"), path, "k", ["n"], "part")
-    after = {r.k: r.f for r in spark.read.parquet(path).select("k", F.input_file_name().alias("f")).collect()}
-    assert before[2] == after[2]
-    assert {r.v for r in spark.read.parquet(path).collect()} == {"z", "y"}
-
-
-@pytest.mark.parametrize("state", ["old moved away", "new in place"])
-def test_upsert_after_a_run_that_ended_in_between(spark, tmp_path, state):
-    path = str(tmp_path / "t")
-    rows = spark.range(100).select(F.col("id").alias("k"), F.lit("a").alias("v"), F.lit(0).alias("n"))
-    A.upsert_parquet(rows, path, "k", ["n"])
-    if state == "old moved away":
-        (tmp_path / "t").rename(tmp_path / "t.old")
-    else:
-        rows.limit(3).write.parquet(f"{path}.old")
-    A.upsert_parquet(spark.createDataFrame([(7, "b", 1)], "k long, v string, n int"), path, "k", ["n"])
-    found = {r.k: r.v for r in spark.read.parquet(path).collect()}
-    assert len(found) == 100 and found[7] == "b" and not (tmp_path / "t.old").exists()
-
-
 def test_helper_names_do_not_clash(spark):
     df = spark.createDataFrame([("a", 1, 5, 6, 7), ("a", 2, 5, 6, 7)], "g string, v int, rank int, _rank int, row int")
     assert [tuple(r) for r in S.best_per_group(df, "g", ["v"]).collect()] == [("a", 1, 5, 6, 7)]
