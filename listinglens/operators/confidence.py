@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listinglens.operators.quantiles import exact_quantiles
+
 #: Weights of the five scores and the points of each presence check.
 WEIGHTS = {"completeness": 0.25, "visual": 0.20, "location": 0.20, "price_range": 0.20, "stability": 0.15}
 POINTS = {"city": 10, "district": 12, "neighborhood": 12, "rooms": 14, "m2_gross": 16, "title": 12, "description": 14, "clean_text": 6, "images": 4}
@@ -128,7 +130,8 @@ def confidence_profile(df: DataFrame, district: str, neighborhood: str, price: s
         counts = df.where(F.col(column).isNotNull()).groupBy(F.trim(F.col(column).cast("string"))).agg(F.count("*").alias("n"))
         return counts.agg(F.greatest(F.percentile("n", F.lit(0.95)), F.lit(1.0)).alias(name))
 
-    bounds = df.agg(F.count("*").alias("n_rows"), F.percentile(price, F.lit(0.05)).alias("p05"), F.percentile(price, F.lit(0.95)).alias("p95"))
+    found = exact_quantiles(df, [price], (0.05, 0.95))
+    bounds = found.select((F.col("n") + F.col("missing")).alias("n_rows"), F.get("quantiles", 0).alias("p05"), F.get("quantiles", 1).alias("p95"))
     return bounds.crossJoin(reference(district, "ref_d")).crossJoin(reference(neighborhood, "ref_n"))  # one row each
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from listinglens.functions.parse import normalize_string, room_count
 from listinglens.functions.text import ascii_fold, collapse_ws
+from listinglens.operators.quantiles import exact_quantiles
 from listinglens.session import require_columns, rounded, stage_table
 
 # -- tables ----------------------------------------------------------------------------------------------------------
@@ -64,8 +65,8 @@ def normalize_payload(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
 
 
 def median_fill(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """df with nulls as the exact training median, all columns in one pass."""
-    medians = train.agg(*[F.median(c).alias(c) for c in columns]).first().asDict()
+    """df with nulls as the exact training median of their column."""
+    medians = {r["field"]: r["quantiles"][0] for r in exact_quantiles(train, columns, (0.5,)).collect()}  # a row for each column
     return df.fillna({c: float(v) for c, v in medians.items() if v is not None})
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listinglens.operators.quantiles import exact_quantiles
 from listinglens.session import rounded
 
 #: Actual values below this size have no relative error.
@@ -100,45 +101,33 @@ def segment_metrics(df: DataFrame, segments: Mapping[str, Column], actual: str,
 
 def residual_profile(df: DataFrame, segments: Mapping[str, Column], actual: str, p: str) -> DataFrame:
     r = F.col(actual) - F.col(p)
-    return segment_rows(df, segments).groupBy("segment").agg(
+    rows = segment_rows(df, segments)
+    medians = exact_quantiles(rows, {"r": r}, (0.5,), ["segment"]).select("segment", rounded(F.get("quantiles", 0)).alias("median"))
+    facts = rows.groupBy("segment").agg(
         F.count("*").alias("n"),
         rounded(F.avg(r)).alias("mean"),
-        rounded(F.median(r)).alias("median"),
         rounded(F.stddev_pop(r)).alias("std"),
         rounded(F.avg(F.abs(r))).alias("mae"),
         rounded(F.avg((r > 0).cast("double")), 6).alias("under_share"),
         rounded(F.avg((r < 0).cast("double")), 6).alias("over_share"),
     )
+    return facts.join(medians, "segment").select("segment", "n", "mean", "median", "std", "mae", "under_share", "over_share")
 
 
 def error_summary(df: DataFrame, actual: str, p: str) -> DataFrame:
     y, q = F.col(actual), F.col(p)
     error = F.abs(y - q)
-    return df.agg(
-        rounded(F.avg(y)).alias("mean_actual"),
-        rounded(F.avg(q)).alias("mean_predicted"),
-        rounded(F.avg(q - y)).alias("mean_signed"),
-        *[rounded(F.percentile(error, F.lit(x))).alias(f"p{int(x * 100)}") for x in (0.5, 0.9, 0.95)],
-    )
+    means = df.agg(rounded(F.avg(y)).alias("mean_actual"), rounded(F.avg(q)).alias("mean_predicted"), rounded(F.avg(q - y)).alias("mean_signed"))
+    shares = (0.5, 0.9, 0.95)
+    found = exact_quantiles(df, {"error": error}, shares).select(*[rounded(F.get("quantiles", i)).alias(f"p{int(x * 100)}") for i, x in enumerate(shares)])
+    return means.crossJoin(F.broadcast(found))  # one row
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """field, min, max, median, p05, p95 and nulls of each column, in one pass over df."""
-    wide = df.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("field"),
-                rounded(F.min(c)).alias("min"),
-                rounded(F.max(c)).alias("max"),
-                rounded(F.median(c)).alias("median"),
-                rounded(F.percentile(c, F.lit(0.05))).alias("p05"),
-                rounded(F.percentile(c, F.lit(0.95))).alias("p95"),
-                F.count_if(F.col(c).isNull()).alias("missing"),
-            ).alias(c)
-            for c in columns
-        ]
-    )
-    return wide.select(F.explode(F.array(*columns)).alias("r")).select("r.*")
+    """field, min, max, median, p05, p95 and nulls of each column."""
+    found = exact_quantiles(df, columns, (0.5, 0.05, 0.95))
+    cells = [rounded(c).alias(n) for n, c in (("min", F.col("low")), ("max", F.col("high")), *((n, F.get("quantiles", i)) for i, n in enumerate(("median", "p05", "p95"))))]
+    return found.select("field", *cells, "missing")
 
 
 def length_profile(df: DataFrame, column: str) -> DataFrame:
@@ -192,9 +181,9 @@ def keyword_effect(df: DataFrame, groups: Mapping[str, Sequence[str]], words: st
     hit = F.array_compact(F.array(*[F.when(F.arrays_overlap(F.col(words), F.array(*map(F.lit, w))), F.lit(g)) for g, w in groups.items()]))
     rows = df.select(y, hit.alias("hits"))
     overall = rows.agg(F.count("*").alias("total"), F.avg(y).alias("overall"))
-    found = rows.select(y, F.explode("hits").alias("keyword")).groupBy("keyword").agg(
-        F.count("*").alias("n"), F.avg(y).alias("mean"), rounded(F.median(y)).alias("median")
-    )
+    hits = rows.select(y, F.explode("hits").alias("keyword"))
+    medians = exact_quantiles(hits, [y], (0.5,), ["keyword"]).select("keyword", rounded(F.get("quantiles", 0)).alias("median"))
+    found = hits.groupBy("keyword").agg(F.count("*").alias("n"), F.avg(y).alias("mean")).join(medians, "keyword")  # a row for each keyword group
     joined = found.crossJoin(F.broadcast(overall))  # one row
     return joined.select(
         "keyword", "n", rounded(100 * F.col("n") / F.col("total")).alias("share"), rounded(F.col("mean")).alias("mean"), "median",
