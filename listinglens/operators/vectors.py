@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listinglens.operators.neighbours import nearest
+
 #: Least norm that a vector is divided by.
 LEAST_NORM = 1e-12
 
@@ -103,56 +105,17 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Queries that a task compares with its part of the corpus at a time, and rows of the corpus at a time.
-QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096
-
-
 def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str, vector: str, block: Sequence[str] = ()) -> DataFrame:
     """Rows (query, key, distance, rank): the k nearest corpus rows of each query, itself left out, exact.
 
     With block columns only rows that agree in them are compared, in one
-    equi-join. Without, queries and corpus are dealt into parts, and each two
-    parts meet in one task: k rows for each query and part of the corpus are
-    shuffled, nothing passes the driver, and a task holds one part of either.
+    equi-join; without, parts of the corpus are skipped where their distance
+    from a query shows that they hold none of its neighbours.
     """
+    if not block:
+        return nearest(queries, corpus, k, key, vector).drop("compared")
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"), *block).where(F.col(vector).isNotNull())
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
-    if block:
-        pairs = q.join(corpus.select(key, vector, *block), list(block)).where(F.col("query") != F.col(key))
-        scored = pairs.select("query", key, F.sqrt(squared_distance(F.col("_q"), F.col(vector))).alias("distance"))
-        return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-    n_queries, n_rows = q.count(), corpus.count()
-    of_q, of_c = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // (16 * CORPUS_BLOCK)))
-    left = q.select("query", "_q", F.pmod(F.xxhash64("query"), F.lit(of_q)).alias("qp"), F.explode(F.sequence(F.lit(0), F.lit(of_c - 1))).alias("cp"))
-    right = corpus.where(F.col(vector).isNotNull()).select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(of_q - 1))).alias("qp"), F.pmod(F.xxhash64(key), F.lit(of_c)).alias("cp"))
-    left = left.select(F.col("qp").cast("long"), F.col("cp").cast("long"), "query", "_q")
-    right = right.select(F.col("qp").cast("long"), F.col("cp").cast("long"), key, vector)
-    near = left.groupBy("qp", "cp").cogroup(right.groupBy("qp", "cp")).applyInPandas(_nearest(k, key, vector), f"query long, {key} long, distance double")
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _nearest(k: int, key: str, vector: str):
-    import numpy as np
-    import pandas as pd
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query": np.zeros(0, np.int64), key: np.zeros(0, np.int64), "distance": np.zeros(0)})
-        if not len(left) or not len(right):
-            return none
-        points, x = np.stack(left["_q"].to_numpy()).astype(float), np.stack(right[vector].to_numpy()).astype(float)
-        asked, own = left["query"].to_numpy(), right[key].to_numpy()
-        square, found = (x * x).sum(axis=1), []
-        for at in range(0, len(points), 64):
-            part = points[at : at + 64]
-            rough = square[None, :] - 2 * part @ x.T + (part * part).sum(axis=1)[:, None]  # one product, then exact distances of the nearest
-            slack = 1e-9 * (square.max() + (part * part).sum(axis=1))
-            for i, row in enumerate(rough):
-                row[own == asked[at + i]] = np.inf
-                limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-                some = np.flatnonzero((row <= limit + slack[i]) & np.isfinite(row))
-                d = np.sqrt(((x[some] - part[i]) ** 2).sum(axis=1))
-                top = np.lexsort((own[some], d))[:k]
-                found.append(pd.DataFrame({"query": asked[at + i], key: own[some][top], "distance": d[top]}))
-        return pd.concat(found, ignore_index=True) if found else none
-
-    return nearest
+    pairs = q.join(corpus.select(key, vector, *block), list(block)).where(F.col("query") != F.col(key))
+    scored = pairs.select("query", key, F.sqrt(squared_distance(F.col("_q"), F.col(vector))).alias("distance"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -1,6 +1,5 @@
 """Operators on small tables: rules, metamorphic properties, sinks and streams."""
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,20 +39,6 @@ def test_helper_names_do_not_clash(spark):
     assert [(r.place, r._n, r.g_hot) for r in hot.collect()] == [(9, 8, [1])] * 2
 
 
-def test_knn_against_all_distances(spark, monkeypatch):
-    rng = np.random.default_rng(4)
-    x = rng.integers(0, 4, (300, 3)).astype(float)  # many ties
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, v array<double>")
-    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(V, "CORPUS_BLOCK", 3)
-    found = sorted((r["query"], r["rank"], r["id"]) for r in V.knn(df.where("id % 10 = 0"), df, 4, "id", "v").collect())
-    want = []
-    for q in range(0, 300, 10):
-        d = sorted((float(np.sqrt(((x[i] - x[q]) ** 2).sum())), i) for i in range(300) if i != q)
-        want += [(q, n + 1, i) for n, (_, i) in enumerate(d[:4])]
-    assert found == sorted(want)
-
-
 def test_corrupt_payloads_are_kept(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"a": 1}\n{"a": \n')
     rows = A.read_payloads(spark, str(tmp_path), "a int", multi_line=False).cache()
