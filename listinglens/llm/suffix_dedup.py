@@ -345,9 +345,11 @@ class Repeats:
         total = every.count()
         share = min(1.0, SAMPLED / max(1, total))
         some = every.where(F.pmod(F.xxhash64("rid", "start"), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("h").agg(F.count("*").alias("n"))
-        hot = self._stage(some.where(F.col("n") > max(SURE, total * share / HOT)).select("h"), "repeat-hot")  # fewer than HOT grams
-        once_or_more = every.join(F.broadcast(hot), "h", "left_anti").withColumn("_n", F.count("*").over(Window.partitionBy("h")))
-        live = self._stage(once_or_more.where("_n > 1").drop("_n").unionByName(every.join(F.broadcast(hot), "h", "left_semi")), "repeat-live")
+        hot = self._stage(some.where(F.col("n") > max(SURE, total * share / HOT)).select("h", F.lit(True).alias("hot")), "repeat-hot")  # fewer than HOT grams
+        met = every.join(F.broadcast(hot), "h", "left")
+        salt = F.when(F.col("hot"), F.xxhash64("rid", "start")).otherwise(F.lit(0))  # hot rows are known to repeat and may go anywhere
+        met = met.withColumn("salt", salt).withColumn("_n", F.count("*").over(Window.partitionBy("h", "salt")))
+        live = self._stage(met.where("hot or _n > 1").drop("hot", "salt", "_n"), "repeat-live")
         self._drop("repeat-anchors")
         self._drop("repeat-hot")
         return live
