@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import PCA, CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler, StringIndexer, VectorAssembler
@@ -15,15 +16,13 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listinglens.functions.parse import normalize_string, room_count
 from listinglens.functions.text import ascii_fold, collapse_ws
 from listinglens.operators.quantiles import exact_quantiles
-from listinglens.session import require_columns, rounded, stage_table
+from listinglens.session import Scratch, require_columns, rounded
 
 # -- tables ----------------------------------------------------------------------------------------------------------
 
@@ -103,15 +102,31 @@ def ngrams(words: Column) -> Column:
     return F.concat(words, pairs)
 
 
+def vocabulary(docs: DataFrame, words: str, most: int, least_df: int) -> DataFrame:
+    """Rows (term, df, n): the `most` commonest terms of those in least_df documents or more.
+
+    A document tells each term's occurrences and, once, the term itself, so
+    documents and occurrences add up in one partial aggregate by term.
+    """
+    grams = ngrams(F.col(words))
+    told = F.concat(
+        F.transform(grams, lambda g: F.struct(g.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))),
+        F.transform(F.array_distinct(grams), lambda g: F.struct(g.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df"))),
+    )
+    counts = docs.select(F.explode(told).alias("t")).groupBy("t.term").agg(F.sum("t.df").alias("df"), F.sum("t.n").alias("n"))
+    return counts.where(F.col("df") >= least_df).orderBy(F.desc("n"), "term").limit(most)
+
+
 def tfidf(docs: DataFrame, key: str, words: str, most: int = 2000, least_df: int = 3) -> DataFrame:
-    """Rows (key, term, weight): smooth idf over terms in least_df documents or more, the `most` commonest of them, rows of unit length."""
-    counts = docs.select(key, F.explode(ngrams(F.col(words))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    counts = stage_table(counts, "term-counts")  # read for the vocabulary and for the weights
-    vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).where(F.col("df") >= least_df)
-    vocabulary = vocabulary.orderBy(F.desc("n"), "term").limit(most)
+    """Rows (key, term, weight): smooth idf over terms in least_df documents or more, the `most` commonest of them, rows of unit length.
+
+    The vocabulary is known before terms are counted by document; the documents
+    are dealt by key, so neither these counts nor the norms shuffle a term.
+    """
     total = docs.agg(F.count("*").alias("total"))
-    idf = vocabulary.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
-    raw = counts.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))  # `most` rows at most
+    idf = vocabulary(docs, words, most, least_df).crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+    terms = docs.select(key, words).repartition(key).select(key, F.explode(ngrams(F.col(words))).alias("term")).join(F.broadcast(idf), "term")  # `most` rows at most
+    raw = terms.groupBy(key, "term").agg((F.count("*") * F.first("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
@@ -127,33 +142,107 @@ def tfidf_vectors(train: DataFrame, df: DataFrame, words: str, most: int = 5000,
     return model.transform(df.withColumn("_terms", ngrams(F.col(words)))).drop("_terms", "_tf", "_w"), counter.vocabulary
 
 
-def truncated_svd(df: DataFrame, column: str, k: int):
-    """The right singular vectors V (terms x k) of the rows of column, without centring."""
-    rows = MLUtils.convertVectorColumnsFromML(df.select(column), column).persist()  # the solver reads them once a step
-    matrix = RowMatrix(rows)
-    v = matrix.computeSVD(max(1, min(k, matrix.numCols() - 1, matrix.numRows() - 1)), computeU=False).V
-    rows.unpersist()
-    return v
-
-
-def project(df: DataFrame, column: str, v, out: str) -> DataFrame:
-    """df with the vector column times V, which has a row for each vocabulary term."""
-    cells = v.toArray()
+def sparse_cells(column: str) -> tuple[Column, Column]:
+    """Indices and values of a vector column, as arrays."""
+    held = F.unwrap_udt(column)
+    indices = F.coalesce(held["indices"], F.sequence(F.lit(0), F.size(held["values"]) - 1))
+    return F.when(F.size(held["values"]) == 0, F.expr("cast(array() as array<int>)")).otherwise(indices), held["values"]
+
+
+def _read_sparse(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, indices and values of the sparse rows in two columns of a batch."""
+    indices, values = batch.column(at), batch.column(at + 1)
+    row = np.repeat(np.arange(len(batch)), np.diff(indices.offsets.to_numpy()))
+    return row, indices.flatten().to_numpy(), values.flatten().to_numpy()
+
+
+def _times(row: np.ndarray, column: np.ndarray, value: np.ndarray, dense: np.ndarray, rows: int) -> np.ndarray:
+    """The sparse matrix of these cells, with so many rows, times a dense one."""
+    return np.stack([np.bincount(row, weights=value * dense[column, c], minlength=rows) for c in range(dense.shape[1])], axis=1)
+
+
+def _gram_times(dense, terms: int):
+    """mapInArrow's function: a task's part of A'A times a dense matrix, a row for each term that it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = dense.value
+        total = np.zeros((terms, q.shape[1]))
+        for batch in batches:
+            row, column, value = _read_sparse(batch, 0)
+            total += _times(column, row, value, _times(row, column, value, q, len(batch)), terms)
+        there = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(there), *map(pa.array, total[there].T)], ["j", *[f"c{c}" for c in range(q.shape[1])]])
+
+    return run
+
+
+def truncated_svd(df: DataFrame, column: str, k: int, spare: int = 10, tolerance: float = 1e-11, most_rounds: int = 40, seed: int = 42) -> np.ndarray:
+    """The right singular vectors (terms x k) of the rows of a vector column, without centring, by a randomised block Krylov space.
+
+    Each round reads the rows once and multiplies A'A with a block of k + spare
+    vectors; tasks add up their parts, and the driver keeps the space, which has
+    a row for each vocabulary term. It ends when the residual of each wanted
+    vector is under the tolerance, by the largest eigenvalue. The largest
+    loading of a vector is positive.
+    """
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession)
+    rows = scratch.stage(df.where(F.col(column).isNotNull()).select(*[c.alias(n) for c, n in zip(sparse_cells(column), ("indices", "values"), strict=True)], F.unwrap_udt(column)["size"].alias("size")), "svd-rows")
+    terms = rows.agg(F.coalesce(F.max("size"), F.max(F.size("values")), F.lit(0))).first()[0]
+    k = min(k, terms)
+    width = min(terms, k + spare)
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(terms, width)))[0]
+    basis, image = np.zeros((terms, 0)), np.zeros((terms, 0))
+    vectors = np.zeros((terms, k))
+    for _ in range(most_rounds):
+        dense = spark.sparkContext.broadcast(block)
+        names = [f"c{c}" for c in range(block.shape[1])]
+        parts = rows.select("indices", "values").mapInArrow(_gram_times(dense, terms), "j long, " + ", ".join(f"{n} double" for n in names))
+        summed = parts.groupBy("j").agg(*[F.sum(n).alias(n) for n in names]).toPandas()  # a row for each term
+        product = np.zeros(block.shape)
+        product[summed["j"].to_numpy(np.int64)] = summed[names].to_numpy()
+        dense.unpersist()
+        basis, image = np.hstack([basis, block]), np.hstack([image, product])
+        values, turn = np.linalg.eigh(basis.T @ image)
+        values, turn = values[::-1][:k], turn[:, ::-1][:, :k]
+        vectors = basis @ turn
+        off = np.linalg.norm(image @ turn - vectors * values, axis=0)
+        if not len(values) or off.max() <= tolerance * max(values[0], np.finfo(float).tiny) or basis.shape[1] >= terms:
+            break
+        fresh = product
+        for _ in range(2):  # once more for what rounding left
+            fresh = fresh - basis @ (basis.T @ fresh)
+        block, size, _ = np.linalg.svd(fresh, full_matrices=False)
+        block = block[:, size > 1e-13 * max(values[0], np.finfo(float).tiny)][:, : terms - basis.shape[1]]
+        if not block.shape[1]:
+            break
+    scratch.clear()
+    top = vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])] if vectors.size else np.ones(vectors.shape[1])
+    return vectors * np.where(top < 0, -1.0, 1.0)
+
+
+def project(df: DataFrame, column: str, v: np.ndarray, out: str) -> DataFrame:
+    """df with the vector column times v, which has a row for each vocabulary term; only the cells that a row has are multiplied."""
+    loadings = df.sparkSession.sparkContext.broadcast(np.asarray(v, float))
 
     @F.pandas_udf("array<double>")
-    def multiply(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(x.to_numpy()) @ cells) if len(x) else [], dtype=object)
-
-    return df.withColumn(out, array_to_vector(multiply(vector_to_array(column))))
-
-
-def component_tokens(spark, v, vocabulary: Sequence[str], n: int = 8) -> DataFrame:
-    """The n terms of greatest loading of each component; the matrix has a row for each vocabulary term."""
-    cells = v.toArray()
-    rows = [(j, term, float(cells[i, j])) for i, term in enumerate(vocabulary) for j in range(cells.shape[1])]
-    table = spark.createDataFrame(rows, "component int, term string, loading double")
-    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc(F.abs("loading")), "term"))
-    return table.withColumn("rank", rank).where(F.col("rank") <= n)
+    def multiply(indices: pd.Series, values: pd.Series) -> pd.Series:
+        sizes = [0 if x is None else len(x) for x in indices]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        cells = [np.concatenate([np.zeros(0, t), *[x for x in s if x is not None]]).astype(t) for s, t in ((indices, np.int64), (values, float))]
+        done = _times(row, *cells, loadings.value, len(sizes))
+        return pd.Series([None if x is None else d for x, d in zip(indices, done, strict=True)], dtype=object)
+
+    return df.withColumn(out, multiply(*sparse_cells(column))).withColumn(out, F.when(F.col(out).isNotNull(), array_to_vector(out)))
+
+
+def component_tokens(spark, v: np.ndarray, vocabulary: Sequence[str], n: int = 8) -> DataFrame:
+    """Rows (component, term, loading, rank): the n terms of greatest loading of each component."""
+    rows = []
+    for c in range(v.shape[1]):
+        size = np.round(np.abs(v[:, c]), 12)
+        top = sorted(range(len(vocabulary)), key=lambda i: (-size[i], vocabulary[i]))[:n]
+        rows += [(c, vocabulary[i], float(v[i, c]), r + 1) for r, i in enumerate(top)]
+    return spark.createDataFrame(rows, "component int, term string, loading double, rank int")
 
 
 def token_display(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -114,6 +114,10 @@ GRAMS = f"""w AS ({WORDS_SQL}), g AS (SELECT doc_id, unnest(list_concat(t, list_
  ti AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM r)"""
 
 
+#: Terms of a text block.
+TERMS = 5000
+
+
 def words(t):
     return t("documents").select("doc_id", X.tokens(F.col("text")).alias("words"))
 
@@ -126,7 +130,7 @@ def _(t, spark):
 @query("f11_truncated_svd")
 def _(t, spark):
     w = words(t)
-    vectors, vocabulary = E.tfidf_vectors(w, w, "words", 500)
+    vectors, vocabulary = E.tfidf_vectors(w, w, "words", TERMS)
     v = E.truncated_svd(vectors, "text_vector", 16)
     return E.project(vectors, "text_vector", v, "svd").select("doc_id", vector_to_array("svd").alias("svd"))
 
@@ -134,7 +138,7 @@ def _(t, spark):
 @query("f12_component_tokens")
 def _(t, spark):
     w = words(t)
-    vectors, vocabulary = E.tfidf_vectors(w, w, "words", 500)
+    vectors, vocabulary = E.tfidf_vectors(w, w, "words", TERMS)
     return E.component_tokens(spark, E.truncated_svd(vectors, "text_vector", 8), vocabulary)
 
 

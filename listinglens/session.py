@@ -79,8 +79,11 @@ class Scratch:
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """df staged for good; the tables it came from are removed."""
         done = stage_table(df, name)
+        self.clear()
+        return done
+
+    def clear(self) -> None:
         for path in self.paths:
             target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         self.paths = []
-        return done
