@@ -176,7 +176,7 @@ def _gram_times(dense, terms: int):
     return run
 
 
-def truncated_svd(df: DataFrame, column: str, k: int, spare: int = 10, tolerance: float = 1e-11, most_rounds: int = 40, seed: int = 42) -> np.ndarray:
+def truncated_svd(df: DataFrame, column: str, k: int, spare: int = 16, tolerance: float = 1e-9, most_rounds: int = 40, seed: int = 42) -> np.ndarray:
     """The right singular vectors (terms x k) of the rows of a vector column, without centring, by a randomised block Krylov space.
 
     Each round reads the rows once and multiplies A'A with a block of k + spare

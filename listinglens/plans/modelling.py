@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from listinglens.functions import parse as P
@@ -18,6 +18,7 @@ from listinglens.operators import models as M
 from listinglens.operators import profile as O
 from listinglens.operators import relate as R
 from listinglens.operators import report as T
+from listinglens.operators import search as H
 from listinglens.operators import stats as S
 from listinglens.operators import vectors as V
 from listinglens.plans.relational import WORDS_SQL
@@ -248,17 +249,49 @@ def _(t, spark):
     return E.vector_reducer("v", 16, "reduced").fit(e).transform(e).select("vec_id", vector_to_array("reduced").alias("reduced"))
 
 
+def listed(t):
+    """Parts as listings (id, y, part, table, words) and their images (id, vec_id, embedding): a description from documents, four vectors each."""
+    p = t("part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("y"), F.array(F.col("p_size").cast("double"), F.length("p_name").cast("double")).alias("table"))
+    d = t("documents").select(F.col("doc_id").alias("id"), X.tokens(F.col("text")).alias("words"))
+    images = t("embeddings").select(F.expr("vec_id div 4").alias("id"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = p.join(d, "id").join(images.select("id").distinct(), "id", "left_semi").withColumn("part", R.split_label(F.col("id")))
+    return stage_table(rows, "listed"), images
+
+
+TEXT_SIZES, IMAGE_SIZES, CAPS = (8, 32), (4, 16), (1, 4)
+
+
+def blocks(t, caps=CAPS):
+    """The cache, and for each cap the listings with the text and image blocks at their greatest sizes."""
+    rows, images = listed(t)
+    cache, train = H.RepresentationCache(), "part = 'train'"
+    text = H.text_block(cache, rows, "id", "words", train, max(TEXT_SIZES), TERMS)
+    wide = {}
+    for cap in caps:
+        image = H.image_block(cache, rows, images, "id", "vec_id", "embedding", train, cap, max(IMAGE_SIZES))
+        wide[cap] = H.fused(cache, rows.drop("words"), "id", text, image, cap)
+    return cache, wide
+
+
+def largest(t):
+    """The listings with all cells of all blocks as features."""
+    wide = blocks(t, [4])[1][4]
+    return stage_table(H.trial_features(wide, H.Trial(max(TEXT_SIZES), max(IMAGE_SIZES), 4, "")).select("id", "y", "part", "features"), "largest")
+
+
 @query("m07_fuse_blocks")
 def _(t, spark):
-    d = t("documents").select("doc_id", F.col("n_chars").cast("double").alias("size"))
-    e = t("embeddings").select(F.col("vec_id").alias("doc_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    return E.fuse(d.join(e, "doc_id"), ["size", "v"]).select("doc_id", vector_to_array("features").alias("features"))
+    """Table, text and image cells of each listing as one vector."""
+    return largest(t).select("id", "part", vector_to_array("features").alias("features"))
 
 
 @query("m08_candidates")
 def _(t, spark):
-    train, validation, _ = parts(t)
-    trials, _ = M.grid_search(spark, train, validation, "y", M.candidates("y"))
+    """The candidates on the fused blocks, each for the price and for its logarithm; errors are of the price."""
+    rows = largest(t)
+    models = M.candidates("y")
+    models |= {f"{n}_log": H.LogTarget(m, "y") for n, m in M.candidates("y").items()}
+    trials, _ = M.grid_search(spark, rows.where("part = 'train'"), rows.where("part = 'validation'"), "y", models)
     return M.leaderboard(trials)
 
 
@@ -272,30 +305,24 @@ def _(t, spark):
 
 @query("m11_multimodal_search")
 def _(t, spark):
-    """Text, vectors and a table fused for documents: each block is fitted once and staged, then every trial of the grid reads it."""
-    d = t("documents").select("doc_id", F.col("n_chars").cast("double").alias("y"), F.length("source").cast("double").alias("s"), X.tokens(F.col("text")).alias("words"))
-    e = t("embeddings").select(F.col("vec_id").alias("doc_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    rows = stage_table(d.where("y is not null").join(e, "doc_id").withColumn("part", R.split_label(F.col("doc_id"))), "multimodal")
-    train = rows.where("part = 'train'")
-    text, _ = E.tfidf_vectors(train, rows, "words", 500)
-    text = stage_table(text.drop("words"), "text-block")
-    text = E.project(text, "text_vector", E.truncated_svd(text.where("part = 'train'"), "text_vector", 32), "text_svd")
-    whole = E.vector_reducer("v", 16, "v_reduced").fit(train).transform(text)
-    cells = stage_table(E.fuse(whole, ["s", "text_svd", "v_reduced"]).select("doc_id", "y", "part", "features"), "fused")
-    train, validation, test = (cells.where(F.col("part") == p) for p in ("train", "validation", "test"))
-    grid = {f"ridge_{r}": LinearRegression(labelCol="y", regParam=r) for r in (0.1, 1.0, 10.0)}
-    trials, _ = M.grid_search(spark, train, validation, "y", grid)
-    trials = stage_table(trials, "trials")
-    best = M.best_trial(trials)
-    tested = M.refit_and_test(grid[best], train, validation, test, "y")[1].withColumns({"model": F.lit(best), "stage": F.lit("test")})
-    return trials.drop("error").withColumn("stage", F.lit("validation")).unionByName(tested)
+    """Text sizes x image sizes x caps x models: one text and one image fit for each cap serve all trials; the best is fitted again and tested."""
+    _, wide = blocks(t)
+    models = {f"ridge_{r}": LinearRegression(labelCol="y", regParam=r) for r in (1.0, 100.0)}
+    trials = stage_table(H.search(spark, wide, [H.Trial(a, b, c, m) for a in TEXT_SIZES for b in IMAGE_SIZES for c in CAPS for m in models], models, "y"), "trials")
+    best = H.best_of(trials)
+    rows = H.trial_features(wide[best.cap], best)
+    _, tested = M.refit_and_test(models[best.model], *[rows.where(F.col("part") == p) for p in ("train", "validation", "test")], "y")
+    told = {"model": F.lit(best.model), "text": F.lit(best.text), "image": F.lit(best.image), "cap": F.lit(best.cap), "stage": F.lit("test")}
+    return trials.drop("error").withColumn("stage", F.lit("validation")).unionByName(tested.withColumns(told))
 
 
 @query("m12_refit_and_test")
 def _(t, spark):
-    train, validation, test = parts(t)
-    trials, _ = M.grid_search(spark, train, validation, "y", {k: v for k, v in M.candidates("y").items() if k in ("ridge", "elastic_net")})
-    return M.refit_and_test(M.candidates("y")[M.best_trial(trials)], train, validation, test, "y")[1]
+    rows = largest(t)
+    train, validation, test = (rows.where(F.col("part") == p) for p in ("train", "validation", "test"))
+    grid = {k: v for k, v in M.candidates("y").items() if k in ("ridge", "elastic_net")}
+    trials, _ = M.grid_search(spark, train, validation, "y", grid)
+    return M.refit_and_test(grid[M.best_trial(trials)], train, validation, test, "y")[1]
 
 
 @query("m13_matched_baseline")
@@ -356,10 +383,10 @@ def _(t, spark):
 
 @query("m21_early_stopping")
 def _(t, spark):
+    """Boosted trees for the logarithm of the price, as many as bring a gain on the validation rows."""
     train, validation, test = parts(t)
-    rows = train.withColumn("held", F.lit(False)).unionByName(validation.withColumn("held", F.lit(True)))
-    model = M.candidates("y", stop="held")["boosted"].fit(rows)
-    return S.metrics(model.transform(test), "y", "prediction").withColumn("trees", F.lit(len(model.trees)))
+    model, rounds = H.boosted_with_patience(GBTRegressor(featuresCol="features", maxDepth=3, stepSize=0.3, seed=42), train, validation, "y", patience=5, most=40, log=True)
+    return S.metrics(model.transform(test), "y", "prediction").withColumn("trees", F.lit(rounds))
 
 
 @query("m23_bundle")
