@@ -10,6 +10,8 @@ from listinglens.session import fresh_path, rounded
 from listinglens.sources import snapshots as N
 from listinglens.sources import tables as A
 from listinglens.streaming import ingest as I
+from listinglens.streaming import retry as Y
+from listinglens.streaming import seen as W
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -139,10 +141,12 @@ def _(spark, d):
 
 @query("i03_drop_seen", "SELECT DISTINCT user_id FROM events")
 def _(spark, d):
+    """Two runs over one checkpoint, the second with a further copy of all events: each key is taken up once."""
     path, schema = event_files(spark, d)
-    out = fresh_path(spark, "out")
-    I.append_stream(I.drop_seen(I.file_stream(spark, path, schema, 2), "user_id").select("user_id"), out, fresh_path(spark, "cp"))
-    return spark.read.schema("user_id long").parquet(out)
+    out, checkpoint = fresh_path(spark, "seen"), fresh_path(spark, "cp")
+    W.take_unseen(I.file_stream(spark, path, schema, 2), out, "user_id", checkpoint)
+    spark.read.parquet(f"{d}/events.parquet").repartition(2).write.mode("append").parquet(path)
+    return W.take_unseen(I.file_stream(spark, path, schema, 2), out, "user_id", checkpoint).rows().select("user_id")
 
 
 @query("i04_retry_queue", "SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 500) AND o_orderstatus = 'F' THEN 'visited' ELSE 'queued' END AS state FROM orders")
@@ -152,6 +156,20 @@ def _(spark, d):
     return queue.withColumn("state", F.lit("queued")).unionByName(done.withColumn("state", F.lit("visited")))
 
 
+RETRIED = """f AS (SELECT user_id, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_type = 'purchase') AS r FROM events),
+ g AS (SELECT user_id, min(r) FILTER (ok) AS first_ok, count(*) AS n FROM f GROUP BY 1)"""
+
+
+@query("i04_retry_stream", f"WITH {RETRIED} SELECT user_id, least(coalesce(first_ok - 1, n), 5)::INTEGER AS attempts, CASE WHEN first_ok <= 5 THEN 'done' WHEN coalesce(first_ok - 1, n) >= 5 THEN 'gave_up' ELSE 'waiting' END AS state FROM g")
+def _(spark, d):
+    """Events as attempts for their user; a purchase is a success. The state of each user after all events."""
+    path, schema = event_files(spark, d, 1)
+    out = fresh_path(spark, "out")
+    attempts = I.file_stream(spark, path, schema, 1, "ts").select("user_id", (F.col("event_type") == "purchase").alias("ok"), "ts")
+    I.append_stream(Y.retry_queue(attempts, "user_id", "ok", "ts", late="400 days"), out, fresh_path(spark, "cp"))
+    return spark.read.schema("user_id long, attempts int, state string").parquet(out).where("state <> 'retry'")
+
+
 @query("i05_streaming_validation", "SELECT event_id, value < 0 OR value > 100 AS is_outlier FROM events")
 def _(spark, d):
     path, schema = event_files(spark, d)
