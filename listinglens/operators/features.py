@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.feature import PCA, CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizer, ElementwiseProduct, Normalizer, OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from listinglens.functions.parse import normalize_string, room_count
 from listinglens.functions.text import ascii_fold, collapse_ws
 from listinglens.operators.quantiles import exact_quantiles
+from listinglens.operators.ranks import global_rank
 from listinglens.session import Scratch, require_columns, rounded
 
+#: Levels of a column that are broadcast.
+LEVELS = 100_000
+
 # -- tables ----------------------------------------------------------------------------------------------------------
 
 
@@ -75,11 +79,27 @@ def mode_fill(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFr
     return df.fillna({c: v for c, v in modes.items() if v is not None})
 
 
+def level_dictionary(train: DataFrame, column: str, scratch: Scratch) -> DataFrame:
+    """Rows (level, at): the levels of a column and their places in order."""
+    return global_rank(train.where(F.col(column).isNotNull()).select(F.col(column).alias("level")).distinct(), ["level"], "at", scratch)
+
+
 def one_hot(train: DataFrame, df: DataFrame, column: str) -> DataFrame:
-    """df with `<column>_hot`: one cell for each training level in order, all zero for unseen ones and nulls."""
-    found = StringIndexer(inputCol=column, outputCol="place", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train.select(column).where(F.col(column).isNotNull()))
-    labels = F.array(*[F.lit(x) for x in found.labels]) if found.labels else F.expr("cast(array() as array<string>)")
-    return df.withColumn(f"{column}_hot", F.transform(labels, lambda x: F.coalesce((x == F.col(column)).cast("int"), F.lit(0))))
+    """df with `<column>_hot`: a sparse vector with a cell for each training level in order, all zero for unseen ones and nulls.
+
+    Levels are a table, so there may be millions; one of up to LEVELS rows is broadcast.
+    """
+    scratch = Scratch(df.sparkSession)
+    levels = level_dictionary(train, column, scratch)
+    n = levels.count()
+    if not n:
+        scratch.clear()
+        return df.withColumn(f"{column}_hot", array_to_vector(F.expr("cast(array() as array<double>)")))
+    encoder = OneHotEncoder(inputCol="_at", outputCol=f"{column}_hot", dropLast=True, handleInvalid="keep")  # the place after the last is dropped: all zero
+    encoder = encoder.fit(levels.agg(F.max("at").cast("double").alias("_at")))
+    known = levels.select(F.col("level").alias("_level"), F.col("at").cast("double").alias("_at"))
+    met = df.join(F.broadcast(known) if n <= LEVELS else known, F.col(column) == F.col("_level"), "left")
+    return encoder.transform(met.fillna(float(n), ["_at"])).drop("_level", "_at")
 
 
 def standard_scale(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator, Model
@@ -13,12 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listinglens.operators import stats as S
-from listinglens.session import require_columns, rounded
+from listinglens.operators.ranks import global_rank, permuted
+from listinglens.session import Scratch, require_columns, rounded
 
 #: Contributions smaller than this are not told.
 LEAST_SCORE = 1e-6
-#: Rows of a group inside which a feature's values are dealt anew, about.
-GROUP_ROWS = 10_000
 
 
 def candidates(y: str, features: str = "features", seed: int = 42, stop: str | None = None) -> dict[str, Estimator]:
@@ -104,26 +105,38 @@ def native_importance(spark: SparkSession, model: Model, names: Sequence[str]) -
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def permutation_importance(model: Model, df: DataFrame, y: str, key: str, names: Sequence[str], seed: int = 42) -> DataFrame:
-    """Rise of MAE when one feature's values are dealt anew: each row takes the value of the row next in hash order of its block."""
-    base = S.metrics(model.transform(df), y, "prediction").select(F.col("n"), F.col("mae").alias("base"))
-    n_groups = max(1, base.first()["n"] // GROUP_ROWS)
-    base = base.select("base")
-    rows = None
-    cells = df.select(key, y, vector_to_array("features").alias("x"))
-    for i, name in enumerate(names):
-        other = Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n_groups))).orderBy(F.xxhash64(F.lit(seed + i + 1), key))
-        dealt = cells.withColumn("o", F.coalesce(F.lag("x").over(other), F.col("x")))
-        pairs = F.zip_with("x", "o", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        vector = F.transform(pairs, _chooser(i))
-        part = dealt.select(key, y, array_to_vector(vector).alias("features")).withColumn("feature", F.lit(name))
-        rows = part if rows is None else rows.unionByName(part)
-    scored = S.metrics(model.transform(rows), y, "prediction", ["feature"])
-    return scored.crossJoin(F.broadcast(base)).select("feature", rounded(F.col("mae") - F.col("base")).alias("importance"))  # one row
-
-
-def _chooser(i: int):
-    return lambda pair, j: F.when(j == i, pair["b"]).otherwise(pair["a"])
+def permutation_importance(model: Model, df: DataFrame, y: str, key: str, names: Sequence[str], seed: int = 42, repeats: int = 5, sample: int | None = None) -> DataFrame:
+    """Rows (feature, importance, deviation): the rise of MAE when one feature's values are dealt anew, mean and deviation over the repeats.
+
+    With `sample` only so many rows take part, those of least hash of the key.
+    Rows are numbered in hash order, and a keyed bijection of the numbers deals
+    the values: each row sends each value of its own to the row that it goes to,
+    so one join serves all features and repeats.
+    """
+    scratch = Scratch(df.sparkSession)
+    cells = df.select(F.col(key).alias("_key"), F.col(y).cast("double").alias("y"), vector_to_array("features").alias("x"), F.xxhash64(F.lit(seed), key).alias("_hash"))
+    rows = global_rank(cells, ["_hash", "_key"], "i", scratch).drop("_key", "_hash")
+    n = rows.count()
+    if sample is not None and sample < n:
+        rows, n = rows.where(F.col("i") < sample), sample
+    if not n:
+        scratch.clear()
+        return df.sparkSession.createDataFrame([], "feature string, importance double, deviation double")
+    keys = [seed + 1 + k for k in range(len(names) * repeats)]
+
+    @F.pandas_udf("array<long>")
+    def targets(places: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack([permuted(places.to_numpy(), n, k) for k in keys], axis=1)) if len(places) else [], dtype=object)
+
+    sent = rows.select("x", F.posexplode(targets("i")).alias("k", "i")).withColumn("f", F.expr(f"k div {repeats}").cast("int"))
+    sent = sent.select("i", "k", "f", F.get("x", F.col("f")).alias("v"))
+    met = sent.join(rows, "i").select("k", "f", "y", array_to_vector(F.transform("x", lambda v, j: F.when(j == F.col("f"), F.col("v")).otherwise(v))).alias("features"))
+    base = model.transform(rows.select("y", array_to_vector("x").alias("features"))).agg(F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("base"))
+    errors = model.transform(met).groupBy("f", "k").agg(F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("mae"))
+    rises = errors.crossJoin(F.broadcast(base)).withColumn("rise", F.col("mae") - F.col("base"))  # one row
+    told = F.get(F.array(*map(F.lit, names)), F.col("f")).alias("feature")
+    out = rises.groupBy("f").agg(F.avg("rise").alias("m"), F.stddev_pop("rise").alias("d")).select(told, rounded(F.col("m")).alias("importance"), rounded(F.col("d")).alias("deviation"))
+    return scratch.result(out, "importance")
 
 
 def top_features(importance: DataFrame, n: int = 20, prefix: str = "") -> DataFrame:

@@ -81,7 +81,7 @@ def _(t, spark):
 @query("m03_one_hot", f"WITH {HOLES}, l AS (SELECT DISTINCT brand AS b FROM h WHERE brand <> 'Brand#7') SELECT p_partkey, coalesce((SELECT string_agg((b = h.brand)::INT::VARCHAR, '' ORDER BY b) FROM l WHERE h.brand IS NOT NULL), (SELECT repeat('0', count(*)::INT) FROM l)) AS hot FROM h")
 def _(t, spark):
     hot = E.one_hot(holes(t).where("brand <> 'Brand#7'"), holes(t), "brand")
-    return hot.select("p_partkey", F.array_join(F.transform("brand_hot", lambda x: x.cast("string")), "").alias("hot"))
+    return hot.select("p_partkey", F.array_join(F.transform(vector_to_array("brand_hot"), lambda x: x.cast("int").cast("string")), "").alias("hot"))
 
 
 @query("m04_standard_scale", "SELECT p_partkey, round((p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part), 6) AS price FROM part")
@@ -97,8 +97,8 @@ def _(t, spark):
     h = holes(t)
     filled = E.mode_fill(h, E.median_fill(h, h, ["size"]), ["brand"])
     ready = E.one_hot(filled, E.standard_scale(filled, filled, ["size"]), "brand")
-    cells = F.concat(F.array(rounded(F.col("size"), 6)), F.transform("brand_hot", lambda x: x.cast("double")))
-    return ready.select("p_partkey", F.posexplode(cells).alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
+    cells = E.fuse(ready.withColumn("size", rounded(F.col("size"), 6)), ["size", "brand_hot"]).select("p_partkey", vector_to_array("features").alias("cells"))
+    return cells.select("p_partkey", F.posexplode("cells").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("r01_weight_features", "SELECT p_partkey, round(p_size * 2.6::DOUBLE, 6) AS a, round(p_retailprice * 2.8::DOUBLE, 6) AS b FROM part")
@@ -351,7 +351,7 @@ def _(t, spark):
 def _(t, spark):
     split = parts(t)
     model = ridge(split)
-    native = M.native_importance(spark, model, NAMES).withColumn("kind", F.lit("native"))
+    native = M.native_importance(spark, model, NAMES).withColumns({"kind": F.lit("native"), "deviation": F.lit(None).cast("double")})
     return native.unionByName(M.permutation_importance(model, split[2], "y", "id", NAMES).withColumn("kind", F.lit("permutation")))
 
 

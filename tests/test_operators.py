@@ -36,7 +36,7 @@ def test_helper_names_do_not_clash(spark):
     assert [tuple(r) for r in R.dedup_last(df, "g", ["v"]).collect()] == [("a", 2, 5, 6, 7)]
     assert sorted(tuple(r) for r in V.rank_for_caps(df, "g", "v", [1, 2]).collect()) == [("a", 1, 5, 6, 7, 1), ("a", 1, 5, 6, 7, 2), ("a", 2, 5, 6, 7, 2)]
     hot = E.one_hot(df, df.withColumn("place", F.lit(9)).withColumn("_n", F.lit(8)), "g")
-    assert [(r.place, r._n, r.g_hot) for r in hot.collect()] == [(9, 8, [1])] * 2
+    assert [(r.place, r._n, list(r.g_hot)) for r in hot.collect()] == [(9, 8, [1.0])] * 2
 
 
 def test_corrupt_payloads_are_kept(spark, tmp_path):
