@@ -20,6 +20,10 @@ Q, EDIT_RATE = 8, 0.1
 BLOCK_CHARS = 2_000_000
 #: Bits of the table that rules out most q-grams of a text with one look-up.
 FILTER_BITS = 22
+#: Places of a q-gram in the benchmark from which it is common: passages that can spare theirs are not looked up by them.
+COMMON = 32
+#: Hits that are sorted at a time, and cells of a row of alignments.
+HITS, CELLS = 2_000_000, 1 << 18
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,6 +88,16 @@ class Passages:
         item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else item
         every = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
+        _, kind, times = np.unique(every, return_inverse=True, return_counts=True)
+        common = times[kind] > COMMON if len(every) else np.zeros(0, bool)
+        lost = np.bincount(item[common], minlength=len(self.items))
+        spared = lost < self.needs  # of so many shared q-grams some are not among the common ones
+        self.needs = self.needs - np.where(spared, lost, 0)
+        keep = ~(common & spared[item]) if len(every) else common
+        every, item, place = every[keep], item[keep], place[keep]
+        self.flat = np.concatenate([np.zeros(0, np.uint32), *[c for _, c in self.items]])
+        self.sizes = np.array([len(c) for _, c in self.items], np.int64)
+        self.heads = np.cumsum(self.sizes) - self.sizes
         order = np.argsort(every, kind="stable")
         self.item, self.place = item[order], place[order]
         self.codes, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
@@ -95,38 +109,53 @@ class Passages:
         with np.errstate(over="ignore"):
             return ((codes ^ (codes >> np.uint64(29))) * MULTIPLIER) >> np.uint64(64 - FILTER_BITS)
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Every (position, passage, position in it) that share a q-gram."""
+    def known(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions whose q-gram a passage has, and the q-gram's number."""
         at = np.flatnonzero(self.filter[self._slot(codes)])
         where = np.searchsorted(self.codes, codes[at])
         same = self.codes[np.minimum(where, len(self.codes) - 1)] == codes[at] if len(self.codes) else np.zeros(len(at), bool)
-        at, where = at[same], where[same]
+        return at[same], where[same]
+
+    def hits(self, at: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every (position, passage, position in it) of known q-grams."""
         many = self.count[where]
         pick = np.repeat(self.first[where] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if len(at) else at
         return np.repeat(at, many), self.item[pick], self.place[pick]
 
 
-def banded_distance(item: np.ndarray, region: np.ndarray, low: int, high: int, most: int) -> tuple[int, int]:
-    """(edits, end): the best alignment of the whole item inside the region, on diagonals low to high; (most + 1, -1) if none.
+def banded_distances(chars: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarray, width: int, items: np.ndarray, heads: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) of each candidate: the best alignment of a whole passage inside chars[low:high]; (most + 1, -1) if none.
 
-    A diagonal is a position in the region less one in the item. The region's ends are free.
+    A candidate's passage is items[head : head + size]. A diagonal is a
+    position in chars less one in the passage; `width` of them are tried, from
+    the given one on. What passes `most` edits is left out of further rows.
     """
-    diagonals = np.arange(low, high + 1)
-    big = most + 1
-    row = np.where((diagonals >= 0) & (diagonals <= len(region)), 0, big)
-    ramp = np.arange(len(diagonals))
-    for i in range(len(item)):
-        at = diagonals + i
-        inside = (at >= 0) & (at < len(region))
-        same = inside & (region[np.clip(at, 0, len(region) - 1)] == item[i])
-        step = np.where(inside, row + ~same, big)
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-        step = np.where((at + 1 >= 0) & (at + 1 <= len(region)), step, big)
-        row = np.minimum(np.minimum.accumulate(step - ramp) + ramp, big)
-        if row.min() > most:
-            return big, -1
-    best = int(row.argmin())
-    return int(row[best]), int(diagonals[best] + len(item))
+    n, big = len(diagonal), most + 1
+    cost, end = np.full(n, big), np.full(n, -1)
+    ramp = np.arange(width, dtype=np.int64)
+    who = np.arange(n)
+    at = diagonal[:, None] + ramp
+    row = np.where((at >= low[:, None]) & (at <= high[:, None]), 0, big)
+    for i in range(int(sizes.max(initial=0))):
+        inside = (at >= low[who, None]) & (at < high[who, None])
+        letter = items[heads[who] + i]
+        step = np.where(inside, row + (chars[np.clip(at, 0, len(chars) - 1)] != letter[:, None]), big)
+        step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)
+        at += 1
+        step[(at < low[who, None]) | (at > high[who, None])] = big
+        row = np.minimum(np.minimum.accumulate(step - ramp, axis=1) + ramp, big)
+        least = row.min(axis=1)
+        over = sizes[who] == i + 1
+        if over.any():
+            fit = np.flatnonzero(over & (least <= most))
+            cost[who[fit]] = least[fit]
+            end[who[fit]] = at[fit, row[fit].argmin(axis=1)]
+        stay = ~over & (least <= most)
+        if not stay.all():
+            who, row, at = who[stay], row[stay], at[stay]
+            if not len(who):
+                break
+    return cost, end
 
 
 def search(passages: Passages, texts: list[str], at_once: int = 1_000_000) -> Iterator[tuple[int, int, int, int, int]]:
@@ -142,47 +171,80 @@ def search(passages: Passages, texts: list[str], at_once: int = 1_000_000) -> It
             first, size = last, 0
 
 
+def _windows(at: np.ndarray, many: np.ndarray, reach: int) -> Iterator[slice]:
+    """Slices of positions that together have about HITS hits, each going on for `reach` characters into the next."""
+    before, first = np.cumsum(many) - many, 0
+    while first < len(at):
+        last = max(int(np.searchsorted(before, before[first] + HITS)), int(np.searchsorted(at, at[first] + reach)))
+        yield slice(first, int(np.searchsorted(at, at[min(last, len(at)) - 1] + reach, "right")))
+        first = last
+
+
+def _candidates(passages: Passages, starts: np.ndarray, position: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, passage, band) where a band of diagonals and its upper neighbour share enough q-grams of the passage, each counted once."""
+    text = np.searchsorted(starts, position, "right") - 1
+    band = (position - place) // (passages.edits[item] + 1)
+    low = int(band.min(initial=0))
+    tall = int(band.max(initial=0)) - low + 1
+    key = (text * len(passages.items) + item) * tall + (band - low)
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
+    key, head = np.unique(key[fresh], return_index=True)
+    both = np.diff(np.concatenate((head, [int(fresh.sum())])))
+    t, k, b = key // tall // len(passages.items), key // tall % len(passages.items), key % tall + low
+    next_to = (t[1:] == t[:-1]) & (k[1:] == k[:-1]) & (b[1:] == b[:-1] + 1)
+    alone = both.copy()
+    both[:-1] += np.where(next_to, alone[1:], 0)  # every span of edits + 1 diagonals lies in one such pair
+    enough = both >= passages.needs[k]
+    return t[enough], k[enough], b[enough]
+
+
+def _marks(chars: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A hash of each chars[low:high], equal for equal strings wherever they stand."""
+    with np.errstate(over="ignore"):
+        mixed = (chars.astype(np.uint64) + np.uint64(1)) * MULTIPLIER
+        mixed ^= mixed >> np.uint64(32)
+        powers = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(len(chars), MULTIPLIER))))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * powers[:-1])))
+        return (sums[high] - sums[low]) * powers[len(chars) - low]
+
+
+def _aligned(passages: Passages, chars: np.ndarray, starts: np.ndarray, stops: np.ndarray, t: np.ndarray, k: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, passage, start, end, edits) of the candidates within their budget; equal regions meet a passage once."""
+    edits, size = passages.edits[k], passages.sizes[k]
+    diagonal = b * (edits + 1) - edits
+    low, high = np.maximum(starts[t], diagonal), np.minimum(stops[t], diagonal + 4 * edits + 1 + size)
+    low = np.minimum(low, high)
+    same = np.stack((_marks(chars, low, high), high - low, low - diagonal, k), axis=1).astype(np.uint64)
+    _, one, group = np.unique(same, axis=0, return_index=True, return_inverse=True)
+    cost, end = np.full(len(one), -1), np.full(len(one), -1)
+    for e in np.unique(edits[one]).tolist():
+        some, width = np.flatnonzero(edits[one] == e), 3 * e + 2
+        for at in range(0, len(some), max(1, CELLS // width)):
+            part = some[at : at + max(1, CELLS // width)]
+            g = one[part]
+            found = banded_distances(chars, low[g], high[g], diagonal[g], width, passages.flat, passages.heads[k[g]], size[g], e)
+            cost[part], end[part] = found[0], np.where(found[1] < 0, -1, found[1] - low[g])
+    cost, end = cost[group.ravel()], end[group.ravel()]
+    for g in np.flatnonzero(end >= 0).tolist():
+        stop = int(low[g] + end[g] - starts[t[g]])
+        yield int(t[g]), int(k[g]), stop - int(size[g]), stop, int(cost[g])
+
+
 def _search(passages: Passages, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     chars, starts = normalise(texts)
     stops = np.concatenate((starts[1:] - 1, [len(chars) - 1]))
     found = []
     if len(passages.codes):
-        position, item, place = passages.hits(qgram_codes(chars))
-        text = np.searchsorted(starts, position, "right") - 1
-        diagonal = position - place
-        band = diagonal // (passages.edits[item] + 1)
-        low = int(band.min(initial=0))
-        tall = int(band.max(initial=0)) - low + 1
-        order = np.argsort((text * len(passages.items) + item) * tall + (band - low), kind="stable")
-        text, item, band, place = text[order], item[order], band[order], place[order]
-        fresh = np.ones(len(text), bool)
-        fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
-        head = np.flatnonzero(fresh)
-        count = np.diff(np.concatenate((head, [len(text)])))
-        t, k, b = text[head], item[head], band[head]
-        both = count.copy()  # a band and its upper neighbour: every span of edits + 1 diagonals lies in one such pair
-        next_to = (t[1:] == t[:-1]) & (k[1:] == k[:-1]) & (b[1:] == b[:-1] + 1)
-        both[:-1] += np.where(next_to, count[1:], 0)
-        enough = both >= passages.needs[k]
+        at, where = passages.known(qgram_codes(chars))
+        reach = int((passages.sizes + 4 * passages.edits).max()) + 2
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for g in np.flatnonzero(enough).tolist():
-            i, j, x = int(t[g]), int(k[g]), int(b[g])
-            if len(np.unique(place[head[g] : head[g] + both[g]])) < passages.needs[j]:
-                continue  # the lemma counts q-grams of the passage, each once
-            chars_of, edits = passages.items[j][1], int(passages.edits[j])
-            old = best.get((i, j))
-            if old and not old[0]:
-                continue
-            first = x * (edits + 1)
-            left, right = max(int(starts[i]), first - edits), min(int(stops[i]), first + 2 * edits + 1 + len(chars_of) + edits)
-            region = chars[left:right]
-            at = region.tobytes().find(chars_of.tobytes())
-            if at >= 0 and at % 4 == 0:
-                cost, end = 0, at // 4 + len(chars_of)
-            else:
-                cost, end = banded_distance(chars_of, region, first - edits - left, first + 2 * edits + 1 - left, edits)
-            if cost <= edits and (old is None or cost < old[0]):
-                best[i, j] = (cost, left + end - len(chars_of) - int(starts[i]), left + end - int(starts[i]))
+        for part in _windows(at, passages.count[where], reach):
+            t, k, b = _candidates(passages, starts, *passages.hits(at[part], where[part]))
+            for i, j, start, end, cost in _aligned(passages, chars, starts, stops, t, k, b):
+                best[i, j] = min(best.get((i, j), (cost, start, end)), (cost, start, end))
         found += [(i, j, max(0, s), e, c) for (i, j), (c, s, e) in best.items()]
     for j in passages.short:
         want = "".join(map(chr, passages.items[j][1]))
