@@ -296,7 +296,7 @@ def test_label_model_against_loops(spark, monkeypatch):
     votes = np.column_stack([np.where(rng.random(300) < 0.8, y, ~y) & (rng.random(300) < 0.7) for _ in range(3)]).astype(int)
     votes = ballot_of(np.column_stack((votes, -1 * ~votes.any(axis=1))), np.where(rng.random(300) < 0.3, y, -1).astype(int))
     monkeypatch.setattr(X, "ROUNDS", 8)
-    assert X.RESHARED == (3, 6)
+    monkeypatch.setattr(X, "RESHARED", (3, 6))
     monkeypatch.setattr(X, "CORRELATED", 9.0)
     monkeypatch.setattr(X, "SETTLED", 0.0)
     model = X.fit_label_model(5, summed(votes))
@@ -356,7 +356,6 @@ def test_fits_do_not_grow_with_repeated_ids(spark, monkeypatch):
     assert 20 < seen[0] < 180
     monkeypatch.setattr(X, "classifier", lambda sample, votes, reader, model: seen.append(len(sample.labels)))
     monkeypatch.setattr(X, "FIT_LABELLED", 100)
-    monkeypatch.setattr(X, "FIT_PLAIN", 50)
     X.fit(docs, labels)
     assert 20 < seen[1] < 250
 
