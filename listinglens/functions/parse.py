@@ -18,8 +18,7 @@ PHONES = (
     r"\b\(?0\d{3}\)?\s?\d{3}\s?\d{2}\s?\d{2}\b",
     r"\b\+90\s?\d{3}\s?\d{3}\s?\d{2}\s?\d{2}\b",
 )
-#: Endings of picture links, and the token of the picture host that callers may replace.
-HOST = "hecdn"
+#: Endings of picture links.
 PHOTO = r"(?i)\.(jpg|jpeg|png|webp)(\?|$)"
 
 
@@ -202,7 +201,7 @@ def preview(c: Column, n: int = 120) -> Column:
     return F.when(F.length(line) > n, F.concat(F.substring(line, 1, n - 3), F.lit("..."))).otherwise(line)
 
 
-def is_listing_photo(c: Column, host: str = HOST) -> Column:
+def is_listing_photo(c: Column, host: str) -> Column:
     return F.coalesce(c.contains(host) & c.rlike(PHOTO), F.lit(False))
 
 
@@ -219,7 +218,7 @@ def extract_links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1)))
 
 
-def extract_images(html: Column, host: str = HOST) -> Column:
+def extract_images(html: Column, host: str) -> Column:
     """Photo links: data-src, else src, of img tags, canonical, without inline data, in first-seen order."""
     tags = F.regexp_extract_all(html, F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))
     links = F.transform(

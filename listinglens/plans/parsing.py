@@ -53,8 +53,8 @@ over("documents", "p09_furnished_to_bool", lambda: ("doc_id", P.furnished_to_boo
 over("documents", "p10_scrub_pii", lambda: ("doc_id", F.md5(P.scrub_pii(F.concat_ws(" ", "text", F.lit("tel:05321234567 5321234567 (0532) 1234567")))).alias("h")),
      r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat_ws(' ', text, 'tel:05321234567 5321234567 (0532) 1234567'), 'tel:\+?\d+', ' ', 'g'),
  '\b0?\d{3}\s?\d{3}\s?\d{2}\s?\d{2}\b', ' ', 'g'), '\b\(?0\d{3}\)?\s?\d{3}\s?\d{2}\s?\d{2}\b', ' ', 'g'), '\b\+90\s?\d{3}\s?\d{3}\s?\d{2}\s?\d{2}\b', ' ', 'g'), '\s+', ' ', 'g'))) AS h FROM documents""")
-over("pages", "p11_canonical_image_url", lambda: ("page_id", P.canonical_image_url(F.concat(F.lit(" https://x.hecdn.example/mnresize/132/74/ds01/"), F.col("page_id").cast("string"), F.lit(".jpg?a=1&amp;b=2 "))).alias("link")),
-     "SELECT page_id, 'https://x.hecdn.example/ds01/' || page_id || '.jpg?a=1&b=2' AS link FROM pages")
+over("pages", "p11_canonical_image_url", lambda: ("page_id", P.canonical_image_url(F.concat(F.lit(" https://x.pics.example/mnresize/132/74/ds01/"), F.col("page_id").cast("string"), F.lit(".jpg?a=1&amp;b=2 "))).alias("link")),
+     "SELECT page_id, 'https://x.pics.example/ds01/' || page_id || '.jpg?a=1&b=2' AS link FROM pages")
 over("documents", "p12_normalize_string", lambda: ("doc_id", F.md5(P.normalize_string(F.col("text"))).alias("h")),
      "SELECT doc_id, md5(nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), '')) AS h FROM documents")
 over("lineitem", "p13_room_count", lambda: ("l_orderkey", "l_linenumber", P.room_count(F.concat(F.col("l_linenumber").cast("string"), F.lit(" + "), F.col("l_quantity").cast("int").cast("string"))).alias("rooms"), P.room_count(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" oda"))).alias("single")),
@@ -98,8 +98,8 @@ over("pages", "p37_title", lambda: ("page_id", P.extract_title(F.col("html")).al
  nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '')) AS title FROM pages""")
 over("pages", "p38_links", lambda: ("page_id", F.size(P.extract_links(F.col("html"))).cast("long").alias("n"), F.array_join(F.array_sort(P.extract_links(F.col("html"))), "|").alias("links")),
      r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1)))::BIGINT AS n, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1))), '|'), '') AS links FROM pages""")
-over("pages", "p38_images", lambda: ("page_id", F.array_join(P.extract_images(F.concat(F.lit('<img src="data:x"><img src="https://hecdn.x/mnresize/1/2/a.jpg"><img data-src="https://hecdn.x/b.PNG" src="https://hecdn.x/c.jpg"><img src="https://hecdn.x/a.jpg">'), F.col("html"))), "|").alias("images")),
-     "SELECT page_id, 'https://hecdn.x/a.jpg|https://hecdn.x/b.PNG' AS images FROM pages")
+over("pages", "p38_images", lambda: ("page_id", F.array_join(P.extract_images(F.concat(F.lit('<img src="data:x"><img src="https://pics.x/mnresize/1/2/a.jpg"><img data-src="https://pics.x/b.PNG" src="https://pics.x/c.jpg"><img src="https://pics.x/a.jpg">'), F.col("html")), "pics"), "|").alias("images")),
+     "SELECT page_id, 'https://pics.x/a.jpg|https://pics.x/b.PNG' AS images FROM pages")
 
 
 def _specs():
