@@ -24,6 +24,8 @@ FILTER_BITS = 22
 COMMON = 32
 #: Hits that are sorted at a time, and cells of a row of alignments.
 HITS, CELLS = 2_000_000, 1 << 18
+#: Candidates from which equal regions are looked for.
+MANY = 2000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,36 +125,35 @@ class Passages:
         return np.repeat(at, many), self.item[pick], self.place[pick]
 
 
-def banded_distances(chars: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarray, width: int, items: np.ndarray, heads: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(edits, end) of each candidate: the best alignment of a whole passage inside chars[low:high]; (most + 1, -1) if none.
+def banded_distances(chars: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarray, items: np.ndarray, heads: np.ndarray, sizes: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) of each candidate: the best alignment of a whole passage inside chars[low:high]; (-1, -1) if none has `most` edits or fewer.
 
     A candidate's passage is items[head : head + size]. A diagonal is a
-    position in chars less one in the passage; `width` of them are tried, from
-    the given one on. What passes `most` edits is left out of further rows.
+    position in chars less one in the passage; 3 * most + 2 of them are tried,
+    from the given one on. What passes its edits is left out of further rows.
     """
-    n, big = len(diagonal), most + 1
-    cost, end = np.full(n, big), np.full(n, -1)
-    ramp = np.arange(width, dtype=np.int64)
-    who = np.arange(n)
-    at = diagonal[:, None] + ramp
-    row = np.where((at >= low[:, None]) & (at <= high[:, None]), 0, big)
+    cost, end = np.full(len(diagonal), -1), np.full(len(diagonal), -1)
+    big, ramp = int(most.max(initial=0)) + 1, np.arange(3 * int(most.max(initial=0)) + 2, dtype=np.int64)
+    who, at = np.arange(len(diagonal)), diagonal[:, None] + ramp
+    beyond = ramp >= 3 * most[:, None] + 2
+    row = np.where((at >= low[:, None]) & (at <= high[:, None]) & ~beyond, 0, big)
     for i in range(int(sizes.max(initial=0))):
         inside = (at >= low[who, None]) & (at < high[who, None])
-        letter = items[heads[who] + i]
-        step = np.where(inside, row + (chars[np.clip(at, 0, len(chars) - 1)] != letter[:, None]), big)
+        step = np.where(inside, row + (chars[np.clip(at, 0, len(chars) - 1)] != items[heads[who] + i][:, None]), big)
         step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)
         at += 1
         step[(at < low[who, None]) | (at > high[who, None])] = big
         row = np.minimum(np.minimum.accumulate(step - ramp, axis=1) + ramp, big)
+        row[beyond] = big
         least = row.min(axis=1)
-        over = sizes[who] == i + 1
+        over, well = sizes[who] == i + 1, least <= most[who]
         if over.any():
-            fit = np.flatnonzero(over & (least <= most))
+            fit = np.flatnonzero(over & well)
             cost[who[fit]] = least[fit]
             end[who[fit]] = at[fit, row[fit].argmin(axis=1)]
-        stay = ~over & (least <= most)
+        stay = ~over & well
         if not stay.all():
-            who, row, at = who[stay], row[stay], at[stay]
+            who, row, at, beyond = who[stay], row[stay], at[stay], beyond[stay]
             if not len(who):
                 break
     return cost, end
@@ -187,17 +188,23 @@ def _candidates(passages: Passages, starts: np.ndarray, position: np.ndarray, it
     low = int(band.min(initial=0))
     tall = int(band.max(initial=0)) - low + 1
     key = (text * len(passages.items) + item) * tall + (band - low)
-    order = np.lexsort((place, key))
-    key, place = key[order], place[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
-    key, head = np.unique(key[fresh], return_index=True)
-    both = np.diff(np.concatenate((head, [int(fresh.sum())])))
-    t, k, b = key // tall // len(passages.items), key // tall % len(passages.items), key % tall + low
-    next_to = (t[1:] == t[:-1]) & (k[1:] == k[:-1]) & (b[1:] == b[:-1] + 1)
-    alone = both.copy()
-    both[:-1] += np.where(next_to, alone[1:], 0)  # every span of edits + 1 diagonals lies in one such pair
-    enough = both >= passages.needs[k]
+    for exact in (False, True):  # by all hits first, then with each q-gram of the passage once, where that leaves something
+        if exact:
+            order = np.lexsort((place, key))
+            key, place = key[order], place[order]
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
+            group, both = np.unique(key[fresh], return_counts=True)
+        else:
+            group, which, both = np.unique(key, return_inverse=True, return_counts=True)
+        t, k, b = group // tall // len(passages.items), group // tall % len(passages.items), group % tall + low
+        next_to = (t[1:] == t[:-1]) & (k[1:] == k[:-1]) & (b[1:] == b[:-1] + 1)
+        both[:-1] += np.where(next_to, both[1:], 0)  # every span of edits + 1 diagonals lies in one such pair
+        enough = both >= passages.needs[k]
+        if not exact:
+            keep = enough.copy()
+            keep[1:] |= enough[:-1] & next_to
+            key, place = key[keep[which]], place[keep[which]]
     return t[enough], k[enough], b[enough]
 
 
@@ -212,21 +219,32 @@ def _marks(chars: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _aligned(passages: Passages, chars: np.ndarray, starts: np.ndarray, stops: np.ndarray, t: np.ndarray, k: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, passage, start, end, edits) of the candidates within their budget; equal regions meet a passage once."""
+    """(text, passage, start, end, edits) of the candidates within their budget.
+
+    If there are many, equal regions meet a passage once; passages that stand
+    there unaltered need no alignment.
+    """
     edits, size = passages.edits[k], passages.sizes[k]
     diagonal = b * (edits + 1) - edits
     low, high = np.maximum(starts[t], diagonal), np.minimum(stops[t], diagonal + 4 * edits + 1 + size)
     low = np.minimum(low, high)
-    same = np.stack((_marks(chars, low, high), high - low, low - diagonal, k), axis=1).astype(np.uint64)
-    _, one, group = np.unique(same, axis=0, return_index=True, return_inverse=True)
+    one = group = np.arange(len(t))
+    if len(t) > MANY:
+        same = np.stack((_marks(chars, low, high), high - low, low - diagonal, k), axis=1).astype(np.uint64)
+        _, one, group = np.unique(same, axis=0, return_index=True, return_inverse=True)
     cost, end = np.full(len(one), -1), np.full(len(one), -1)
-    for e in np.unique(edits[one]).tolist():
-        some, width = np.flatnonzero(edits[one] == e), 3 * e + 2
-        for at in range(0, len(some), max(1, CELLS // width)):
-            part = some[at : at + max(1, CELLS // width)]
-            g = one[part]
-            found = banded_distances(chars, low[g], high[g], diagonal[g], width, passages.flat, passages.heads[k[g]], size[g], e)
-            cost[part], end[part] = found[0], np.where(found[1] < 0, -1, found[1] - low[g])
+    for n, g in enumerate(one.tolist()):
+        at = chars[low[g] : high[g]].tobytes().find(passages.items[k[g]][1].tobytes())
+        if at >= 0 and at % 4 == 0:
+            cost[n], end[n] = 0, at // 4 + size[g]
+    rest = np.flatnonzero(end < 0)
+    rest = rest[np.argsort(edits[one[rest]], kind="stable")]  # alike in width
+    while len(rest):
+        g = one[rest]
+        n = max(1, int(np.searchsorted(np.arange(1, len(rest) + 1) * (3 * edits[g] + 2), CELLS)))
+        part, rest, g = rest[:n], rest[n:], g[:n]
+        found = banded_distances(chars, low[g], high[g], diagonal[g], passages.flat, passages.heads[k[g]], size[g], edits[g])
+        cost[part], end[part] = found[0], np.where(found[1] < 0, -1, found[1] - low[g])
     cost, end = cost[group.ravel()], end[group.ravel()]
     for g in np.flatnonzero(end >= 0).tolist():
         stop = int(low[g] + end[g] - starts[t[g]])
