@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listinglens.operators.quantiles import exact_quantiles
-from listinglens.session import rounded
+from listinglens.session import Scratch, rounded
 
 #: Actual values below this size have no relative error.
 LEAST_ACTUAL = 1e-8
@@ -179,16 +179,18 @@ def count_reference(df: DataFrame, column: str) -> DataFrame:
 def keyword_effect(df: DataFrame, groups: Mapping[str, Sequence[str]], words: str, y: str) -> DataFrame:
     """For each keyword group that occurs: n, share, mean and median of y, and the difference from the overall mean."""
     hit = F.array_compact(F.array(*[F.when(F.arrays_overlap(F.col(words), F.array(*map(F.lit, w))), F.lit(g)) for g, w in groups.items()]))
-    rows = df.select(y, hit.alias("hits"))
+    scratch = Scratch(df.sparkSession)
+    rows = scratch.stage(df.select(y, hit.alias("hits")), "keyword-hits")  # words are looked up once
     overall = rows.agg(F.count("*").alias("total"), F.avg(y).alias("overall"))
     hits = rows.select(y, F.explode("hits").alias("keyword"))
     medians = exact_quantiles(hits, [y], (0.5,), ["keyword"]).select("keyword", rounded(F.get("quantiles", 0)).alias("median"))
     found = hits.groupBy("keyword").agg(F.count("*").alias("n"), F.avg(y).alias("mean")).join(medians, "keyword")  # a row for each keyword group
     joined = found.crossJoin(F.broadcast(overall))  # one row
-    return joined.select(
+    told = joined.select(
         "keyword", "n", rounded(100 * F.col("n") / F.col("total")).alias("share"), rounded(F.col("mean")).alias("mean"), "median",
         rounded(F.col("mean") - F.col("overall")).alias("delta"),
     )
+    return scratch.result(told, "keyword-effect")
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
