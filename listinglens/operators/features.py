@@ -143,10 +143,11 @@ def tfidf(docs: DataFrame, key: str, words: str, most: int = 2000, least_df: int
     The vocabulary is known before terms are counted by document; the documents
     are dealt by key, so neither these counts nor the norms shuffle a term.
     """
-    docs = stage_table(docs.select(key, words), "documents-words")  # words are made once, for the vocabulary and for the weights
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes of words become many terms
+    docs = stage_table(docs.select(key, words).repartition(parts, key), "documents-words")  # words are made once, for the vocabulary and for the weights
     total = docs.agg(F.count("*").alias("total"))
     idf = vocabulary(docs, words, most, least_df).crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
-    terms = docs.repartition(key).select(key, F.explode(ngrams(F.col(words))).alias("term")).join(F.broadcast(idf), "term")  # `most` rows at most
+    terms = docs.repartition(parts, key).select(key, F.explode(ngrams(F.col(words))).alias("term")).join(F.broadcast(idf), "term")  # `most` rows at most
     raw = terms.groupBy(key, "term").agg((F.count("*") * F.first("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
