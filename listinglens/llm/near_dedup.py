@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listinglens.llm.common import fresh_path, join_hot, remove, small_batches, stage_table
+from listinglens.llm.common import HOT, fresh_path, join_hot, remove, small_batches, stage_table
 
 #: Differing bits that link at most. Of m blocks of a fingerprint, two linked ones agree in m - DISTANCE at least, so they
 #: meet in one of C(m, DISTANCE) tables keyed by so many blocks: 5 tables of 12 bits, 15 of 20, 35 of 27 or 70 of 32.
@@ -193,10 +193,15 @@ def similar_links(distinct: DataFrame, n_distinct: int, distance: int = DISTANCE
         keys.append(key)
     keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("bucket"))
     large = keyed.groupBy("bucket").count().where(F.col("count") > GROUP_MOST)
-    large = stage_table(large.select("bucket", F.ceil(F.col("count") * 2 / GROUP_MOST).cast("int").alias("parts")), "large-groups")
-    n_large = large.count()
-    few = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
-    dealt = keyed.join(few, "bucket", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    large = stage_table(large.select("bucket", "count", F.ceil(F.col("count") * 2 / GROUP_MOST).cast("int").alias("parts")), "large-groups")
+    parts = large.drop("count")
+    if large.count() <= BROADCAST_ROWS:
+        dealt = keyed.join(F.broadcast(parts), "bucket", "left")
+    else:  # fewer than HOT groups have over a share of the rows: they are broadcast, and the shuffle meets none of them
+        hot = large.where(F.col("count") * HOT > F.lit(n_distinct * len(keys))).drop("count")
+        rest = keyed.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti").join(parts, "bucket", "left")
+        dealt = keyed.join(F.broadcast(hot), "bucket").unionByName(rest)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     meets = F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = dealt.select("fp", "bucket", "own", F.explode(meets).alias("other")).where("other = -1 or own <> other")
     alone = F.col("other") == -1

@@ -86,8 +86,11 @@ def test_operator_against_brute_force(spark, sf):
     assert rows == {i: (f"{codes[i]:016x}", expected[i]) for i in ids}
 
 
-def test_large_groups_are_split(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_large_groups_are_split(spark, monkeypatch, broadcast_rows):
     monkeypatch.setattr(N, "GROUP_MOST", 20)
+    monkeypatch.setattr(N, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(N, "HOT", 15)  # of 750 rows, groups of over 50 are hot
     rng = np.random.default_rng(5)
     codes = np.unique(np.array([sum(1 << int(b) for b in rng.integers(0, 40, 5)) for _ in range(150)], dtype=np.uint64))
     df = spark.createDataFrame([(int(x),) for x in codes.view(np.int64)], "fp long")

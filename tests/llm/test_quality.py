@@ -228,6 +228,30 @@ def test_grade_query(spark, sf):
     assert np.mean([g > b for g in good for b in bad]) > 0.85
 
 
+def plain_grade(grader, text):
+    """(expected grade, tail probability, kept) of a text, by loops."""
+    counts = Counter()
+    for w in (text or "").encode().split():
+        counts[zlib.crc32(w.lower().strip(b".,;:!?\"'()[]#*$%&|<>")) % H.SIZE] += 1
+        shape = re.sub(rb"[0-9]+", b"9", re.sub(rb"[a-z\x80-\xff]+", b"a", re.sub(rb"[A-Z]+", b"A", w)))
+        counts[zlib.crc32(b"\0" + shape) % H.SIZE] += 1
+    length = math.sqrt(sum(counts.values()))
+    score = sum(grader.weights[s] * 2 * math.sqrt(n) / length for s, n in counts.items())
+    tails = [1 / (1 + math.exp(c - score)) for c in grader.thresholds]
+    return sum(tails), tails[-1], tails[G.KEEP_GRADE - 1] >= 0.5
+
+
+def test_grade_query_against_loops(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    grader = G.fit(spark.read.parquet(f"{sf}/documents.parquet"), G.graded(spark.read.parquet(f"{sf}/labels.parquet")))
+    rows = K.op8_quality_grades(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts) and np.any(grader.weights)
+    for r in rows:
+        expected, tail, kept = plain_grade(grader, texts[r.doc_id])
+        assert (r.expected_grade, r.tail_probability) == pytest.approx((expected, tail), abs=1e-6)
+        assert r.kept == kept and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_grades_of_odd_rows(spark):
     grader = G.fit_rows(["a b", "c d"] * 5, np.array([0, 1] * 5))
     out = G.grade(spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "a " * 50_000)], "doc_id long, text string"), grader)
@@ -360,6 +384,98 @@ def test_fits_do_not_grow_with_repeated_ids(spark, monkeypatch):
     assert 20 < seen[1] < 250
 
 
+def plain_terms(text):
+    """The hashes of a text's terms, and its number of words, by loops."""
+    factor, full = int(X.FACTOR), 2**64
+
+    def mixed(code, kind):
+        code = (code + kind) * factor % full
+        return (code ^ code >> 31) * factor % full
+
+    words, hashes = "".join(c if c.isalpha() else " " for c in text.lower()).split(" "), []
+    for w in filter(None, words):
+        hashes.append(mixed(sum(ord(c) * pow(factor, i % 64, full) for i, c in enumerate(w)) % full, 0))
+        code = ord(w[0])
+        for n in range(2, min(len(w), X.LONGEST) + 1):
+            code = (code * factor + ord(w[n - 1])) % full
+            hashes.append(mixed(code, n))
+    return hashes, sum(map(bool, words))
+
+
+def plain_score(detector, text):
+    """The score of a text under a detector, by loops."""
+    hashes, n = plain_terms(text or "")
+    counts = Counter(hashes)
+    fired = [counts[int(v)] > 0 and counts[int(v)] >= least * max(n, 1) for v, least in zip(detector.voters, detector.least)]
+    votes = [*fired, bool(X.MASKED.search(text or "")), any(fired) and bool(X.AIMED.search(text or "")), -1 * (not any(fired))]
+    z = detector.bias + 100 * sum(detector.weights[h >> 64 - X.BITS] for h in hashes) / max(n, 1)
+    return 1 / (1 + math.exp(-z - sum(w * v for w, v in zip(detector.votes, votes))))
+
+
+def test_toxicity_scores_against_loops(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    detector = X.fit(docs, labels)
+    assert len(detector.voters) >= len(X.LEXICON) and np.any(detector.votes)
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "du bist ein Dummkopf, s**t"), (-4, "you are an idiot " * 9), (-5, "×²_³ àÉ ß")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(extra)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = X.score(docs, detector).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        assert r.score == pytest.approx(plain_score(detector, texts[r.doc_id]), abs=1e-9)
+
+
+def plain_voters(texts, labels):
+    """Mined (slot, least share) pairs by loops over texts, each a dict of slot and share."""
+    members = {}
+    for least in X.RATES:
+        for slot in {s for t in texts for s in t}:
+            has = [i for i, t in enumerate(texts) if slot in t and t[slot] >= np.float32(least) and labels[i] >= 0]
+            good = sum(labels[i] == 1 for i in has)
+            if good >= X.MINED_TEXTS and good >= X.MINED_SHARE * (len(has) + 1):
+                members[slot, least] = has
+    chosen, marked = [], set()
+    while members:
+        gain = {k: sum(labels[i] == 1 and i not in marked for i in has) - 2 * sum(labels[i] == 0 for i in has) for k, has in members.items()}
+        best = max(gain, key=lambda k: (gain[k], k[1], -k[0]))
+        if gain[best] < X.MINED_TEXTS:
+            break
+        chosen.append(best)
+        marked.update(members.pop(best))
+    return chosen
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mined_voters_against_loops(seed):
+    rng = np.random.default_rng(seed)
+    labels = rng.choice([-1, 0, 1], 250, p=[0.2, 0.4, 0.4])
+    texts = []
+    for label in labels:
+        slots = rng.choice(40, 6, replace=False) if label == 1 else rng.choice(np.arange(25, 90), 6, replace=False)
+        texts.append({int(s): np.float32(rng.choice([0.005, 0.012, 0.018, 0.027, 0.05])) for s in slots})
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    slot, share = np.array([s for t in texts for s in t]), np.array([v for t in texts for v in t.values()], np.float32)
+    mined = X.mine_voters(row, slot, share, labels)
+    assert len(mined) > 3 and mined == plain_voters(texts, labels)
+    often = Counter(s for t in texts for s in t)
+    kept = [(i, s, v) for i, t in enumerate(texts) for s, v in t.items() if often[s] >= X.TERM_TEXTS]
+    sample = X.common_terms(X.Sample(labels, row.astype(np.int32), slot.astype(np.int32), share.copy(), np.zeros(0, np.uint64)))
+    assert 0 < len(kept) < len(row)
+    assert list(zip(sample.row.tolist(), sample.slot.tolist(), sample.share)) == kept
+
+
+def test_label_model_of_one_hot_id(spark):
+    """Rows that share an id, or have none, count as often as they are there."""
+    reader = X.Detector(X.word_hashes(X.LEXICON), np.zeros(len(X.LEXICON)), np.zeros(X.SIZE), np.zeros(len(X.LEXICON) + 3), 0.0)
+    texts = ["you idiot", "a b", "a moron", "c d"] * 50
+    ids = [1] * 80 + [None] * 40 + list(range(2, 82))
+    labels = np.array([1 if i == 1 else -1 for i in ids])
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+    votes = ballot_of(reader.read(texts)[1], labels)
+    one, many = X.fit_label_model(votes.shape[1], summed(votes)), X.label_all(docs, spark.createDataFrame([(1, 1)], "doc_id long, label int"), reader)
+    assert np.allclose(one.rates, many.rates) and one.prior == pytest.approx(many.prior)
+
+
 def test_toxicity_query(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
