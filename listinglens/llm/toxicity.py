@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listinglens.llm.common import held_out, sampled, small_batches, stage_table
+from listinglens.llm.common import fresh_path, held_out, remove, sampled, small_batches, stage_table
 from listinglens.llm.hashed import minimise
 
 #: Fold that is never learned from, of FOLDS; labelled rows and their bytes, in expectation, that voters are mined from and
-#: the classifier is fitted on. The label model is fitted on all rows.
+#: the classifier is fitted on. The label model is fitted on all rows, the classifier on all rows without a label too.
 FOLDS, HELD_OUT, FIT_LABELLED, FIT_BYTES = 4, 2, 6_000, 50_000_000
 #: Scores from here on are rejected.
 REJECT = 0.3
@@ -46,6 +46,8 @@ RESHARED = (8, 16)
 TASK_BALLOTS = 20_000
 #: Partitions of the sample's terms: each is a small task result.
 SAMPLE_PARTS = 32
+#: Tasks that add up the gradient over all rows without a label: each sends one, of SIZE numbers at most, to the driver.
+GRADIENT_PARTS = 32
 #: Bits of a term's slot in the classifier; code points read at a time.
 BITS, AT_ONCE = 18, 1_000_000
 SIZE = 1 << BITS
@@ -245,6 +247,7 @@ class LabelModel:
     rates: np.ndarray | None
     share: np.ndarray
     prior: float
+    told: float = 0.0  # rows with a given label
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """P(class 1) of each row of votes; a given label stands against the other voters."""
@@ -302,7 +305,7 @@ def fit_label_model(n_voters: int, add_up: Callable) -> LabelModel:
             tied[-1, :-1] = tied[:-1, -1] = 0.0
             share = 1.0 / tied.sum(axis=1)
         settled = step > RESHARED[-1] and np.abs(rates - model.rates).max() < SETTLED
-        model = LabelModel(rates, share, prior)
+        model = LabelModel(rates, share, prior, float(sums[:, -1, [0, 2]].sum()))
         if settled:
             break
     return model
@@ -440,38 +443,132 @@ def voters_of(sample: Sample) -> Detector:
     return Detector(np.array(voters, np.uint64), np.array(least), np.zeros(SIZE), np.zeros(len(voters) + 3), -4.0)
 
 
+def used_slots(sample: Sample) -> np.ndarray:
+    """The slots that the sample's texts have, ascending: the classifier's columns."""
+    there = np.zeros(SIZE, bool)
+    there[sample.slot] = True
+    return np.flatnonzero(there)
+
+
+def column_of(used: np.ndarray) -> np.ndarray:
+    """The column of each slot, or -1."""
+    column = np.full(SIZE, -1, np.int32)
+    column[used] = np.arange(len(used))
+    return column
+
+
 def classifier(sample: Sample, votes: np.ndarray, reader: Detector, model: LabelModel) -> Detector:
     """The logistic model of terms and votes, fitted on the label model's posteriors of the sample's texts; votes end with the given labels."""
     if not len(sample.labels):
         return reader
-    there = np.zeros(SIZE, bool)
-    there[sample.slot] = True
-    used = np.flatnonzero(there)
-    col = (np.cumsum(there) - 1).astype(np.int32)[sample.slot]
-    loss = logistic_loss(sample.row, col, sample.share, len(used), votes[:, :-1].astype(float), model.posterior(votes))
-    x = minimise(loss, np.zeros(len(used) + votes.shape[1]), rounds=40)
+    used = used_slots(sample)
+    loss = logistic_loss(sample.row, column_of(used)[sample.slot], sample.share, len(used), votes[:, :-1].astype(float), model.posterior(votes))
+    return with_weights(reader, used, minimise(loss, np.zeros(len(used) + votes.shape[1]), rounds=40))
+
+
+def with_weights(reader: Detector, used: np.ndarray, x: np.ndarray) -> Detector:
+    """The reader with the weights x: of the used slots, of the votes, and the bias."""
     weights = np.zeros(SIZE)
     weights[used] = x[: len(used)]
     return Detector(reader.voters, reader.least, weights, x[len(used) : -1], float(x[-1]))
 
 
-def logistic_loss(row: np.ndarray, col: np.ndarray, share: np.ndarray, n_cols: int, dense: np.ndarray, post: np.ndarray) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
-    """Cross-entropy of soft labels under sparse weights of a hundred times the shares, dense ones and a bias, with ridge, and its gradient."""
+def cross_entropy(x: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, scale: np.ndarray | float, n_cols: int, dense: np.ndarray, post: np.ndarray) -> tuple[float, np.ndarray]:
+    """Cross-entropy of soft labels under sparse weights of the values times their row's scale, dense ones and a bias, and its gradient."""
+    w, v, b = x[:n_cols], x[n_cols:-1], x[-1]
+    z, gw = np.zeros(len(post)), np.zeros(n_cols)
+    for at in _pieces(len(row)):
+        z += np.bincount(row[at], w[col[at]] * value[at], len(post))
+    z = z * scale + dense @ v + b
+    off = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - post
+    scaled = off * scale
+    for at in _pieces(len(row)):
+        gw += np.bincount(col[at], scaled[row[at]] * value[at], n_cols)
+    return float((np.logaddexp(0, z) - post * z).sum()), np.concatenate((gw, dense.T @ off, [off.sum()]))
+
+
+def logistic_loss(row: np.ndarray, col: np.ndarray, share: np.ndarray, n_cols: int, dense: np.ndarray, post: np.ndarray, times: float = 1.0) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """Cross-entropy under weights of a hundred times the shares, with ridge, and its gradient; each row counts so many times."""
+    ridge = np.concatenate((np.full(n_cols, 10 * RIDGE), np.full(dense.shape[1], RIDGE), [0.0]))
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        w, v, b = x[:n_cols], x[n_cols:-1], x[-1]
-        z, gw = dense @ v + b, 10 * RIDGE * w
-        for at in _pieces(len(row)):
-            z += np.bincount(row[at], 100 * w[col[at]] * share[at], len(post))
-        off = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - post
-        for at in _pieces(len(row)):
-            gw += np.bincount(col[at], 100 * off[row[at]] * share[at], n_cols)
-        total = (np.logaddexp(0, z) - post * z).sum() + 5 * RIDGE * (w @ w) + RIDGE / 2 * (v @ v)
-        return float(total), np.concatenate((gw, dense.T @ off + RIDGE * v, [off.sum()]))
+        value, grad = cross_entropy(x, row, col, share, 100.0, n_cols, dense, post)
+        return times * value + float(ridge @ (x * x)) / 2, times * grad + ridge * x
 
     return loss
 
 
+CELLS = "post double, n_words long, votes binary, cols binary, counts binary"
+
+
+def soft_rows(docs: DataFrame, reader: Detector, model: LabelModel, used: np.ndarray) -> DataFrame:
+    """Rows of CELLS for texts without a label: the label model's posterior, the numbers of the voters that say toxic, the columns of the text's terms and how often it has each; packed arrays."""
+    small_batches(docs.sparkSession)
+    lean = Detector(reader.voters, reader.least, reader.weights[:0], reader.votes, 0.0)
+    shared = docs.sparkSession.sparkContext.broadcast((lean, model, column_of(used)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean, model, column = shared.value
+        for batch in batches:
+            for part in _cut([t or "" for t in batch.column(0).to_pylist()]):
+                terms = read_terms(part)
+                votes = lean.cast(part, terms)
+                post = model.posterior(np.column_stack((votes, np.zeros(len(part), np.int8))))
+                cols = column[_slots(terms.hashes)]
+                key, counts = np.unique((terms.texts * SIZE + cols)[cols >= 0], return_counts=True)
+                ends = np.searchsorted(key, np.arange(len(part) + 1) * SIZE)
+                cols, counts = (key % SIZE).astype("<i4"), counts.astype("<i4")
+                packed = [[np.flatnonzero(v).astype("<u2").tobytes() for v in votes[:, :-1] == 1]]
+                packed += [[cells[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])] for cells in (cols, counts)]
+                plain = [pa.array(post), pa.array(terms.n_words.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*plain, *(pa.array(p, pa.binary()) for p in packed)], ["post", "n_words", "votes", "cols", "counts"])
+
+    return docs.select("text").mapInArrow(run, CELLS)
+
+
+def summed_entropy(rows: DataFrame, n_cols: int, n_terms: int) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """The cross-entropy over all rows of CELLS, and its gradient, added up in GRADIENT_PARTS tasks."""
+    rows = rows.coalesce(GRADIENT_PARTS)
+
+    def entropy(x: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = rows.sparkSession.sparkContext.broadcast(x)
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(n_cols + n_terms + 5)
+            for batch in batches:
+                post, cells = batch.column(0).to_numpy(), batch.column(3).to_pylist()
+                votes = unpacked(batch.column(2).to_pylist(), np.full(len(post), -1), n_terms)[:, :-1].astype(float)
+                row = np.repeat(np.arange(len(post)), [len(c) // 4 for c in cells])
+                col, counts = np.frombuffer(b"".join(cells), "<i4"), np.frombuffer(b"".join(batch.column(4).to_pylist()), "<i4")
+                scale = 100 / np.maximum(batch.column(1).to_numpy(), 1)
+                value, grad = cross_entropy(shared.value, row, col, counts, scale, n_cols, votes, post)
+                total[:-1] += grad
+                total[-1] += value
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], ["sums"])
+
+        total = np.zeros(n_cols + n_terms + 5)
+        for r in rows.mapInArrow(part, "sums binary").collect():  # a row for each task
+            total += np.frombuffer(bytes(r["sums"]), "<f8")
+        shared.destroy()
+        return float(total[-1]), total[:-1]
+
+    return entropy
+
+
+def fit_further(start: Detector, rows: DataFrame, sample: Sample, votes: np.ndarray, model: LabelModel) -> Detector:
+    """The logistic model of start, fitted on the sample's texts, which stand for all labelled rows, and on all rows of CELLS."""
+    used = used_slots(sample)
+    times = max(1.0, model.told / max(1, len(sample.labels)))
+    known = logistic_loss(sample.row, column_of(used)[sample.slot], sample.share, len(used), votes[:, :-1].astype(float), model.posterior(votes), times)
+    others = summed_entropy(rows, len(used), len(start.voters))
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        (value, grad), (more, way) = known(x), others(x)
+        return value + more, grad + way
+
+    return with_weights(start, used, minimise(loss, np.concatenate((start.weights[used], start.votes, [start.bias])), rounds=40))
+
+
 def fit_rows(texts: list[str], labels: np.ndarray) -> Detector:
     """Fit voters, label model and classifier on some texts; labels are 0, 1 or -1 for unknown."""
     mark = pa.array(np.arange(len(texts), dtype=np.int64))
@@ -489,8 +586,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Detector:
     """Fit on the documents outside the held-out fold; of a document's labels the highest counts.
 
     Voters are mined from about FIT_LABELLED labelled rows; the label model
-    counts the votes on every row; the classifier learns its posteriors of the
-    labelled rows. Equal texts count once in the sample, which is taken after
+    counts the votes on every row; the classifier learns the labels of those
+    labelled rows first, and then these and the posteriors of every row that
+    has no label. Equal texts count once in the sample, which is taken after
     the join, so an id that repeats brings in no more. Null ids and texts are
     left out.
     """
@@ -511,7 +609,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Detector:
     told = ballots(texts.select(F.col("mark").alias("doc_id"), "text"), reader).toArrow()
     packed = dict(zip(told["doc_id"].to_pylist(), told["votes"].to_pylist(), strict=True))
     votes = unpacked([packed[m] for m in marks], sample.labels, len(reader.voters))
-    return classifier(sample, votes, reader, model)
+    start = classifier(sample, votes, reader, model)
+    path = fresh_path(docs.sparkSession, "toxicity-cells")
+    soft_rows(narrow.join(given.select("doc_id"), "doc_id", "left_anti"), reader, model, used_slots(sample)).write.option("compression", "zstd").parquet(path)
+    rows = docs.sparkSession.read.schema(CELLS).parquet(path)
+    found = start if rows.isEmpty() else fit_further(start, rows, sample, votes, model)
+    remove(docs.sparkSession, path)
+    return found
 
 
 def score(docs: DataFrame, detector: Detector) -> DataFrame:

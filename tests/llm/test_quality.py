@@ -476,6 +476,54 @@ def test_label_model_of_one_hot_id(spark):
     assert np.allclose(one.rates, many.rates) and one.prior == pytest.approx(many.prior)
 
 
+def test_entropy_in_tasks_is_that_of_all_rows(spark):
+    rng = np.random.default_rng(8)
+    n = len(X.LEXICON)
+    reader = X.Detector(X.word_hashes(X.LEXICON), np.zeros(n), np.zeros(X.SIZE), np.zeros(n + 3), 0.0)
+    texts = [" ".join(rng.choice(["a", "b", "calm", "idiot", "dumm", "you", "moron", "sc**m"], 6)) for _ in range(90)] + ["", None, "idiot"]
+    model = X.fit_label_model(n + 4, summed(ballot_of(reader.read([t or "" for t in texts])[1], rng.integers(-1, 2, len(texts)))))
+    used = np.unique(X._slots(X.read_terms(["a calm idiot", "dumm"]).hashes))  # some of the terms
+    rows = X.soft_rows(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), reader, model, used)
+    entropy = X.summed_entropy(rows, len(used), n)
+    x = rng.normal(size=len(used) + n + 4)
+
+    def plain(x):
+        detector, total = X.with_weights(reader, used, x), 0.0
+        for t in texts:
+            p = plain_score(detector, t)
+            q = float(model.posterior(ballot_of(reader.read([t or ""])[1], np.array([-1])))[0])
+            total -= q * math.log(p) + (1 - q) * math.log(1 - p)
+        return total
+
+    value, grad = entropy(x)
+    assert value == pytest.approx(plain(x), rel=1e-9)
+    steps = np.eye(len(x))[: len(used) + 3].tolist() + np.eye(len(x))[-4:].tolist()
+    slopes = [(plain(x + 1e-5 * np.array(h)) - plain(x - 1e-5 * np.array(h))) / 2e-5 for h in steps]
+    assert [*grad[: len(used) + 3], *grad[-4:]] == pytest.approx(slopes, rel=1e-4, abs=1e-5)
+
+
+def test_label_model_reaches_the_classifier(spark, monkeypatch):
+    """Texts without a label teach the classifier what the label model says of them."""
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("aeioulnrst"), 6)) for _ in range(40)]
+    texts = [" ".join([*rng.choice(words, 20), *(["moron"] * 2 if i % 8 == 0 else [])]) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    none, calm, rude = spark.createDataFrame([], "doc_id long, toxic int"), texts[1], texts[8]
+    found = X.fit(docs, none).scores([calm, rude])
+    assert found[0] < X.REJECT < found[1]
+    labels = spark.createDataFrame([(i, 0) for i in range(1, 400, 2)], "doc_id long, toxic int")
+    right = X.label_all
+
+    def inverted(*given):
+        model = right(*given)
+        return X.LabelModel(model.rates[::-1], model.share, 1 - model.prior, model.told)
+
+    before = X.fit(docs, labels).scores([calm, rude])
+    monkeypatch.setattr(X, "label_all", inverted)
+    after = X.fit(docs, labels).scores([calm, rude])
+    assert np.abs(after - before).max() > 0.1
+
+
 def test_toxicity_query(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
