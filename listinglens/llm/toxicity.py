@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listinglens.llm.common import fresh_path, held_out, remove, sampled, small_batches, stage_table
+from listinglens.llm.common import fresh_path, held_out, remove, sampled, small_batches, stage_table, without_keys
 from listinglens.llm.hashed import minimise
 
 #: Fold that is never learned from, of FOLDS; labelled rows and their bytes, in expectation, that voters are mined from and
@@ -595,8 +595,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Detector:
     small_batches(docs.sparkSession)
     learn = ~held_out(F.col("doc_id"), FOLDS, HELD_OUT)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").where(learn)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(learn)
     given = labels.where("doc_id is not null and toxic is not null").where(learn)
     given = given.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
+    given = stage_table(given, "given-labels")
     few = sampled(given.withColumn("text", F.lit("")), FIT_LABELLED, FIT_BYTES).drop("text")  # about FIT_LABELLED ids
     labelled = sampled(narrow.join(F.broadcast(few), "doc_id"), FIT_LABELLED, FIT_BYTES)
     texts = labelled.groupBy("text").agg(F.max("label").cast("int").alias("label"))
@@ -611,7 +613,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Detector:
     votes = unpacked([packed[m] for m in marks], sample.labels, len(reader.voters))
     start = classifier(sample, votes, reader, model)
     path = fresh_path(docs.sparkSession, "toxicity-cells")
-    soft_rows(narrow.join(given.select("doc_id"), "doc_id", "left_anti"), reader, model, used_slots(sample)).write.option("compression", "zstd").parquet(path)
+    plain = without_keys(narrow, given.select("doc_id"), "doc_id", ids)
+    soft_rows(plain, reader, model, used_slots(sample)).write.option("compression", "zstd").parquet(path)
     rows = docs.sparkSession.read.schema(CELLS).parquet(path)
     found = start if rows.isEmpty() else fit_further(start, rows, sample, votes, model)
     remove(docs.sparkSession, path)

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from listinglens.llm import common as C
 from listinglens.llm import grading as G
 from listinglens.llm import hashed as H
 from listinglens.llm import language_id as L
@@ -524,6 +525,39 @@ def test_label_model_reaches_the_classifier(spark, monkeypatch):
     assert np.abs(after - before).max() > 0.1
 
 
+@pytest.mark.parametrize("most", [C.BLOOM_MOST, 1 << 15])
+def test_rows_without_keys_are_those_of_the_anti_join(spark, monkeypatch, most):
+    """Also where the filters are so full that most ids pass both."""
+    monkeypatch.setattr(C, "BLOOM_MOST", most)
+    ids = [None, None, *[5] * 300, *[6] * 300, *range(-3_000, 60_000, 3)]
+    rows = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string").repartition(7)
+    for keys in ([], [5], [*range(0, 40_000, 2), 5]):
+        table = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+        found = [r.text for r in C.without_keys(rows, table, "doc_id", rows.select("doc_id")).collect()]
+        known = set(keys)
+        assert sorted(found) == sorted(f"text {n}" for n, i in enumerate(ids) if i not in known)
+
+
+def test_toxicity_fit_shuffles_no_texts_for_their_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some calm words and number {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(0, 300, 2)], "doc_id long, toxic int")
+    seen, right = [], X.soft_rows
+
+    def looked_at(plain, *rest):
+        seen.append((plain._jdf.queryExecution().executedPlan().toString(), sorted(r.doc_id for r in plain.collect())))
+        return right(plain, *rest)
+
+    monkeypatch.setattr(X, "soft_rows", looked_at)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many labels
+    try:
+        X.fit(docs, labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange hashpartitioning" not in seen[0][0]
+    assert seen[0][1] == [i for i in range(1, 300, 2) if zlib.crc32(str(i).encode()) % 4 != 2]
+
+
 def test_toxicity_query(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
