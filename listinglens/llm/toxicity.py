@@ -547,8 +547,8 @@ def summed_entropy(rows: DataFrame, n_cols: int, n_terms: int) -> Callable[[np.n
             yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], ["sums"])
 
         total = np.zeros(n_cols + n_terms + 5)
-        for r in rows.mapInArrow(part, "sums binary").collect():  # a row for each task
-            total += np.frombuffer(bytes(r["sums"]), "<f8")
+        for sums in rows.mapInArrow(part, "sums binary").toArrow()["sums"]:  # a row for each task
+            total += np.frombuffer(sums.as_buffer(), "<f8")
         shared.destroy()
         return float(total[-1]), total[:-1]
 
@@ -556,10 +556,16 @@ def summed_entropy(rows: DataFrame, n_cols: int, n_terms: int) -> Callable[[np.n
 
 
 def fit_further(start: Detector, rows: DataFrame, sample: Sample, votes: np.ndarray, model: LabelModel) -> Detector:
-    """The logistic model of start, fitted on the sample's texts, which stand for all labelled rows, and on all rows of CELLS."""
+    """The logistic model of start, fitted on the sample's texts, which stand for all labelled rows, and on all rows of CELLS.
+
+    The sample's slots are overwritten by their columns, so that the driver holds them once.
+    """
     used = used_slots(sample)
+    column = column_of(used)
+    for at in _pieces(len(sample.slot)):
+        sample.slot[at] = column[sample.slot[at]]
     times = max(1.0, model.told / max(1, len(sample.labels)))
-    known = logistic_loss(sample.row, column_of(used)[sample.slot], sample.share, len(used), votes[:, :-1].astype(float), model.posterior(votes), times)
+    known = logistic_loss(sample.row, sample.slot, sample.share, len(used), votes[:, :-1].astype(float), model.posterior(votes), times)
     others = summed_entropy(rows, len(used), len(start.voters))
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:

@@ -558,6 +558,23 @@ def test_toxicity_fit_shuffles_no_texts_for_their_labels(spark, monkeypatch):
     assert seen[0][1] == [i for i in range(1, 300, 2) if zlib.crc32(str(i).encode()) % 4 != 2]
 
 
+def test_the_driver_holds_the_samples_cells_once(spark, monkeypatch):
+    """The further fit takes the sample's own arrays, slots turned into columns, and finds what copies would."""
+    rng = np.random.default_rng(4)
+    n, slots = len(X.LEXICON), np.array([7, 90, 4_000])
+    pick = rng.integers(0, 3, 60)
+    sample = X.Sample(rng.integers(0, 2, 12), np.sort(rng.integers(0, 12, 60)).astype(np.int32), slots[pick].astype(np.int32), rng.random(60).astype(np.float32), np.zeros(0, np.uint64))
+    held, seen, right = sample.slot, [], X.logistic_loss
+    monkeypatch.setattr(X, "logistic_loss", lambda row, col, *rest: seen.append(col) or right(row, col, *rest))
+    monkeypatch.setattr(X, "summed_entropy", lambda rows, n_cols, n_terms: lambda x: (0.0, np.zeros(len(x))))
+    start = X.Detector(X.word_hashes(X.LEXICON), np.zeros(n), np.zeros(X.SIZE), np.zeros(n + 3), 0.0)
+    votes = np.zeros((12, n + 4), np.int8)
+    votes[:, -1] = 2 * sample.labels - 1
+    found = X.fit_further(start, None, sample, votes, X.LabelModel(None, np.ones(n + 4), 0.1))
+    assert seen[0] is held and seen[0].tolist() == pick.tolist()
+    assert np.all(found.weights[slots] != 0) and np.count_nonzero(found.weights) == 3
+
+
 def test_toxicity_query(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
