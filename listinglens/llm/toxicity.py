@@ -48,6 +48,8 @@ TASK_BALLOTS = 20_000
 SAMPLE_PARTS = 32
 #: Tasks that add up the gradient over all rows without a label: each sends one, of SIZE numbers at most, to the driver.
 GRADIENT_PARTS = 32
+#: Cells of texts that are staged as one row, and bytes of a row group of such rows: each round reads all of them.
+BLOCK, GROUP_BYTES = 1 << 16, 16 << 20
 #: Bits of a term's slot in the classifier; code points read at a time.
 BITS, AT_ONCE = 18, 1_000_000
 SIZE = 1 << BITS
@@ -498,14 +500,31 @@ def logistic_loss(row: np.ndarray, col: np.ndarray, share: np.ndarray, n_cols: i
     return loss
 
 
-CELLS = "post double, n_words long, votes binary, cols binary, counts binary"
+CELLS = "post binary, n_words binary, votes binary, lengths binary, cols binary, counts binary"
+
+
+def narrowed(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, in 1, 2 or 4 bytes each."""
+    most = int(values.max(initial=0))
+    return values.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def widened(packed: pa.Buffer, n: int) -> np.ndarray:
+    """The n numbers of narrowed."""
+    return np.frombuffer(packed, f"<u{packed.size // n}") if n else np.zeros(0, np.uint8)
 
 
 def soft_rows(docs: DataFrame, reader: Detector, model: LabelModel, used: np.ndarray) -> DataFrame:
-    """Rows of CELLS for texts without a label: the label model's posterior, the numbers of the voters that say toxic, the columns of the text's terms and how often it has each; packed arrays."""
+    """Rows of CELLS for texts without a label: neighbouring texts are a row, with BLOCK cells and those of its last text at most.
+
+    Packed are, for each text, the label model's posterior, its words and how
+    many columns it has; the places of the votes that are not 0, text by text;
+    and, one text after the other, its columns and how often it has each.
+    """
     small_batches(docs.sparkSession)
     lean = Detector(reader.voters, reader.least, reader.weights[:0], reader.votes, 0.0)
     shared = docs.sparkSession.sparkContext.broadcast((lean, model, column_of(used)))
+    most = BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean, model, column = shared.value
@@ -517,11 +536,14 @@ def soft_rows(docs: DataFrame, reader: Detector, model: LabelModel, used: np.nda
                 cols = column[_slots(terms.hashes)]
                 key, counts = np.unique((terms.texts * SIZE + cols)[cols >= 0], return_counts=True)
                 ends = np.searchsorted(key, np.arange(len(part) + 1) * SIZE)
-                cols, counts = (key % SIZE).astype("<i4"), counts.astype("<i4")
-                packed = [[np.flatnonzero(v).astype("<u2").tobytes() for v in votes[:, :-1] == 1]]
-                packed += [[cells[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])] for cells in (cols, counts)]
-                plain = [pa.array(post), pa.array(terms.n_words.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*plain, *(pa.array(p, pa.binary()) for p in packed)], ["post", "n_words", "votes", "cols", "counts"])
+                cols, words, lengths = key % SIZE, terms.n_words.astype("<i8"), np.diff(ends).astype("<i4")
+                edges = [0, *(np.flatnonzero(np.diff(ends[:-1] // most)) + 1).tolist(), len(part)]
+                blocks = []
+                for a, b in zip(edges[:-1], edges[1:]):
+                    cells = slice(ends[a], ends[b])
+                    voted = np.flatnonzero(votes[a:b]).astype("<i4")
+                    blocks.append([*(v.tobytes() for v in (post[a:b].astype("<f8"), words[a:b], voted, lengths[a:b])), narrowed(cols[cells]), narrowed(counts[cells])])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*blocks)], ["post", "n_words", "votes", "lengths", "cols", "counts"])
 
     return docs.select("text").mapInArrow(run, CELLS)
 
@@ -536,14 +558,18 @@ def summed_entropy(rows: DataFrame, n_cols: int, n_terms: int) -> Callable[[np.n
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(n_cols + n_terms + 5)
             for batch in batches:
-                post, cells = batch.column(0).to_numpy(), batch.column(3).to_pylist()
-                votes = unpacked(batch.column(2).to_pylist(), np.full(len(post), -1), n_terms)[:, :-1].astype(float)
-                row = np.repeat(np.arange(len(post)), [len(c) // 4 for c in cells])
-                col, counts = np.frombuffer(b"".join(cells), "<i4"), np.frombuffer(b"".join(batch.column(4).to_pylist()), "<i4")
-                scale = 100 / np.maximum(batch.column(1).to_numpy(), 1)
-                value, grad = cross_entropy(shared.value, row, col, counts, scale, n_cols, votes, post)
-                total[:-1] += grad
-                total[-1] += value
+                for block in zip(*batch.columns):
+                    post, n_words, voted, lengths, cols, counts = (cell.as_buffer() for cell in block)
+                    post, lengths = np.frombuffer(post, "<f8"), np.frombuffer(lengths, "<i4")
+                    n = int(lengths.sum())
+                    votes = np.zeros((len(post), n_terms + 3))
+                    votes.flat[np.frombuffer(voted, "<i4")] = 1
+                    votes[:, -1] *= -1
+                    row, col = np.repeat(np.arange(len(post)), lengths), widened(cols, n).astype(np.int64)
+                    scale = 100 / np.maximum(np.frombuffer(n_words, "<i8"), 1)
+                    value, grad = cross_entropy(shared.value, row, col, widened(counts, n).astype(float), scale, n_cols, votes, post)
+                    total[:-1] += grad
+                    total[-1] += value
             yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], ["sums"])
 
         total = np.zeros(n_cols + n_terms + 5)
@@ -620,7 +646,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Detector:
     start = classifier(sample, votes, reader, model)
     path = fresh_path(docs.sparkSession, "toxicity-cells")
     plain = without_keys(narrow, given.select("doc_id"), "doc_id", ids)
-    soft_rows(plain, reader, model, used_slots(sample)).write.option("compression", "zstd").parquet(path)
+    groups = {"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 8, "parquet.page.size.row.check.min": 8}
+    soft_rows(plain, reader, model, used_slots(sample)).write.options(compression="zstd", **groups).parquet(path)
     rows = docs.sparkSession.read.schema(CELLS).parquet(path)
     found = start if rows.isEmpty() else fit_further(start, rows, sample, votes, model)
     remove(docs.sparkSession, path)

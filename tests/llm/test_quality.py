@@ -503,6 +503,40 @@ def test_entropy_in_tasks_is_that_of_all_rows(spark):
     assert [*grad[: len(used) + 3], *grad[-4:]] == pytest.approx(slopes, rel=1e-4, abs=1e-5)
 
 
+@pytest.mark.parametrize("block", [1, 40, X.BLOCK])
+def test_cells_of_many_texts_are_one_row(spark, monkeypatch, block):
+    """A round reads a row for each block of cells, and adds up what loops over the texts do."""
+    monkeypatch.setattr(X, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    n = len(X.LEXICON)
+    reader = X.Detector(X.word_hashes(X.LEXICON), np.zeros(n), np.zeros(X.SIZE), np.zeros(n + 3), 0.0)
+    texts = [" ".join(rng.choice(["calm", "idiot", "dumm", "you", "moron", "sc**m"], 6)) for _ in range(300)]
+    texts = ["", None, *texts, "idiot " * 300, "calm " * 70_000, "..."]
+    model = X.fit_label_model(n + 4, summed(ballot_of(reader.read([t or "" for t in texts])[1], rng.integers(-1, 2, len(texts)))))
+    used = np.union1d(np.arange(0, X.SIZE, 3), X._slots(X.read_terms(["calm idiot you"]).hashes))  # columns beyond 65,535
+    rows = X.soft_rows(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), reader, model, used)
+    held = [len(r.lengths) // 4 for r in rows.collect()]
+    assert sum(held) == len(texts)
+    assert len(held) <= 4 if block > 40 else len(held) > 50
+    x = rng.normal(size=len(used) + n + 4) / 100
+    detector, value, grad = X.with_weights(reader, used, x), 0.0, np.zeros(len(x))
+    column = {int(s): i for i, s in enumerate(used)}
+    for t in texts:
+        hashes, words = plain_terms(t or "")
+        votes = reader.read([t or ""])[1][0].astype(float)
+        q = float(model.posterior(ballot_of(votes[None].astype(np.int8), np.array([-1])))[0])
+        p = float(detector.scores([t])[0])
+        value -= q * math.log(p) + (1 - q) * math.log(1 - p)
+        for slot, times in Counter(h >> 64 - X.BITS for h in hashes).items():
+            if slot in column:
+                grad[column[slot]] += (p - q) * 100 * times / max(words, 1)
+        grad[len(used) : -1] += (p - q) * votes
+        grad[-1] += p - q
+    found = X.summed_entropy(rows, len(used), n)(x)
+    assert found[0] == pytest.approx(value, rel=1e-9)
+    assert np.allclose(found[1], grad, rtol=1e-9, atol=1e-9)
+
+
 def test_label_model_reaches_the_classifier(spark, monkeypatch):
     """Texts without a label teach the classifier what the label model says of them."""
     rng = np.random.default_rng(9)
