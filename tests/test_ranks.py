@@ -65,6 +65,16 @@ def test_importance_on_a_sample_and_on_nothing(spark):
     assert M.permutation_importance(model, df.where("false"), "y", "id", ["a", "b", "c"]).count() == 0
 
 
+def test_importance_broadcasts_no_rows(spark, monkeypatch):
+    """Test rows are files of few bytes, and many in memory: what is broadcast is one row, never them."""
+    plans = []
+    done = Scratch.result
+    monkeypatch.setattr(Scratch, "result", lambda self, df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or done(self, df, name))
+    df = frame(spark)
+    M.permutation_importance(LinearRegression(labelCol="y").fit(df), df, "y", "id", ["a", "b", "c"], repeats=1)
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
 @pytest.mark.parametrize("levels", [10, 100_000])
 def test_one_hot(spark, monkeypatch, levels):
     monkeypatch.setattr(E, "LEVELS", levels)
