@@ -62,6 +62,38 @@ def test_more_neighbours_than_rows(spark):
         B.nearest(df, df.unionByName(spark.createDataFrame([(9, [1.0, 2.0])], df.schema)), 2, "id", "v")
 
 
+def test_a_large_unit_is_compared_in_bounded_memory():
+    """A unit of short vectors has very many rows: the distances that are held at a time do not grow with them."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 300, (400_000, 2)).astype(float)
+    right = pd.DataFrame({"found": np.arange(len(x)), "_v": list(x)})
+    left = pd.DataFrame({"query": np.arange(64), "_q": list(x[:64])})
+    tracemalloc.start()
+    rows = B._nearest(3)(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    for q in range(0, 64, 9):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert rows["found"][rows["query"] == q].tolist() == np.lexsort((np.arange(len(x)), d))[:3].tolist()
+
+
+def test_units_of_short_vectors_have_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(B, "PART_ROWS", 40)
+    held = []
+    made = B.Units
+    monkeypatch.setattr(B, "Units", lambda pivots, rows: held.append(rows) or made(pivots, rows))
+    x = {i: [float(i * 37 % 1000)] for i in range(2000)}
+    df = spark.createDataFrame(list(x.items()), "id long, v array<double>")
+    assert found(df, "id % 400 = 0", 5)[0] == plain(x, range(0, 2000, 400), 5)
+    assert held[0]["part"].nunique() >= 45 and held[0]["n"].max() <= 120
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(9)
     x, q = rng.normal(0, 3, (400, 6)), rng.normal(0, 3, (50, 6))
