@@ -53,3 +53,10 @@ def test_report_adds_up(spark, sf):
     base = [r["prediction"] - sum(f["score"] for f in json.loads(r["factors"])) for r in rows]
     assert base == pytest.approx([base[0]] * len(base), abs=0.02)
     assert all(1 <= len(json.loads(r["similar"])) <= 5 for r in rows if r["similar"])
+
+
+@pytest.mark.parametrize("name", ["r06_distance_score", "r09_comparable_rows"])
+def test_no_task_holds_all_distances(spark, sf, name):
+    """A percentile aggregate keeps every distinct distance of all pairs in one buffer."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
