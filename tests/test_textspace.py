@@ -73,3 +73,44 @@ def test_tfidf_rows_have_length_one(spark):
     df = spark.createDataFrame([(i, ["a", "b", f"w{i % 3}"]) for i in range(9)], "id int, words array<string>")
     rows = E.tfidf(df, "id", "words", 100, 1).groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
     assert len(rows) == 9 and all(abs(r.n - 1) < 1e-12 for r in rows)
+
+
+def test_sparse_rows_agree_with_plain_counts(spark, monkeypatch):
+    """In one run and in many; a null text and an unknown one have no cells."""
+    rng = np.random.default_rng(6)
+    texts = [[f"w{j}" for j in rng.integers(0, 6, int(rng.integers(1, 12)))] for _ in range(60)] + [[], None, ["unknown"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, words array<string>").repartition(2)
+    grams = [[] if t is None else t + [f"{a} {b}" for a, b in zip(t, t[1:])] for t in texts]
+    n, there = {}, {}
+    for g in grams:
+        for x in g:
+            n[x] = n.get(x, 0) + 1
+        for x in set(g):
+            there[x] = there.get(x, 0) + 1
+    known = sorted([x for x in n if there[x] >= 3], key=lambda x: (-n[x], x))[:20]
+    for size in (1 << 19, 9):
+        monkeypatch.setattr(E, "WORDS", size)
+        rows, vocabulary = E.tfidf_vectors(df, df, "words", 20, 3)
+        assert vocabulary == known
+        for r in rows.collect():
+            raw = {known.index(x): grams[r.id].count(x) * (np.log((1 + len(texts)) / (1 + there[x])) + 1) for x in set(grams[r.id]) & set(known)}
+            length = np.sqrt(sum(x * x for x in raw.values()))
+            assert r.text_vector["size"] == 20 and r.text_vector["indices"] == sorted(raw)
+            assert r.text_vector["values"] == pytest.approx([raw[i] / length for i in sorted(raw)])
+
+
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_rounds_multiply_dense_and_sparse_alike(spark, monkeypatch, dense):
+    monkeypatch.setattr(E, "DENSE", dense)
+    a = sparse_rows(300, 80)
+    v = E.truncated_svd(frame(spark, a), "v", 4)
+    exact = np.linalg.svd(a, full_matrices=False)[2][:4].T
+    assert np.abs(v - exact * np.sign((v * exact).sum(axis=0))).max() < 1e-6
+
+
+def test_words_are_made_once(spark, sf):
+    """The projected rows come from files: no text is split again."""
+    from listinglens.plans.modelling import QUERIES
+
+    plan = QUERIES["f11_truncated_svd"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
