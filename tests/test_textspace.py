@@ -114,3 +114,23 @@ def test_words_are_made_once(spark, sf):
 
     plan = QUERIES["f11_truncated_svd"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+@pytest.mark.parametrize("most", [1, 3, 7, 20, 400])
+def test_pairs_that_cannot_be_among_the_commonest_are_not_counted(spark, monkeypatch, most):
+    """The same vocabulary as by counting all terms, ties included, from fewer counts."""
+    rng = np.random.default_rng(most)
+    texts = [[f"w{j:02d}" for j in (30 * rng.random(int(rng.integers(1, 20))) ** 3).astype(int)] for _ in range(80)]
+    grams = [t + [f"{a} {b}" for a, b in zip(t, t[1:])] for t in texts]
+    n, there = {}, {}
+    for g in grams:
+        for x in g:
+            n[x] = n.get(x, 0) + 1
+        for x in set(g):
+            there[x] = there.get(x, 0) + 1
+    kept = sorted([x for x in n if there[x] >= 3], key=lambda x: (-n[x], x))[:most]
+    df = spark.createDataFrame([(t,) for t in texts], "words array<string>")
+    assert [(r.term, r.df, r.n) for r in E.vocabulary(df, "words", most, 3).collect()] == [(x, there[x], n[x]) for x in kept]
+    pairs = E._term_counts(kept[:2], kept[:3])  # only pairs of known words leave a task
+    told = df.mapInArrow(pairs, "term string, df long, n long").collect()
+    assert all(r.term.split(" ")[0] in kept[:2] and r.term.split(" ")[-1] in kept[:3] and " " in r.term for r in told)
